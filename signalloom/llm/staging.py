@@ -1,0 +1,50 @@
+"""Lineage cuts: tables written to the folder that every executor shares.
+
+A staged table survives the loss of any executor, is never recomputed and has
+a size that the planner knows, so a small one is broadcast and a large one is
+shuffled without any hint.
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    own = os.path.join(tempfile.gettempdir(), "checkpoints")
+    os.makedirs(own, exist_ok=True)
+    return f"file://{own}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing has used yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a staged path that no later plan reads."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a staged table that no later plan reads."""
+    for f in {os.path.dirname(x) for x in df.inputFiles()}:
+        drop_path(df.sparkSession, f)
