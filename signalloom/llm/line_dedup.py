@@ -146,7 +146,8 @@ def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 10, batches: int = B
     repeated = stage(runs.settled(), "line-settled")
     hits = _places(docs).join(repeated, ["h1", "h2"]).groupBy("doc_id", "th").agg(F.collect_set("i").alias("lines"))
     hits = stage(hits, "line-hits").select(F.col("doc_id").alias("_k"), F.col("th").alias("_th"), F.col("lines").alias("_lines"))
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.xxhash64("text") == F.col("_th")), "left").drop("_k", "_th")
+    # Merged, never broadcast: the plan, and so the share of input that is shuffled, is the same at every size.
+    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_k")) & (F.xxhash64("text") == F.col("_th")), "left").drop("_k", "_th")
     names = docs.columns
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     where = names.index("text")
