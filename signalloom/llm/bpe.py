@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: A memo is emptied at so many pieces; longer pieces never enter it.
-MEMO_PIECES, MEMO_CHARS = 1_600_000, 48
+MEMO_PIECES, MEMO_CHARS = 1_200_000, 48
 #: Characters that Python takes for white space and the library's patterns don't.
 _ODD = re.compile("[\x1c-\x1f]")
 #: A space that another white space or the end follows: pieces would cut a run of white space.
