@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, near_dedup, packing, quality, suffix_dedup, token_shards, url_filter
+from . import ann, decontaminate, license_scan, line_dedup, near_dedup, packing, quality, suffix_dedup, token_shards, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -24,6 +28,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_token_shards, op4_line_dedup, op6_packing, op7_url_filter, op8_suffix_dedup, op9_near_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_multiprobe_ann, op3_token_shards, op4_line_dedup, op5_template_decontamination, op6_packing, op7_url_filter, op8_suffix_dedup, op9_near_dedup, op10_quality)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
