@@ -20,6 +20,10 @@ MEMO_PIECES, MEMO_CHARS = 1_200_000, 48
 _ODD = re.compile("[\x1c-\x1f]")
 #: A space that another white space or the end follows: pieces would cut a run of white space.
 _RUN = re.compile(r" (?:\s|\Z)")
+#: Outside this range lower-casing or composition may depend on neighbours; an apostrophe may begin a contraction.
+_BEYOND = re.compile("[^\x00-\u017f]|['\u0130\x1c-\x1f\x85<]")
+#: Within it, the vocabulary that drops white space cuts between letters and anything else.
+_RUNS = re.compile("[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[^\\sa-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
 _END = "<|endoftext|>"
 _PIECES = re.compile(r"\s*\S+|\s+\Z")
 
@@ -59,6 +63,8 @@ class PieceEncoder:
     def pieces(self, text: str) -> list[str] | None:
         """The text cut where it is safe, or None."""
         if not self.spaced:
+            if not _BEYOND.search(text):
+                return _RUNS.findall(text.lower())
             return None if _ODD.search(text) else text.replace("\n", " ").split(" ")
         if not _RUN.search(text):
             first, *rest = text.split(" ")

@@ -70,7 +70,7 @@ def encode_blocks(ids: np.ndarray) -> bytes:
     low = grid.min(axis=1)
     dist = grid - low[:, None]
     at = int(np.ceil(PERCENTILE * BLOCK)) - 1
-    top = np.partition(dist, at, axis=1)[:, at]
+    top = np.partition(dist.astype(np.uint16) if dist.max() < 1 << 16 else dist, at, axis=1)[:, at]
     width = np.ceil(np.log2(top.astype(np.float64) + 1)).astype(np.uint8)
     limit = (np.uint64(1) << width.astype(np.uint64))[:, None]
     row, col = np.nonzero(dist >= limit)
