@@ -1,22 +1,24 @@
 """Repeated byte strings by depth-limited radix sort of suffixes.
 
 Suffixes are ordered by their first ``threshold`` bytes only, digit by digit,
-and a group that has shrunk to one suffix leaves the sort. Three passes:
-
-1. First digit: DIGIT bytes. Of the suffixes only those take part that hold the
-   least digit hash of some window of ``threshold`` bytes (every such window
-   holds one, and equal windows hold it at the same place), one in forty. Most
-   digits occur once and end here.
-2. Second digit: all bytes of all windows that hold the suffix's first digit
-   there. Suffixes of one group repeat all their windows, as one interval.
-3. What shares its first digit but not its second lies at the edge of a
-   repeat, or shares less than a window. Those few suffixes' windows are
-   ordered at full depth: equal groups are exactly the repeated windows.
-
-In every group all but the earliest are removed. Groups are never gathered:
-their least place is an aggregate that combines on the map side, and places
-are joined with it. Between passes a fixed-size bitmap of the digits that go
-on spares the others the shuffle; a full bitmap only costs speed.
+and a group that has shrunk to one suffix leaves the sort.
+
+* Of all suffixes only those take part that hold the least DIGIT-byte hash of
+  some window of ``threshold`` bytes (every window holds one, and equal windows
+  hold it at the same place): one in forty. A suffix stands for the windows in
+  which its hash is the least, a range of start offsets.
+* A pass has two digits: the bytes that all windows of the range share, and the
+  bytes that any of them covers. Suffixes alone with their first digit end
+  there. Where the second digit is equal too, the windows are equal: all but
+  the earliest suffix's are repeats, as one interval. The earliest of each
+  second digit goes on to the next pass, its range cut in parts (WIDTHS).
+* In the last pass a part is one window, the digits are the window itself, and
+  equal groups are exactly the repeated windows.
+
+Groups are never gathered: their least place is an aggregate that combines on
+the map side, and places are joined with it. Within a pass a bitmap of fixed
+size says which first digits are shared and spares the others the shuffle; a
+full bitmap only costs speed.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import drop, stage
 from .textkit import BASE, buffers, mix, powers, rounds
 
 DIGIT = 24
+#: Start offsets in a part of each pass after the first.
+WIDTHS = (20, 5, 1)
 #: Bits of the bitmap that says which first digits go on (16 MB, however much data).
 BITMAP_BITS = 27
 _U = np.uint64
@@ -78,11 +82,7 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, threshold: int, digit: int = DIGIT):
-    """(hashes, digits, place, left, right, document) of the suffixes that take part.
-
-    ``place``: byte of the buffer; ``left``/``right``: bytes before the place and
-    from it on that windows holding the suffix's first digit reach.
-    """
+    """Suffixes that take part: (hashes, first digit, place, least and most start offset before it, document)."""
     none = np.zeros(0, dtype=np.int64)
     span = threshold - digit + 1
     if len(raw) < threshold:
@@ -99,23 +99,64 @@ def anchors(raw: np.ndarray, off: np.ndarray, threshold: int, digit: int = DIGIT
     least = np.where(valid, least, _U(0))
     padded = np.concatenate([np.zeros(span - 1, _U), least, np.zeros(span - 1, _U)])
     place = np.flatnonzero(_sliding(padded, span, np.maximum)[: len(g)] == g)
+    own = g[place]
     doc = np.searchsorted(off, place, side="right") - 1
-    left = np.minimum(place - off[doc], span - 1)
-    right = np.minimum(off[doc + 1] - place, threshold)
-    return hashes, g[place], place, left, right, doc
+    hi, lo = np.full(len(place), span - 1), np.zeros(len(place), dtype=np.int64)
+    for d in range(span - 1, 0, -1):
+        hi[g[np.maximum(place - d, 0)] < own] = d - 1
+        lo[g[np.minimum(place + d, len(g) - 1)] < own] = span - d
+    hi = np.minimum(hi, place - off[doc])
+    lo = np.maximum(lo, place + threshold - off[doc + 1])
+    keep = lo <= hi
+    return hashes, own[keep], place[keep], lo[keep], hi[keep], doc[keep]
+
+
+def parts(batch: pa.RecordBatch, threshold: int, width: int):
+    """As ``anchors``, of suffixes given by their bytes: their ranges cut at multiples of ``width``; rows in place of documents."""
+    raws = batch.column("bytes").to_pylist()
+    raw = np.frombuffer(b"".join(raws), np.uint8)
+    size = np.array([len(x) for x in raws], dtype=np.int64)
+    begin = np.cumsum(size) - size
+    least, most = batch.column("lo").to_numpy(), batch.column("hi").to_numpy()
+    hashes = Bytes(raw)
+    found = []
+    for cut in range(0, threshold - DIGIT + 1, width):
+        end = min(cut + width, threshold - DIGIT + 1) - 1
+        row = np.flatnonzero((least <= end) & (most >= cut))
+        at = begin[row] + most[row]
+        found.append((hashes.first(at - cut, at - end + threshold) ^ mix(np.full(len(row), cut + 1, dtype=_U)), at, np.maximum(least[row], cut), np.minimum(most[row], end), row))
+    return (hashes, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def _digits(threshold: int):
-    """Pass 1: (d1, d2) of every suffix that takes part."""
+def _second(hashes: Bytes, place, lo, hi, threshold: int) -> np.ndarray:
+    return hashes.second(place - hi, place - lo + threshold) ^ mix(hi.astype(_U) << _U(32) | lo.astype(_U))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = buffers(batch.column(0))
-            for a, b in rounds(off):
-                hashes, g, place, left, right, _ = anchors(raw[off[a] : off[b]], off[a : b + 1] - off[a], threshold)
+
+def _sources(batches: Iterator[pa.RecordBatch], threshold: int, width: int | None):
+    """(batch, kernel result, raw bytes, origin of each suffix's document) of documents (width None) or of suffixes."""
+    for batch in batches:
+        if width is None:
+            raw_all, off_all = buffers(batch.column("text"))
+            for a, b in rounds(off_all):
+                raw, off = raw_all[off_all[a] : off_all[b]], off_all[a : b + 1] - off_all[a]
+                hashes, d1, place, lo, hi, doc = anchors(raw, off, threshold)
+                if len(place):
+                    yield batch.slice(a, b - a), hashes, d1, place, lo, hi, doc, place - off[doc], raw
+        else:
+            for a in range(0, batch.num_rows, 4096):
+                cut = batch.slice(a, 4096)
+                hashes, d1, place, lo, hi, row = parts(cut, threshold, width)
                 if len(place):
-                    d2 = hashes.second(place - left, place + right) ^ mix(left.astype(_U) << _U(32) | right.astype(_U))
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(d2.view(np.int64))], ["d1", "d2"])
+                    raw = np.frombuffer(b"".join(cut.column("bytes").to_pylist()), np.uint8)
+                    yield cut, hashes, d1, place, lo, hi, row, cut.column("place").to_numpy()[row], raw
+
+
+def _digits(threshold: int, width: int | None):
+    """(d1, d2) of every suffix that takes part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes, d1, place, lo, hi, _, _, _ in _sources(batches, threshold, width):
+            yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(_second(hashes, place, lo, hi, threshold).view(np.int64))], ["d1", "d2"])
 
     return run
 
@@ -135,87 +176,63 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out.view(_U)
 
 
-def _candidates(threshold: int, go_on, differ):
-    """Pass 2: the suffixes whose first digit may go on; with their bytes where second digits may differ."""
+def _candidates(threshold: int, width: int | None, shared, differ, with_bytes: bool):
+    """Suffixes whose first digit may be shared; on demand with their bytes where second digits may differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, other = go_on.value, differ.value
-        for batch in batches:
-            raw_all, off_all = buffers(batch.column(2))
-            for a, b in rounds(off_all):
-                raw, off = raw_all[off_all[a] : off_all[b]], off_all[a : b + 1] - off_all[a]
-                hashes, g, place, left, right, doc = anchors(raw, off, threshold)
-                if not len(place):
-                    continue
-                word, bit = _slot(g)
-                keep = ((some[word] >> bit) & _U(1)) != 0
-                g, place, left, right, doc, word, bit = (x[keep] for x in (g, place, left, right, doc, word, bit))
-                if not len(place):
-                    continue
-                d2 = hashes.second(place - left, place + right) ^ mix(left.astype(_U) << _U(32) | right.astype(_U))
-                shown = ((other[word] >> bit) & _U(1)) != 0
-                data = raw.tobytes()
-                payload = [data[p - x : p + y] if s else None for p, x, y, s in zip(place.tolist(), left.tolist(), right.tolist(), shown.tolist(), strict=True)]
-                take = pa.array(doc + a)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(d2.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(place - off[doc]), pa.array(left), pa.array(right), pa.array(payload, pa.binary())], ["d1", "d2", "doc_id", "th", "place", "left", "right", "bytes"])
+        some, other = shared.value, differ.value
+        for batch, hashes, d1, place, lo, hi, doc, at, raw in _sources(batches, threshold, width):
+            word, bit = _slot(d1)
+            keep = np.flatnonzero((some[word] >> bit) & _U(1))
+            if not len(keep):
+                continue
+            d1, place, lo, hi, doc, at, word, bit = (x[keep] for x in (d1, place, lo, hi, doc, at, word, bit))
+            take = pa.array(doc)
+            columns = [pa.array(d1.view(np.int64)), pa.array(_second(hashes, place, lo, hi, threshold).view(np.int64)), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(at), pa.array(lo), pa.array(hi)]
+            names = ["d1", "d2", "doc_id", "th", "place", "lo", "hi"]
+            if with_bytes:
+                data, shown = raw.tobytes(), ((other[word] >> bit) & _U(1)) != 0
+                payload = [data[a:b] if s else None for a, b, s in zip((place - hi).tolist(), (place - lo + threshold).tolist(), shown.tolist(), strict=True)]
+                columns, names = [*columns, pa.array(payload, pa.binary())], [*names, "bytes"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _windows(threshold: int):
-    """Pass 3: (w1, w2, doc_id, th, start) of the windows in which the suffix's digit is the least."""
-    span = threshold - DIGIT + 1
+_SUFFIX = "d1 long, d2 long, doc_id long, th long, place long, lo long, hi long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in range(0, batch.num_rows, 4096):
-                cut = batch.slice(c, 4096)
-                raws = [bytes(x) for x in cut.column(4).to_pylist()]
-                raw = np.frombuffer(b"".join(raws), np.uint8)
-                if len(raw) < threshold:
-                    continue
-                size = np.array([len(x) for x in raws])
-                begin = np.cumsum(size) - size
-                left = cut.column(3).to_numpy()
-                hashes = Bytes(raw)
-                n = np.maximum(size - threshold + 1, 0)
-                row = np.repeat(np.arange(len(n)), n)
-                start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-                g = mix((hashes.s1[DIGIT:] - hashes.s1[: len(raw) - DIGIT + 1]) * hashes.i1[: len(raw) - DIGIT + 1])
-                keep = _sliding(g, span, np.minimum)[start] == g[begin + left][row]
-                row, start = row[keep], start[keep]
-                take = pa.array(row)
-                first = cut.column(2).to_numpy()[row] - left[row] + start - begin[row]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.first(start, start + threshold).view(np.int64)), pa.array(hashes.second(start, start + threshold).view(np.int64)), cut.column(0).take(take), cut.column(1).take(take), pa.array(first)], ["w1", "w2", "doc_id", "th", "start"])
 
-    return run
+def _order() -> Column:
+    """Order of places: doc_id (nulls first), text hash among rows that share it, byte."""
+    return F.struct(F.col("doc_id").isNotNull().alias("id"), "doc_id", "th", "place")
 
 
-def _place(*columns: str) -> Column:
-    """Order of places: doc_id, text hash among rows that share it, byte."""
-    return F.struct(F.col("doc_id").isNotNull().alias("id"), *columns)
+def _pass(source: DataFrame, threshold: int, width: int | None) -> tuple[DataFrame, DataFrame]:
+    """(intervals that are repeats, suffixes that go on) of one pass."""
+    context = source.sparkSession.sparkContext
+    name = f"suffix-{width or 'all'}"
+    digits = source.mapInArrow(_digits(threshold, width), "d1 long, d2 long")
+    counts = digits.groupBy("d1").agg(F.count("*").alias("n"), F.min("d2").alias("least"), F.max("d2").alias("most")).where("n > 1")
+    known = stage(counts.select("d1", (F.col("least") != F.col("most")).alias("differ")), f"{name}-digits")
+    shared, differ = context.broadcast(_bitmap(known)), context.broadcast(_bitmap(known.where("differ")))
+    drop(known)
+    whole = source.mapInArrow(_candidates(threshold, width, shared, differ, True), f"{_SUFFIX}, bytes binary")
+    first = whole.groupBy("d1", "d2").agg(F.min(F.struct(_order().alias("at"), "lo", "hi", "bytes")).alias("x"))
+    first = stage(first.select("d1", "d2", "x.at.doc_id", "x.at.th", "x.at.place", "x.lo", "x.hi", "x.bytes"), f"{name}-first")
+    places = source.mapInArrow(_candidates(threshold, width, shared, differ, False), _SUFFIX)
+    earliest = first.select("d1", "d2", _order().alias("first")).hint("merge")
+    later = places.join(earliest, ["d1", "d2"]).where(_order() != F.col("first"))
+    spans = stage(later.select("doc_id", "th", (F.col("place") - F.col("hi")).alias("lo"), (F.col("place") - F.col("lo") + threshold).alias("hi")), f"{name}-spans")
+    return spans, first.where("bytes is not null").select("doc_id", "th", "place", "lo", "hi", "bytes")
 
 
 def repeated_spans(docs: DataFrame, threshold: int = 100) -> DataFrame:
     """(doc_id, th, lo, hi): byte intervals that together are all repeats; ``th`` tells apart rows that share a doc_id."""
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    digits = keyed.select("text").mapInArrow(_digits(threshold), "d1 long, d2 long")
-    shared = digits.groupBy("d1").agg(F.count("*").alias("n"), F.min("d2").alias("least"), F.max("d2").alias("most")).where("n > 1")
-    shared = stage(shared.select("d1", (F.col("least") != F.col("most")).alias("differ")), "suffix-digits")
-    go_on = spark.sparkContext.broadcast(_bitmap(shared))
-    differ = spark.sparkContext.broadcast(_bitmap(shared.where("differ")))
-    found = keyed.mapInArrow(_candidates(threshold, go_on, differ), "d1 long, d2 long, doc_id long, th long, place long, left long, right long, bytes binary")
-    found = stage(found.join(shared.hint("merge"), "d1"), "suffix-candidates")
-    first = found.groupBy("d1", "d2").agg(F.min(_place("doc_id", "th", "place")).alias("first"))
-    ordered = found.join(first.hint("merge"), ["d1", "d2"])
-    later = _place("doc_id", "th", "place") != F.col("first")
-    whole = ordered.where(later).select("doc_id", "th", (F.col("place") - F.col("left")).alias("lo"), (F.col("place") + F.col("right")).alias("hi"))
-    edge = ordered.where(~later & F.col("differ")).select("doc_id", "th", "place", "left", "bytes")
-    windows = stage(edge.mapInArrow(_windows(threshold), "w1 long, w2 long, doc_id long, th long, start long"), "suffix-windows")
-    least = windows.groupBy("w1", "w2").agg(F.min(_place("doc_id", "th", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = windows.join(least.hint("merge"), ["w1", "w2"]).where(_place("doc_id", "th", "start") != F.col("first"))
-    return whole.unionByName(again.select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + threshold).alias("hi")))
+    spans, rest = _pass(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), threshold, None)
+    for width in WIDTHS:
+        more, rest = _pass(rest, threshold, width)
+        spans = spans.unionByName(more)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, *, threshold: int = 100) -> DataFrame:
