@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: A memo is emptied at so many pieces; longer pieces never enter it.
-MEMO_PIECES, MEMO_CHARS = 1_200_000, 48
+MEMO_PIECES, MEMO_CHARS = 600_000, 48
 #: Characters that Python takes for white space and the library's patterns don't.
 _ODD = re.compile("[\x1c-\x1f]")
 #: A space that another white space or the end follows: pieces would cut a run of white space.
@@ -24,6 +24,10 @@ _RUN = re.compile(r" (?:\s|\Z)")
 _BEYOND = re.compile("[^\x00-\u017f]|['\u0130\x1c-\x1f\x85<]")
 #: Within it, the vocabulary that drops white space cuts between letters and anything else.
 _RUNS = re.compile("[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[^\\sa-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
+#: What leaves the byte-level vocabulary's cuts unsure, besides: white space that runs on.
+_UNSURE = re.compile("[^\x00-\u017f]|['\x1c-\x1f\x85<]|\\s\\s\\s| \\s|\\s\\s\\Z| \\Z")
+#: Else it too cuts between letters and anything else; a space goes with what follows.
+_SPACED_RUNS = re.compile(" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f]+| ?[^\\sA-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|\\s")
 _END = "<|endoftext|>"
 _PIECES = re.compile(r"\s*\S+|\s+\Z")
 
@@ -66,6 +70,8 @@ class PieceEncoder:
             if not _BEYOND.search(text):
                 return _RUNS.findall(text.lower())
             return None if _ODD.search(text) else text.replace("\n", " ").split(" ")
+        if not _UNSURE.search(text):
+            return _SPACED_RUNS.findall(text)
         if not _RUN.search(text):
             first, *rest = text.split(" ")
             return [first, *[" " + x for x in rest]]

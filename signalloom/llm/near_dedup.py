@@ -10,9 +10,9 @@ registers make a band; documents that share a band meet.
 * Classes that share a band aren't paired with each other. In each band bucket
   one class leads - the one that meets most others over all its bands, which
   in a group of edited copies is the least edited - and the others are paired
-  with it. Members that prove not to be linked with their leader form the
-  bucket of the next round, under a new leader. A bucket of up to ROUNDS + 1
-  members is thereby compared in full.
+  with it. Those that prove not to be linked with their leader form the
+  leader's bucket of the next round, under a new leader. A bucket of up to
+  ROUNDS + 1 members is thereby compared in full.
 * Pairs whose collision-corrected Jaccard estimate lies well below the limit
   are left out; the rest are confirmed on the full sets. A leader's members are
   dealt over many tasks, each of which gets the leader's text once.
@@ -238,7 +238,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 80) -> DataFr
         links = found if links is None else stage(links.unionByName(found), f"near-all-{i}")
         if i + 1 < ROUNDS:
             linked = found.select(F.col("u").alias("node"), F.col("v").alias("leader"))
-            rows = stage(met.join(linked, ["node", "leader"], "left_anti").select("node", "size", "rank", "key", "class"), f"near-rest-{i}")
+            # Buckets under one leader hold much the same crowd: those it isn't linked with meet in one bucket of the next round.
+            crowd = met.groupBy("node", "leader", "class").agg(F.first("size").alias("size"), F.first("rank").alias("rank"))
+            rest = crowd.join(linked, ["node", "leader"], "left_anti")
+            rows = stage(rest.select("node", "size", "rank", F.col("leader").alias("key"), "class"), f"near-rest-{i}")
     roots = components(links)
     named = roots.join(least.select("node", "doc_id"), "node")
     of = stage(named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id"), "near-components")
