@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import fresh, stage
 
 K = 8
 #: Share of an item's windows that a passage must match, and literal words that a window must hold.
@@ -116,5 +116,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item of the benchmark, with all their columns."""
-    leaks = stage(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_k"), F.col("th").alias("_h")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    key, th = fresh(docs, "doc", "th")
+    leaks = stage(find_leaks(docs, benchmark).select(F.col("doc_id").alias(key), F.col("th").alias(th)).distinct(), "leaks")
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(th)), "left_anti")

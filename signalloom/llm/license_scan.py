@@ -81,7 +81,7 @@ def scan_licenses(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE_PHRASE
     a doc_id are judged each by its own text; equal rows give equal rows. A
     null doc_id stays null. An empty table gives no rows. Other columns are
     ignored. ``spans``: label, first word and number of words of each verified
-    place, by place. ``score``: the largest share of a template that was found.
+    place, by place; of wordings whose places overlap the closest counts. ``score``: the largest share of a template that was found.
     """
     spark = docs.sparkSession
     phrases = [(p, label, True) for p, label in base] + [(p, label, False) for p, label in wordings]
@@ -112,7 +112,7 @@ def scan_licenses(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE_PHRASE
                 raw = raw_all[off_all[i] : off_all[i + 1]]
                 low, ws, we, _ = split_words(raw, np.array([0, len(raw)]), ALNUM)
                 told = lambda lo, hi: word_hashes(low, ws[lo:hi], we[lo:hi])
-                spans, best = [], 0.0
+                spans, close, best = [], [], 0.0
                 for d in diagonals:
                     w = words[d["t"]]
                     lo = d["diag"]
@@ -125,8 +125,13 @@ def scan_licenses(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE_PHRASE
                     share = sum(m.size for m in match) / len(words[t])
                     if share >= LEAST:
                         first = a + match[0].a
-                        spans.append((first, a + match[-1].a + match[-1].size - first, phrases[t][1], False))
+                        close.append((share, sum(m.size for m in match), first, a + match[-1].a + match[-1].size, phrases[t][1]))
                     best = max(best, min(1.0, share))
+                taken: list[tuple[int, int]] = []
+                for _, _, lo, hi, label in sorted(close, key=lambda c: (-c[0], -c[1], c[2:])):
+                    if all(hi <= x or lo >= y for x, y in taken):
+                        taken.append((lo, hi))
+                        spans.append((lo, hi - lo, label, False))
                 spans.sort()
                 own = [s for s in spans if s[3]]
                 out.append((doc, n_words, len(own), own[0][0] if own else None, own[-1][0] if own else None, ",".join(sorted({s[2] for s in own})), ",".join(sorted({s[2] for s in spans})), best, [{"label": s[2], "first": s[0], "words": s[1]} for s in spans]))

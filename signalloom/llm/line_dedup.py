@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import drop, stage
+from .staging import drop, fresh, stage
 
 #: Batches that the one-shot form deals documents into, and runs of a level that are merged.
 BATCHES, FANOUT = 3, 2
@@ -145,9 +145,10 @@ def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 10, batches: int = B
         runs.add(counted.where(F.col("batch") == b).drop("batch"))
     repeated = stage(runs.settled(), "line-settled")
     hits = _places(docs).join(repeated, ["h1", "h2"]).groupBy("doc_id", "th").agg(F.collect_set("i").alias("lines"))
-    hits = stage(hits, "line-hits").select(F.col("doc_id").alias("_k"), F.col("th").alias("_th"), F.col("lines").alias("_lines"))
+    key, th, lines = fresh(docs, "doc", "th", "lines")
+    hits = stage(hits, "line-hits").select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("lines").alias(lines))
     # Merged, never broadcast: the plan, and so the share of input that is shuffled, is the same at every size.
-    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_k")) & (F.xxhash64("text") == F.col("_th")), "left").drop("_k", "_th")
+    joined = docs.join(hits.hint("merge"), docs.doc_id.eqNullSafe(hits[key]) & (F.xxhash64(docs.text) == hits[th]), "left").drop(key, th)
     names = docs.columns
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     where = names.index("text")

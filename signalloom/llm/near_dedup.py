@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import fresh, stage
 from .textkit import NONSPACE, buffers, mix, rounds, split_words, window_hashes, windows_within, word_hashes
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -252,5 +252,6 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 80) -> DataFr
 
 def keep_first(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which each is its component's first; of rows with equal doc_id and component all stay."""
-    kept = near_duplicates(docs, k=k, percent=percent).where("kept").select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
+    (key,) = fresh(docs, "doc")
+    kept = near_duplicates(docs, k=k, percent=percent).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")

@@ -52,3 +52,14 @@ def drop(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
         drop_path(df.sparkSession, f)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
