@@ -12,23 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from signalloom.llm.staging import stage
+from signalloom.llm.staging import small_batches, stage
+
+#: Workers of the last stage have run the others before it, so their memo of pieces is smaller.
+MEMO_PIECES = 200_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.score_documents(docs, quality.train(docs, labels)).where("predicted = 1").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand in ten or more of them; n_chars follows the text."""
+    small_batches(spark)
     kept = line_dedup.drop_repeated_lines(docs).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, a similarity of 0.8)."""
+    small_batches(spark)
     return near_dedup.keep_first(docs, k=5, percent=80)
 
 
@@ -39,7 +45,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, packed in sequences of 1024 tokens."""
-    return packing.packing_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    small_batches(spark)
+    return packing.packing_digest(docs, public_tokenizers.path("byte_bpe_50k.json"), memo_pieces=MEMO_PIECES)
 
 
 STAGES = [("quality", keep_quality), ("lines", drop_lines), ("near", keep_one_of_near), ("leaks", drop_leaks), ("pack", pack)]

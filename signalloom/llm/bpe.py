@@ -14,8 +14,8 @@ import re
 
 import numpy as np
 
-#: A memo is emptied at so many pieces; longer pieces never enter it.
-MEMO_PIECES, MEMO_CHARS = 600_000, 48
+#: A memo is emptied at so many pieces (some 230 bytes each); longer pieces never enter it.
+MEMO_PIECES, MEMO_CHARS = 1_000_000, 48
 #: Characters that Python takes for white space and the library's patterns don't.
 _ODD = re.compile("[\x1c-\x1f]")
 #: A space that another white space or the end follows: pieces would cut a run of white space.
@@ -39,13 +39,14 @@ class PieceEncoder:
     BPE); else white space is dropped (word-level BPE). Null counts as empty.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, memo_pieces: int = MEMO_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model, self.spaced = Tokenizer.from_file(path), spaced
         self.end = self.model.token_to_id(_END)
         self.memo: dict[str, bytes] = {}
+        self.memo_pieces = memo_pieces
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
@@ -81,7 +82,7 @@ class PieceEncoder:
         cut = [self.pieces(t) if t else [] for t in texts]
         memo = self.memo
         new = set().union(*(p for p in cut if p)).difference(memo) if cut else set()
-        if len(memo) + len(new) > MEMO_PIECES:
+        if len(memo) + len(new) > self.memo_pieces:
             memo.clear()
             new = set().union(*(p for p in cut if p))
         new = list(new)
@@ -94,11 +95,12 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+_encoders: dict[tuple[str, bool, int], PieceEncoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> PieceEncoder:
+def encoder(path: str, spaced: bool, memo_pieces: int = MEMO_PIECES) -> PieceEncoder:
     """One encoder a Python worker."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = PieceEncoder(path, spaced)
-    return _encoders[path, spaced]
+    key = (path, spaced, memo_pieces)
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(*key)
+    return _encoders[key]

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import MEMO_PIECES, encoder
 
 #: Tails that are packed together, and tokens that a group holds at most.
 GROUP_TAILS, GROUP_TOKENS = 32_768, 16_000_000
@@ -75,7 +75,7 @@ def best_fit(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int
     return windows, offsets, n
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, width: int = 1024, end_id: int = 0, spaced: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, width: int = 1024, end_id: int = 0, spaced: bool = True, memo_pieces: int = MEMO_PIECES) -> DataFrame:
     """Pieces of every document: where its ids lie and in which sequence, with the ids (little-endian uint32 bytes).
 
     A null or empty text is one piece, ``end_id`` alone. Rows that share a
@@ -85,7 +85,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, width: int = 1024, end_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer, spaced), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(tokenizer, spaced, memo_pieces), np.array([end_id], dtype="<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         used, tails, held = 0, [], 0
 
@@ -132,6 +132,6 @@ def sequences(pieces: DataFrame, *, width: int = 1024, pad_id: int = 0) -> DataF
     return pieces.groupBy("sequence_id").agg(joined.alias("ids")).withColumn("ids", F.concat("ids", F.when(short > 0, padding).otherwise(F.lit("").cast("binary"))))
 
 
-def packing_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
+def packing_digest(docs: DataFrame, tokenizer: str, **options: int) -> DataFrame:
     """The packed pieces with a checksum in place of their ids."""
-    return pack_documents(docs, tokenizer).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack_documents(docs, tokenizer, **options).withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -99,16 +99,32 @@ def anchors(raw: np.ndarray, off: np.ndarray, threshold: int, digit: int = DIGIT
     least = np.where(valid, least, _U(0))
     padded = np.concatenate([np.zeros(span - 1, _U), least, np.zeros(span - 1, _U)])
     place = np.flatnonzero(_sliding(padded, span, np.maximum)[: len(g)] == g)
-    own = g[place]
     doc = np.searchsorted(off, place, side="right") - 1
-    hi, lo = np.full(len(place), span - 1), np.zeros(len(place), dtype=np.int64)
-    for d in range(span - 1, 0, -1):
-        hi[g[np.maximum(place - d, 0)] < own] = d - 1
-        lo[g[np.minimum(place + d, len(g) - 1)] < own] = span - d
-    hi = np.minimum(hi, place - off[doc])
-    lo = np.maximum(lo, place + threshold - off[doc + 1])
+    # The least place moves on with the window: runs of equal least hashes and places come in the same order.
+    new = valid.copy()
+    new[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
+    new[off[long]] = True
+    run = np.flatnonzero(new)
+    home = np.searchsorted(off, run, side="right") - 1
+    last = np.empty(len(run), dtype=np.int64)
+    last[:-1] = run[1:] - 1
+    last[-1:] = len(raw)
+    last = np.minimum(last, off[home + 1] - threshold)
+    per_doc = np.bincount(doc, minlength=len(off)) - np.bincount(home, minlength=len(off))
+    single, first = per_doc[doc] == 0, per_doc[home] == 0
+    lo, hi = np.zeros(len(place), dtype=np.int64), np.full(len(place), span - 1)
+    lo[single], hi[single] = place[single] - last[first], place[single] - run[first]
+    if not single.all():
+        # Equal hashes within a window: each place's range is up to the next lesser hash on either side.
+        some = place[~single]
+        own, low, high = g[some], np.zeros(len(some), dtype=np.int64), np.full(len(some), span - 1)
+        for d in range(span - 1, 0, -1):
+            high[g[np.maximum(some - d, 0)] < own] = d - 1
+            low[g[np.minimum(some + d, len(g) - 1)] < own] = span - d
+        hi[~single] = np.minimum(high, some - off[doc[~single]])
+        lo[~single] = np.maximum(low, some + threshold - off[doc[~single] + 1])
     keep = lo <= hi
-    return hashes, own[keep], place[keep], lo[keep], hi[keep], doc[keep]
+    return hashes, g[place][keep], place[keep], lo[keep], hi[keep], doc[keep]
 
 
 def parts(batch: pa.RecordBatch, threshold: int, width: int):
@@ -188,8 +204,8 @@ def _candidates(threshold: int, width: int | None, shared, differ, with_bytes: b
                 continue
             d1, place, lo, hi, doc, at, word, bit = (x[keep] for x in (d1, place, lo, hi, doc, at, word, bit))
             take = pa.array(doc)
-            columns = [pa.array(d1.view(np.int64)), pa.array(_second(hashes, place, lo, hi, threshold).view(np.int64)), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(at), pa.array(lo), pa.array(hi)]
-            names = ["d1", "d2", "doc_id", "th", "place", "lo", "hi"]
+            columns = [pa.array(d1.view(np.int64)), pa.array(_second(hashes, place, lo, hi, threshold).view(np.int64)), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(at << 16 | hi << 8 | lo)]
+            names = ["d1", "d2", "doc_id", "th", "at"]
             if with_bytes:
                 data, shown = raw.tobytes(), ((other[word] >> bit) & _U(1)) != 0
                 payload = [data[a:b] if s else None for a, b, s in zip((place - hi).tolist(), (place - lo + threshold).tolist(), shown.tolist(), strict=True)]
@@ -199,12 +215,13 @@ def _candidates(threshold: int, width: int | None, shared, differ, with_bytes: b
     return run
 
 
-_SUFFIX = "d1 long, d2 long, doc_id long, th long, place long, lo long, hi long"
+#: ``at``: place, most and least start offset before it, in one number that sorts as the place does.
+_SUFFIX = "d1 long, d2 long, doc_id long, th long, at long"
 
 
 def _order() -> Column:
     """Order of places: doc_id (nulls first), text hash among rows that share it, byte."""
-    return F.struct(F.col("doc_id").isNotNull().alias("id"), "doc_id", "th", "place")
+    return F.struct(F.col("doc_id").isNotNull().alias("id"), "doc_id", "th", "at")
 
 
 def _pass(source: DataFrame, threshold: int, width: int | None) -> tuple[DataFrame, DataFrame]:
@@ -217,17 +234,20 @@ def _pass(source: DataFrame, threshold: int, width: int | None) -> tuple[DataFra
     shared, differ = context.broadcast(_bitmap(known)), context.broadcast(_bitmap(known.where("differ")))
     drop(known)
     whole = source.mapInArrow(_candidates(threshold, width, shared, differ, True), f"{_SUFFIX}, bytes binary")
-    first = whole.groupBy("d1", "d2").agg(F.min(F.struct(_order().alias("at"), "lo", "hi", "bytes")).alias("x"))
-    first = stage(first.select("d1", "d2", "x.at.doc_id", "x.at.th", "x.at.place", "x.lo", "x.hi", "x.bytes"), f"{name}-first")
+    first = whole.groupBy("d1", "d2").agg(F.min(F.struct(_order().alias("order"), "bytes")).alias("x"))
+    first = stage(first.select("d1", "d2", "x.order.doc_id", "x.order.th", "x.order.at", "x.bytes"), f"{name}-first")
     places = source.mapInArrow(_candidates(threshold, width, shared, differ, False), _SUFFIX)
     earliest = first.select("d1", "d2", _order().alias("first")).hint("merge")
     later = places.join(earliest, ["d1", "d2"]).where(_order() != F.col("first"))
-    spans = stage(later.select("doc_id", "th", (F.col("place") - F.col("hi")).alias("lo"), (F.col("place") - F.col("lo") + threshold).alias("hi")), f"{name}-spans")
-    return spans, first.where("bytes is not null").select("doc_id", "th", "place", "lo", "hi", "bytes")
+    place, most, least = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255)), F.col("at").bitwiseAND(F.lit(255))
+    spans = stage(later.select("doc_id", "th", (place - most).alias("lo"), (place - least + threshold).alias("hi")), f"{name}-spans")
+    return spans, first.where("bytes is not null").select("doc_id", "th", place.alias("place"), least.alias("lo"), most.alias("hi"), "bytes")
 
 
 def repeated_spans(docs: DataFrame, threshold: int = 100) -> DataFrame:
     """(doc_id, th, lo, hi): byte intervals that together are all repeats; ``th`` tells apart rows that share a doc_id."""
+    if not DIGIT < threshold <= DIGIT + 255:
+        raise ValueError("threshold out of range")
     spans, rest = _pass(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), threshold, None)
     for width in WIDTHS:
         more, rest = _pass(rest, threshold, width)
