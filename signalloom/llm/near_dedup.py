@@ -10,9 +10,10 @@ registers make a band; documents that share a band meet.
 * Classes that share a band aren't paired with each other. In each band bucket
   one class leads - the one that meets most others over all its bands, which
   in a group of edited copies is the least edited - and the others are paired
-  with it. Those that prove not to be linked with their leader form the
-  leader's bucket of the next round, under a new leader. A bucket of up to
-  ROUNDS + 1 members is thereby compared in full.
+  with it. The buckets under one leader are its crowd. In a crowd, the HUBS
+  members that meet most others are then compared with all, except where both
+  are already linked with the leader. A crowd of up to HUBS + 2 classes is
+  thereby compared in full.
 * Pairs whose collision-corrected Jaccard estimate lies well below the limit
   are left out; the rest are confirmed on the full sets. A leader's members are
   dealt over many tasks, each of which gets the leader's text once.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import fresh, stage
@@ -38,7 +39,8 @@ BANDS = REGISTERS // BAND
 CHANCE = 0.169919487159739
 #: Standard deviations below the limit at which an estimate rules a pair out.
 MARGIN = 5.0
-ROUNDS = 3
+#: Members of a leader's crowd, besides the leader, that all others not tied with it are compared with.
+HUBS = 8
 #: Members of a leader that one task compares, and keys up to which texts are picked by broadcast.
 DEAL, BROADCAST_KEYS = 256, 250_000
 _U = np.uint64
@@ -222,26 +224,23 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 80) -> DataFr
     rows = rows.join(rank, "node").select("node", F.col("n").alias("size"), "rank", "key", F.explode(F.array(size, size + 1)).alias("class"))
     rows = stage(rows, "near-buckets")
     sig = nodes.select("node", "sig")
-    links = None
-    for i in range(ROUNDS):
-        lead = rows.groupBy("key", "class").agg(F.max(F.struct("rank", "node", "size")).alias("x"), F.count("*").alias("m")).where("m > 1").select("key", "class", F.col("x.node").alias("leader"), F.col("x.size").alias("lead_size"))
-        met = rows.join(lead, ["key", "class"]).where("node <> leader")
-        if i + 1 < ROUNDS:
-            met = stage(met, f"near-met-{i}")
-        fit = F.expr(f"100 * least(size, lead_size) >= {percent} * greatest(size, lead_size)")
-        pairs = met.where(fit).select("node", "leader").distinct()
-        if links is not None:
-            pairs = pairs.join(links.select(F.col("u").alias("node"), F.col("v").alias("leader")), ["node", "leader"], "left_anti")
+    fit = lambda a, b: F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+
+    def linked(pairs: DataFrame, tag: str) -> DataFrame:
         signed = pairs.join(sig, "node").withColumnRenamed("sig", "s1").join(sig.select(F.col("node").alias("leader"), F.col("sig").alias("s2")), "leader")
-        close = stage(signed.select("node", "leader", "s1", "s2").mapInArrow(_estimated(percent / 100), "node long, leader long"), f"near-pairs-{i}")
-        found = stage(_confirm(close, nodes, docs, k, percent), f"near-links-{i}")
-        links = found if links is None else stage(links.unionByName(found), f"near-all-{i}")
-        if i + 1 < ROUNDS:
-            linked = found.select(F.col("u").alias("node"), F.col("v").alias("leader"))
-            # Buckets under one leader hold much the same crowd: those it isn't linked with meet in one bucket of the next round.
-            crowd = met.groupBy("node", "leader", "class").agg(F.first("size").alias("size"), F.first("rank").alias("rank"))
-            rest = crowd.join(linked, ["node", "leader"], "left_anti")
-            rows = stage(rest.select("node", "size", "rank", F.col("leader").alias("key"), "class"), f"near-rest-{i}")
+        close = signed.select("node", "leader", "s1", "s2").mapInArrow(_estimated(percent / 100), "node long, leader long")
+        return stage(_confirm(stage(close, f"near-pairs-{tag}"), nodes, docs, k, percent), f"near-links-{tag}")
+
+    lead = rows.groupBy("key", "class").agg(F.max(F.struct("rank", "node", "size")).alias("x"), F.count("*").alias("m")).where("m > 1").select("key", "class", F.col("x.node").alias("leader"), F.col("x.size").alias("lead_size"))
+    met = rows.join(lead, ["key", "class"]).where("node <> leader")
+    crowd = stage(met.groupBy("leader", "class", "node").agg(F.first("size").alias("size"), F.first("rank").alias("rank"), F.first("lead_size").alias("lead_size")), "near-crowds")
+    links = linked(crowd.where(fit("size", "lead_size")).select("node", "leader").distinct(), "first")
+    tied = links.select(F.col("u").alias("node"), F.col("v").alias("leader"), F.lit(True).alias("tied"))
+    crowd = stage(crowd.join(tied, ["node", "leader"], "left").withColumn("tied", F.coalesce("tied", F.lit(False))), "near-tied")
+    top = crowd.withColumn("nth", F.row_number().over(Window.partitionBy("leader", "class").orderBy(F.desc("rank"), F.desc("node")))).where(F.col("nth") <= HUBS)
+    top = top.select("leader", "class", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("tied").alias("hub_tied"))
+    again = crowd.join(top, ["leader", "class"]).where("node <> hub and not (tied and hub_tied)").where(fit("size", "hub_size"))
+    links = stage(links.unionByName(linked(again.select("node", F.col("hub").alias("leader")).distinct(), "again")), "near-all")
     roots = components(links)
     named = roots.join(least.select("node", "doc_id"), "node")
     of = stage(named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id"), "near-components")
