@@ -15,7 +15,7 @@ _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
 INVERSE = _U(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text that one round of the kernels takes at most (a longer document is a round of its own).
-ROUND_BYTES = 1 << 20
+ROUND_BYTES = 1 << 17
 
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
