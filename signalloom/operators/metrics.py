@@ -157,3 +157,27 @@ def bootstrap_interval(df: DataFrame, value: str, entity: str, *, draws: int = 2
     drawn = grid.withColumn("pick", (F.col("draw") * 7919 + F.col("slot") * 104729 + F.col("draw") * F.col("slot") * 31 + seed) % F.col("n"))
     stat = drawn.join(slots.select(F.col("slot").alias("pick"), "m"), "pick").groupBy("draw").agg(F.avg("m").alias("stat"))
     return stat.agg(F.percentile("stat", 0.025).alias("lower_95"), F.percentile("stat", 0.975).alias("upper_95"), F.count("*").alias("draws"))
+
+
+def block_bootstrap_sharpe(daily: DataFrame, ret: str, *, block: int = 5, draws: int = 200, seed: int = 12345, days: int = TRADING_DAYS) -> DataFrame:
+    """95% interval of the Sharpe ratio under resampling of blocks of consecutive sessions; draws without deviation are left out.
+
+    As in ``bootstrap_interval``, starts of blocks are a linear congruence of (draw, block).
+    """
+    series = daily.select(F.col(ret).alias("r"), (F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("slot"))
+    n = series.agg(F.count("*").alias("n"))
+    blocks = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("b"))
+    grid = blocks.crossJoin(daily.sparkSession.range(draws).withColumnRenamed("id", "draw"))
+    start = (F.col("draw") * 7919 + F.col("b") * 104729 + F.col("draw") * F.col("b") * 31 + seed) % (F.col("n") - block + 1)
+    cells = grid.withColumn("start", start).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("b") * block + F.col("j") < F.col("n"))
+    drawn = cells.select("draw", (F.col("start") + F.col("j")).alias("slot")).join(series, "slot")
+    stat = drawn.groupBy("draw").agg(sharpe("r", days).alias("stat")).where("stat is not null")
+    return stat.agg(F.percentile("stat", 0.025).alias("lower_95"), F.percentile("stat", 0.975).alias("upper_95"), F.count("*").alias("draws"))
+
+
+def permute_within(df: DataFrame, column: str, out: str, *, key: str, seed: int, group: str) -> DataFrame:
+    """``out``: the values of ``column`` dealt anew among the rows of each group, by a seeded hash of ``key``."""
+    own = Window.partitionBy(group).orderBy(key)
+    dealt = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), key).cast("binary")), key)
+    right = df.select(group, F.col(column).alias(out), F.row_number().over(dealt).alias("_n"))
+    return df.withColumn("_n", F.row_number().over(own)).join(right, [group, "_n"]).drop("_n")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..functions.stats import correlation_p
 from ..operators import align, cascade, contracts, costs, ledger, metrics, portfolio, screen, sequential, signals, splits
 from . import decisions, views
 from .oracle import with_base
@@ -402,3 +402,24 @@ def energy_integral(spark, d):
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 1e6
     rows = views.table(spark, d, "events").withColumn("energy", (F.col("value") + F.lag("value").over(w)) / 2 * seconds)
     return rows.groupBy("user_id").agg(F.round(F.sum("energy"), 6).alias("energy"), r8(F.avg("value")).alias("mean_power"), F.max("value").alias("max_power"))
+
+
+@query(_BOOK + """, s as (select net_return as r, row_number() over (order by date) - 1 as slot, count(*) over () as n from book), g as (select d.draw, (d.draw * 7919 + b.b * 104729 + d.draw * b.b * 31 + 12345) % (b.n - 5 + 1) + j.j as slot from (select distinct n, unnest(range(cast(ceil(n / 5.0) as bigint))) as b from (select any_value(n) as n from s)) b, (select unnest(range(200)) as draw) d, (select unnest(range(5)) as j) j where b.b * 5 + j.j < b.n
+), st as (select draw, case when count(*) >= 2 and stddev_samp(r) > 0 then avg(r) / stddev_samp(r) * sqrt(252) end as stat from g join s using (slot) group by 1) select round(quantile_cont(stat, 0.025), 8) as lower_95, round(quantile_cont(stat, 0.975), 8) as upper_95, count(stat) as draws from st""")
+def sharpe_interval(spark, d):
+    """AGG-25, AGG-24: session blocks."""
+    return rounded(metrics.block_bootstrap_sharpe(_book(spark, d), "net_return"))
+
+
+@query(""", p as (select article_id, ticker, score, row_number() over (partition by ticker order by article_id) as n, row_number() over (partition by ticker order by md5('9:' || article_id), article_id) as m from events) select a.article_id, b.score as placebo from p a join p b on a.ticker = b.ticker and a.n = b.m""")
+def placebo_signal(spark, d):
+    """WIN-10."""
+    return metrics.permute_within(views.events(spark, d).select("article_id", "ticker", "score"), "score", "placebo", key="article_id", seed=9, group="ticker").select("article_id", "placebo")
+
+
+@query()
+def ic_pvalues(spark, d):
+    """AGG-14: p-values of each split's correlations."""
+    rows = metrics.long_returns(signals.with_ladder(views.events(spark, d)), views.HORIZONS).where(metrics.usable())
+    ic = metrics.association(rows, "signal_weighted", "ret", "research_split", "horizon")
+    return ic.withColumns({"pearson_p": correlation_p("pearson", "n"), "spearman_p": correlation_p("spearman", "n")})

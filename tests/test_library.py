@@ -244,3 +244,10 @@ def test_sinks_and_governance(spark, tmp_path):
         governance.refuse_change({"a": 1}, {"a": 2})
     with pytest.raises(ValueError):
         governance.check_budget(1.0, 0.5, 1.2)
+
+
+def test_t_distribution():
+    from signalloom.functions.stats import incomplete_beta, t_two_sided
+
+    assert math.isclose(incomplete_beta(2, 3, 0.5), 0.6875, rel_tol=1e-12) and math.isclose(incomplete_beta(1, 1, 0.3), 0.3, rel_tol=1e-12)
+    assert math.isclose(t_two_sided(1.0, 1), 0.5, rel_tol=1e-10) and math.isclose(t_two_sided(2.0, 2), 1 - 2 / math.sqrt(6), rel_tol=1e-10)

@@ -43,7 +43,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(a) == rows(b)
 
 
-@pytest.mark.parametrize("name", ["capacity_book", "near_duplicate_stories", "story_clusters", "balanced_sample", "rebalance_engine"])
+@pytest.mark.parametrize("name", ["capacity_book", "near_duplicate_stories", "story_clusters", "balanced_sample", "rebalance_engine", "ic_pvalues"])
 def test_query_without_sql_runs(spark, name):
     df = entry.queries()[name](spark, SF)
     assert df.count() >= 0 and df.columns
