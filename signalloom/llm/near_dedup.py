@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 80) -> DataFr
     rows = stage(rows.join(shared, "key"), "near-bands")
     rank = stage(rows.groupBy("node").agg(F.sum("m").alias("rank")), "near-rank")
     # Sets whose sizes allow a link share a size class: each stands in its own and the next.
-    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
+    class_of = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.0 / percent)))
+    size = class_of("n")
     rows = rows.join(rank, "node").select("node", F.col("n").alias("size"), "rank", "key", F.explode(F.array(size, size + 1)).alias("class"))
     rows = stage(rows, "near-buckets")
     sig = nodes.select("node", "sig")
@@ -239,7 +240,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 80) -> DataFr
     crowd = stage(crowd.join(tied, ["node", "leader"], "left").withColumn("tied", F.coalesce("tied", F.lit(False))), "near-tied")
     top = crowd.withColumn("nth", F.row_number().over(Window.partitionBy("leader", "class").orderBy(F.desc("rank"), F.desc("node")))).where(F.col("nth") <= HUBS)
     top = top.select("leader", "class", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("tied").alias("hub_tied"))
-    again = crowd.join(top, ["leader", "class"]).where("node <> hub and not (tied and hub_tied)").where(fit("size", "hub_size"))
+    # Two sizes share one class or two; the pair counts in the class of the larger.
+    once = F.col("class") == F.greatest(class_of("size"), class_of("hub_size"))
+    again = crowd.join(top, ["leader", "class"]).where("node <> hub and not (tied and hub_tied)").where(fit("size", "hub_size") & once)
     links = stage(links.unionByName(linked(again.select("node", F.col("hub").alias("leader")).distinct(), "again")), "near-all")
     roots = components(links)
     named = roots.join(least.select("node", "doc_id"), "node")
