@@ -14,6 +14,10 @@ registers make a band; documents that share a band meet.
   members that meet most others are then compared with all, except where both
   are already linked with the leader. A crowd of up to HUBS + 2 classes is
   thereby compared in full.
+* What is left of a larger crowd, the pairs of members of which neither is a
+  hub and which no chain of links joins yet, is settled block by block: a
+  crowd's members are dealt into blocks, and each two blocks meet in one task,
+  first by registers, then, where an estimate demands it, by full sets.
 * Pairs whose collision-corrected Jaccard estimate lies well below the limit
   are left out; the rest are confirmed on the full sets. A leader's members are
   dealt over many tasks, each of which gets the leader's text once.
@@ -43,6 +47,8 @@ MARGIN = 5.0
 HUBS = 8
 #: Members of a leader that one task compares, and keys up to which texts are picked by broadcast.
 DEAL, BROADCAST_KEYS = 256, 250_000
+#: Members of a block of a crowd, and shingles that a block may hold (fewer members then, one at least).
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 _U = np.uint64
 
 
@@ -167,15 +173,111 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
     members = pairs.join(deals, "leader").select("leader", F.expr("cast(pmod(xxhash64(node), deals) as int)").alias("deal"), "node")
     heads = deals.select("leader", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("leader").alias("node"))
     wanted = members.unionByName(heads)
+    texts = _texts(wanted, nodes, docs)
+    rows = wanted.join(texts.hint("merge"), "node").select("leader", "deal", "node", "text", (F.col("node") != F.col("leader")).alias("later"))
+    dealt = rows.repartition("leader", "deal").sortWithinPartitions("leader", "deal", "later")
+    return dealt.drop("later").mapInArrow(_confirmed(k, percent), "u long, v long")
+
+
+def _block_estimated(least: float, percent: int):
+    """Members of two blocks that an estimate can't rule out, each with those partners (of the second block or later in its own) that no link joins to it yet."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        cls, lo, hi = (k.as_py() for k in key[1:4])
+        node, root, size, block, own = (rows.column(c).to_numpy() for c in ("node", "root", "size", "block", "own"))
+        order = np.lexsort((node, block))
+        node, root, size, block, own = node[order], root[order], size[order], block[order], own[order]
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS)[order]
+        start = int(np.searchsorted(block, hi)) if lo != hi else 0
+        partners: dict[int, np.ndarray] = {}
+        for i in range(start if lo != hi else len(node)):
+            j = np.arange(max(start, i + 1), len(node))
+            # Two sizes share one class or two; the pair counts in the class of the larger.
+            j = j[(root[j] != root[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])) & (np.maximum(own[j], own[i]) == cls)]
+            if len(j):
+                e, n = estimate(sig[j], sig[i])
+                j = j[e >= least - MARGIN * np.sqrt(least * (1 - least) / np.maximum(n, 1)) - 1e-9]
+            if len(j):
+                partners[i] = j
+        at = sorted({*partners, *(int(x) for j in partners.values() for x in j)})
+        lists = [node[partners[i]].tolist() if i in partners else [] for i in at]
+        same = lambda k: pa.array([k.as_py()] * len(at), pa.int64())
+        return pa.table([same(key[0]), same(key[1]), same(key[2]), same(key[3]), pa.array(node[at], pa.int64()), pa.array(root[at], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["leader", "class", "lo", "hi", "node", "root", "partners"])
+
+    return run
+
+
+def _block_confirmed(k: int, percent: int):
+    """Links of the pairs of two blocks whose full sets are close enough, less those whose ends are joined before."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        raw, off = buffers(rows.column("text"))
+        parts = [shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], k) for a, b in rounds(off)]
+        sets = [grams[first[i] : first[i + 1]] for grams, first in parts for i in range(len(first) - 1)]
+        length = np.array([len(x) for x in sets])
+        words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(ids, np.cumsum(length)[:-1])
+        node = rows.column("node").to_pylist()
+        place = {x: i for i, x in enumerate(node)}
+        label = np.unique(rows.column("root").to_numpy(), return_inverse=True)[1]
+        mark, u, v = np.zeros(len(words), dtype=bool), [], []
+        for i, others in enumerate(rows.column("partners").to_pylist()):
+            j = np.array([place[x] for x in others], dtype=np.int64)
+            j = j[label[j] != label[i]]
+            if not len(j):
+                continue
+            mark[sets[i]] = True
+            both = np.add.reduceat(mark[np.concatenate([sets[x] for x in j])].astype(np.int64), np.concatenate([[0], np.cumsum(length[j])[:-1]]))
+            mark[sets[i]] = False
+            for x in j[100 * both >= percent * (length[i] + length[j] - both)]:
+                if label[x] != label[i]:
+                    label[label == label[x]] = label[i]
+                    u.append(node[i])
+                    v.append(node[x])
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of each node in ``wanted``."""
     keys = stage(wanted.select("node").distinct().join(nodes.select("node", "doc_id", "th"), "node"), "near-keys")
     on = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("h"))
     texts = docs
     if keys.count() <= BROADCAST_KEYS:
         texts = docs.join(F.broadcast(keys.select(F.col("doc_id").alias("k"), F.col("th").alias("h"))), on, "left_semi")
-    texts = keys.join(texts.select(F.col("doc_id").alias("k"), F.col("th").alias("h"), "text").dropDuplicates(["k", "h"]), on).select("node", "text")
-    rows = wanted.join(texts.hint("merge"), "node").select("leader", "deal", "node", "text", (F.col("node") != F.col("leader")).alias("later"))
-    dealt = rows.repartition("leader", "deal").sortWithinPartitions("leader", "deal", "later")
-    return dealt.drop("later").mapInArrow(_confirmed(k, percent), "u long, v long")
+    return keys.join(texts.select(F.col("doc_id").alias("k"), F.col("th").alias("h"), "text").dropDuplicates(["k", "h"]), on).select("node", "text")
+
+
+def _settle(crowd: DataFrame, hubs: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, class_of) -> DataFrame:
+    """(node, root) once more, with the links among members of a crowd that are neither its leader nor its hubs."""
+    big = crowd.groupBy("leader", "class").agg(F.count("*").alias("m")).where(F.col("m") > HUBS + 1).select("leader", "class")
+    rest = crowd.join(big, ["leader", "class"]).join(hubs.select("leader", "class", F.col("hub").alias("node")), ["leader", "class", "node"], "left_anti")
+    rest = stage(rest.select("leader", "class", "node", "size"), "near-rest")
+    if rest.isEmpty():
+        return roots
+    rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = rest.groupBy("leader", "class").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("leader", "class", "m")
+    # A block is of so few members that its sets fit: those of class c hold less than (100 / percent) ** (c + 1) shingles.
+    members = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), BLOCK_SHINGLES / F.pow(F.lit(100.0 / percent), F.col("class") + 1)))
+    open_ = open_.withColumn("blocks", F.ceil(F.col("m") / members).cast("int"))
+    dealt = rest.join(open_, ["leader", "class"]).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    dealt = dealt.join(nodes.select("node", "sig"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("leader", "class", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", class_of("size").alias("own"), "sig")
+    group = ["leader", "class", "lo", "hi"]
+    close = dealt.groupBy(*group).applyInArrow(_block_estimated(percent / 100, percent), "leader long, class long, lo long, hi long, node long, root long, partners array<long>")
+    close = stage(close, "near-blocks")
+    if close.isEmpty():
+        return roots
+    found = stage(close.join(_texts(close, nodes, docs).hint("merge"), "node").groupBy(*group).applyInArrow(_block_confirmed(k, percent), "u long, v long"), "near-links-rest")
+    if found.isEmpty():
+        return roots
+    # Only the roots are joined anew: a node that had no link is its own.
+    root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = found.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    joined = stage(components(ends).select(F.col("node").alias("root"), F.col("root").alias("next")), "near-joined")
+    moved = roots.join(joined, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return moved.unionByName(joined.select(F.col("root").alias("node"), F.col("next").alias("root"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,7 +346,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 80) -> DataFr
     once = F.col("class") == F.greatest(class_of("size"), class_of("hub_size"))
     again = crowd.join(top, ["leader", "class"]).where("node <> hub and not (tied and hub_tied)").where(fit("size", "hub_size") & once)
     links = stage(links.unionByName(linked(again.select("node", F.col("hub").alias("leader")).distinct(), "again")), "near-all")
-    roots = components(links)
+    roots = _settle(crowd, top, stage(components(links), "near-roots"), nodes, docs, k, percent, class_of)
     named = roots.join(least.select("node", "doc_id"), "node")
     of = stage(named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id"), "near-components")
     joined = sets.select("doc_id", "n", node).join(least.select(F.col("node").alias("own"), F.col("doc_id").alias("class_id")), F.col("node") == F.col("own"), "left").drop("own").join(of, "node", "left")

@@ -345,6 +345,23 @@ def test_near_duplicates(spark, docs, texts, awkward, empty):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.keep_first(empty).count() == 0
 
 
+def test_pairs_far_from_all_hubs_are_linked(spark):
+    random.seed(9)
+    form = [f"w{i}" for i in range(2000)]
+
+    def fill(words, places, tag):
+        return [f"{tag}x{i}" if i in places else w for i, w in enumerate(words)]
+
+    slots = range(2, 1998, 4)
+    rows = []
+    for p in range(150):
+        letter = fill(form, set(random.sample(slots, 7)), f"p{p}")
+        rows += [(2 * p + i, " ".join(fill(letter, set(random.sample(slots, 26)), f"d{p}n{i}"))) for i in range(2)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, rows).repartition(3), k=4).collect()}
+    assert got == {d: c for d, (_, c, _) in near_by_hand(rows, 4).items()}
+    assert len(set(got.values())) > 100
+
+
 def test_estimates_follow_jaccard():
     rng = np.random.default_rng(6)
     errors = []
