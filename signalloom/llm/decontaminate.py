@@ -4,8 +4,9 @@ Numbers, units after numbers and names (capitalised words that don't begin a
 sentence) become typed placeholders, so that a question whose numbers or names
 were exchanged keeps its template. Every K-word window of every document's
 template is joined by hash to the windows of the benchmark's templates; matches
-are counted by diagonal. A passage that covers enough of an item then has its
-slots checked: each value of the item must stand for one value of the passage
+are counted by diagonal, and diagonals a few words apart are also counted
+together, as words put in or left out shift what follows. A passage that covers
+enough of an item then has its slots checked, piece by piece: each value of the item must stand for one value of the passage
 throughout, and the other way round. Else the likeness is one of form only.
 
 DataFrame functions only. The benchmark's windows are broadcast where the
@@ -22,6 +23,8 @@ from .staging import fresh, stage
 K = 8
 #: Share of an item's windows that a passage must match, and literal words that a window must hold.
 COVER, LITERAL = 0.5, 4
+#: Words between neighbouring diagonals up to which they are one passage.
+DRIFT = 8
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "mi", "miles", "feet", "ft", "inches", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "year", "dollars", "usd", "euros", "eur", "cents", "percent", "liters", "litres", "l", "ml", "mph", "kmh")
 #: Candidate documents up to which their keys are broadcast to spare the texts a shuffle.
 BROADCAST_KEYS = 250_000
@@ -78,8 +81,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     hashed = keyed.select("doc_id", "th", _held(template(F.col("text"))).alias("words")).select("doc_id", "th", _held(_hashed(F.col("words"))).alias("hashed"))
     grams = hashed.select("doc_id", "th", F.posexplode(_windows(F.col("hashed"))).alias("p", "w"))
-    votes = grams.join(placed, "w").groupBy("doc_id", "th", "item_id", "ih", "of", (F.col("p") - F.col("o")).alias("diag")).agg(F.count_distinct("o").alias("votes"), F.min("o").alias("lo"), F.max("o").alias("hi"))
-    spans = stage(votes.where(F.col("votes") >= F.col("of") * COVER), "leak-spans")
+    item = ["doc_id", "th", "item_id", "ih", "of"]
+    votes = grams.join(placed, "w").groupBy(*item, (F.col("p") - F.col("o")).alias("diag")).agg(F.collect_set("o").alias("os"))
+    by_diag = Window.partitionBy(*item).orderBy("diag")
+    votes = votes.withColumn("apart", (F.col("diag") - F.lag("diag").over(by_diag) > DRIFT).cast("int")).withColumn("passage", F.coalesce(F.sum("apart").over(by_diag), F.lit(0)))
+    whole = lambda n: n >= F.col("of") * COVER
+    groups = votes.groupBy(*item, "passage").agg(F.collect_list(F.struct(F.size("os").alias("votes"), "diag", "os")).alias("parts"))
+    groups = stage(groups.where(whole(F.size(F.array_distinct(F.flatten("parts.os"))))), "leak-passages")
+    parts = groups.select(*item, "passage", F.size("parts").alias("n"), F.explode("parts").alias("x")).select(*item, "passage", "n", "x.*")
+    piece = F.struct(F.array_min("os").alias("lo"), "diag", (F.array_max("os") - F.array_min("os") + K).alias("width"))
+    single = parts.where(whole(F.col("votes"))).select(*item, "votes", F.array(piece).alias("pieces"))
+    # Each window of the item counts once, on the diagonal that holds most.
+    placed_once = parts.where("n > 1").withColumn("o", F.explode("os")).groupBy(*item, "passage", "o").agg(F.max(F.struct("votes", "diag"))["diag"].alias("diag"))
+    merged = placed_once.groupBy(*item, "passage").agg(F.count("*").cast("int").alias("votes"), F.collect_list(F.struct(F.col("o").alias("lo"), "diag", F.lit(K).alias("width"))).alias("pieces"))
+    spans = stage(single.unionByName(merged.drop("passage")), "leak-spans")
 
     on = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("h"))
     keys = spans.select(F.col("doc_id").alias("k"), F.col("th").alias("h")).distinct()
@@ -89,8 +104,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = texts.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("k"), F.col("th").alias("h"), slots(F.col("text")).alias("mine"))
     theirs = bench.select("item_id", F.xxhash64("text").alias("ih"), slots(F.col("text")).alias("theirs"))
     both = spans.join(texts.hint("merge"), on).join(theirs, ["item_id", "ih"])
-    width = F.col("hi") - F.col("lo") + K
-    aligned = F.arrays_zip(F.slice("theirs", F.col("lo") + 1, width).alias("a"), F.slice("mine", F.col("lo") + F.col("diag") + 1, width).alias("b"))
+    side = lambda words, at, x: F.slice(words, at + 1, x["width"])
+    aligned = F.flatten(F.transform("pieces", lambda x: F.zip_with(side("theirs", x["lo"], x), side("mine", x["lo"] + x["diag"], x), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
     pairs = F.array_distinct(F.filter(aligned, lambda x: x["a"].substr(1, 1).isin(_NAME, _NUMBER, _UNIT)))
     values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: x[side])))
     checked = both.select("doc_id", "th", "item_id", (F.col("votes") / F.col("of")).alias("cover"), _held(pairs).alias("pairs"))

@@ -240,6 +240,16 @@ def test_decontamination(spark, sf, docs, texts, awkward, empty):
     assert not decontaminate.contamination(awkward, own.limit(0)).where("contaminated").count()
 
 
+def test_words_put_in_or_left_out_do_not_hide_an_item(spark):
+    words = "a train leaves the old station with 12 wagons full of coal and each wagon weighs 30 tons so that the whole load is far heavier than what the small bridge near the river can bear".split()
+    text = lambda w: "Before. " + " ".join(w) + " . After."
+    item = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    more, less = words[:17] + ["usually"] + words[17:], words[:17] + words[18:]
+    split = [99 if w == "12" else w for w in words[:17]] + ["usually"] + words[17:]
+    rows = [(1, text(more)), (2, text(less)), (3, text(map(str, split))), (4, text(words)), (5, text(words[:12])), (6, text([*words[:17], *(f"x{c}x" for c in "abcdefghijklmnopqrstuvwxyz"), *words[30:]]))]
+    assert {r.doc_id for r in decontaminate.contamination(docs_of(spark, rows), item).where("contaminated").collect()} == {1, 2, 3, 4}
+
+
 # --- op7 -------------------------------------------------------------------
 
 
