@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, units after numbers and names (capitalised words that don't begin a
-sentence) become typed placeholders, so that a question whose numbers or names
-were exchanged keeps its template. Every K-word window of every document's
+Numbers, units after numbers and names become typed placeholders, so that a
+question whose numbers or names were exchanged keeps its template. Each text has
+two readings, matched each with its like: in one, names are capitalised words
+that don't begin a sentence; in the other, all capitalised words, a run of them
+as one name, wherever lines and sentences begin. Every K-word window of every document's
 template is joined by hash to the windows of the benchmark's templates; matches
 are counted by diagonal, and diagonals a few words apart are also counted
 together, as words put in or left out shift what follows. A passage that covers
@@ -31,27 +33,36 @@ BROADCAST_KEYS = 250_000
 _NAME, _NUMBER, _UNIT, _END = "\u0001", "\u0002", "\u0003", "\u0004"
 _CONTROL = r"[\u0001-\u0004]"
 _IS_NAME = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+"
+_IS_ANY_NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
 _IS_NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 _IS_UNIT = rf"(?<={_END} |{_END})(?:%|(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}]))"
 
 
-def _marked(text: Column) -> Column:
-    """Slots wrapped in control characters, lower-cased: kind, value, end."""
+def _marked(text: Column, every: bool = False) -> Column:
+    """Slots wrapped in control characters, lower-cased: kind, value, end. With ``every``, sentence-initial words can be names."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), _CONTROL, " ")
-    out = F.regexp_replace(out, _IS_NAME, f"{_NAME}$0{_END}")
+    if every:
+        out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), _IS_ANY_NAME, f"{_NAME}$0{_END}")
+    else:
+        out = F.regexp_replace(out, _IS_NAME, f"{_NAME}$0{_END}")
     out = F.regexp_replace(out, _IS_NUMBER, f"{_NUMBER}$0{_END}")
     return F.lower(F.regexp_replace(out, rf"(?i){_IS_UNIT}", f" {_UNIT}$0{_END}"))
 
 
-def template(text: Column) -> Column:
+def template(text: Column, every: bool = False) -> Column:
     """Words of the text, slots as their kind alone."""
-    bare = F.regexp_replace(_marked(text), rf"([{_NAME}{_NUMBER}{_UNIT}])[^{_END}]*{_END}", " $1 ")
+    bare = F.regexp_replace(_marked(text, every), rf"([{_NAME}{_NUMBER}{_UNIT}])[^{_END}]*{_END}", " $1 ")
     return F.array_remove(F.split(bare, rf"[^\p{{L}}{_NAME}-{_UNIT}]+"), "")
 
 
-def slots(text: Column) -> Column:
+def slots(text: Column, every: bool = False) -> Column:
     """Words of the text as in ``template``, slots with their value."""
-    return F.regexp_extract_all(_marked(text), F.lit(rf"[{_NAME}-{_UNIT}][^{_END}]*{_END}|\p{{L}}+"), F.lit(0))
+    return F.regexp_extract_all(_marked(text, every), F.lit(rf"[{_NAME}-{_UNIT}][^{_END}]*{_END}|\p{{L}}+"), F.lit(0))
+
+
+def _readings(of, name: str) -> Column:
+    """Rows (r, name): ``of`` the text in both readings."""
+    return F.inline(F.array(*(F.struct(F.lit(r).alias("r"), of(F.col("text"), bool(r)).alias(name)) for r in (0, 1))))
 
 
 def _held(value: Column) -> Column:
@@ -72,17 +83,18 @@ def _hashed(words: Column) -> Column:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, th, item_id, cover): the items that a document holds, by key of row ``th``."""
-    bench = stage(benchmark.select("item_id", "text").dropDuplicates().withColumn("words", template(F.col("text"))), "bench-items")
-    placed = bench.select("item_id", F.xxhash64("text").alias("ih"), "words", _held(_hashed(F.col("words"))).alias("hashed"))
-    placed = placed.select("item_id", "ih", "words", F.posexplode(_windows(F.col("hashed"))).alias("o", "w"))
+    bench = stage(benchmark.select("item_id", "text").dropDuplicates(), "bench-items")
+    placed = bench.select("item_id", F.xxhash64("text").alias("ih"), _readings(template, "words"))
+    placed = placed.select("item_id", "ih", "r", "words", _held(_hashed(F.col("words"))).alias("hashed"))
+    placed = placed.select("item_id", "ih", "r", "words", F.posexplode(_windows(F.col("hashed"))).alias("o", "w"))
     literal = F.size(F.filter(F.slice("words", F.col("o") + 1, K), lambda x: ~x.isin(_NAME, _NUMBER, _UNIT)))
-    placed = stage(placed.where(literal >= LITERAL).select("item_id", "ih", "o", "w", F.count("*").over(Window.partitionBy("item_id", "ih")).alias("of")), "bench-windows")
+    placed = stage(placed.where(literal >= LITERAL).select("item_id", "ih", "r", "o", "w", F.count("*").over(Window.partitionBy("item_id", "ih", "r")).alias("of")), "bench-windows")
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    hashed = keyed.select("doc_id", "th", _held(template(F.col("text"))).alias("words")).select("doc_id", "th", _held(_hashed(F.col("words"))).alias("hashed"))
-    grams = hashed.select("doc_id", "th", F.posexplode(_windows(F.col("hashed"))).alias("p", "w"))
-    item = ["doc_id", "th", "item_id", "ih", "of"]
-    votes = grams.join(placed, "w").groupBy(*item, (F.col("p") - F.col("o")).alias("diag")).agg(F.collect_set("o").alias("os"))
+    hashed = keyed.select("doc_id", "th", _readings(template, "words")).select("doc_id", "th", "r", _held(_hashed(F.col("words"))).alias("hashed"))
+    grams = hashed.select("doc_id", "th", "r", F.posexplode(_windows(F.col("hashed"))).alias("p", "w"))
+    item = ["doc_id", "th", "item_id", "ih", "r", "of"]
+    votes = grams.join(placed, ["w", "r"]).groupBy(*item, (F.col("p") - F.col("o")).alias("diag")).agg(F.collect_set("o").alias("os"))
     by_diag = Window.partitionBy(*item).orderBy("diag")
     votes = votes.withColumn("apart", (F.col("diag") - F.lag("diag").over(by_diag) > DRIFT).cast("int")).withColumn("passage", F.coalesce(F.sum("apart").over(by_diag), F.lit(0)))
     whole = lambda n: n >= F.col("of") * COVER
@@ -101,9 +113,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = keyed
     if keys.count() <= BROADCAST_KEYS:
         texts = keyed.join(F.broadcast(keys), on, "left_semi")
-    texts = texts.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("k"), F.col("th").alias("h"), slots(F.col("text")).alias("mine"))
-    theirs = bench.select("item_id", F.xxhash64("text").alias("ih"), slots(F.col("text")).alias("theirs"))
-    both = spans.join(texts.hint("merge"), on).join(theirs, ["item_id", "ih"])
+    texts = texts.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("k"), F.col("th").alias("h"), _readings(slots, "mine")).withColumnRenamed("r", "s")
+    theirs = bench.select("item_id", F.xxhash64("text").alias("ih"), _readings(slots, "theirs"))
+    both = spans.join(texts.hint("merge"), on & (F.col("r") == F.col("s"))).join(theirs, ["item_id", "ih", "r"])
     side = lambda words, at, x: F.slice(words, at + 1, x["width"])
     aligned = F.flatten(F.transform("pieces", lambda x: F.zip_with(side("theirs", x["lo"], x), side("mine", x["lo"] + x["diag"], x), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
     pairs = F.array_distinct(F.filter(aligned, lambda x: x["a"].substr(1, 1).isin(_NAME, _NUMBER, _UNIT)))

@@ -250,6 +250,14 @@ def test_words_put_in_or_left_out_do_not_hide_an_item(spark):
     assert {r.doc_id for r in decontaminate.contamination(docs_of(spark, rows), item).where("contaminated").collect()} == {1, 2, 3, 4}
 
 
+def test_names_that_begin_a_sentence_or_line_are_exchanged(spark):
+    text = "Tom has 3 apples in a basket. Tom gives 2 apples to his friend. Anna eats 1 apple every day. How many apples are left for both of them?"
+    item = spark.createDataFrame([(1, text)], "item_id long, text string")
+    swap = lambda t, a, b: t.replace("Tom", a).replace("Anna", b)
+    rows = [(1, swap(text, "Bob", "Eve")), (2, swap(text, "Mary Ann", "Eve")), (3, "Intro.\n" + swap(text, "Bob", "Eve").replace(". ", ".\n")), (4, text), (5, swap(text, "Bob", "Bob"))]
+    assert {r.doc_id for r in decontaminate.contamination(docs_of(spark, rows), item).where("contaminated").collect()} == {1, 2, 3, 4}
+
+
 # --- op7 -------------------------------------------------------------------
 
 
