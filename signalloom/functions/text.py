@@ -115,16 +115,18 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def shingle_hashes(words: Column, k: int = 5) -> Column:
-    """First 32 bits of the MD5 of each k-token shingle; fewer tokens are one shingle.
+    """First 64 bits of the MD5 of each k-token shingle, as a signed number; fewer tokens are one shingle.
 
     Put it in a column of its own (behind a generator) before ``simhash``, which reads it once a bit.
     """
     n = F.size(words)
     at = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array(F.lit(1)))
-    return F.transform(at, lambda i: F.conv(F.substring(F.md5(F.array_join(F.slice(words, i, k), " ").cast("binary")), 1, 8), 16, 10).cast("long"))
+    half = lambda digest, start: F.conv(F.substring(digest, start, 8), 16, 10).cast("long")
+    digests = F.transform(at, lambda i: F.md5(F.array_join(F.slice(words, i, k), " ").cast("binary")))
+    return F.transform(digests, lambda x: F.shiftleft(half(x, 1), 32).bitwiseOR(half(x, 9)))
 
 
-def simhash(hashes: Column, bits: int = 32) -> Column:
+def simhash(hashes: Column, bits: int = 64) -> Column:
     """A bit is set where at least half of the hashes have it set: one fold a bit, in integer arithmetic."""
     one = F.lit(1).cast("long")
     out = F.lit(0).cast("long")
@@ -134,7 +136,7 @@ def simhash(hashes: Column, bits: int = 32) -> Column:
 
     for b in range(bits):
         weight = weight_of(b)
-        out = out + F.when(weight >= 0, F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long"))
+        out = out.bitwiseOR(F.when(weight >= 0, F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
     return out
 
 

@@ -43,7 +43,7 @@ def diverse_pick(df: DataFrame, *, group: str, day: str, cap: int, limit: int, o
     return fit.orderBy(group, "_rn", day, *order).limit(limit).drop("_rn", "_taken")
 
 
-def near_duplicate_pairs(articles: DataFrame, *, days: int = 14, distance: int = 5, bands: int = 4, bits: int = 8, title: float = 0.7, body: float = 0.8) -> DataFrame:
+def near_duplicate_pairs(articles: DataFrame, *, days: int = 14, distance: int = 5, bands: int = 4, bits: int = 16, title: float = 0.7, body: float = 0.8) -> DataFrame:
     """Pairs of articles that share a simhash band or a title start, lie close in time and are alike.
 
     Needs article_id, ts, fingerprint (long), title_words, body_words (arrays).
@@ -57,6 +57,6 @@ def near_duplicate_pairs(articles: DataFrame, *, days: int = 14, distance: int =
     rows = articles.withColumn("band", F.explode(F.array_distinct(F.array(*cut, start)))).withColumn("window", window)
     left = rows.select(F.col("article_id").alias("a"), F.col("ts").alias("ta"), F.col("fingerprint").alias("fa"), F.col("title_words").alias("wa"), F.col("body_words").alias("ba"), "band", "window")
     right = rows.withColumn("window", F.explode(F.array(F.col("window") - 1, F.col("window"), F.col("window") + 1))).select(F.col("article_id").alias("b"), F.col("ts").alias("tb"), F.col("fingerprint").alias("fb"), F.col("title_words").alias("wb"), F.col("body_words").alias("bb"), "band", "window")
-    met = left.join(right, ["band", "window"]).where("a < b").where(F.abs(F.datediff("ta", "tb")) <= days)
+    met = left.join(right, ["band", "window"]).where("a < b").where(F.expr(f"ta - tb between interval '-{days}' day and interval '{days}' day"))
     alike = (hamming(F.col("fa"), F.col("fb")) <= distance) | ((jaccard(F.col("wa"), F.col("wb")) >= title) & (jaccard(F.col("ba"), F.col("bb")) >= body))
     return met.where(alike).select("a", "b").distinct()

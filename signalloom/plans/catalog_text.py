@@ -238,7 +238,7 @@ def subset_metrics(spark, d):
 
 
 def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    words = views.stories(spark, d).select("article_id", "ts", F.slice(tx.tokens(F.col("title")), 1, 40).alias("title_words"), tx.tokens(F.col("body")).alias("w"))
+    words = views.stories(spark, d).select("article_id", "ts", tx.tokens(F.col("title")).alias("title_words"), tx.tokens(F.col("body")).alias("w"))
     held = words.select("article_id", "ts", "title_words", F.slice("w", 1, 250).alias("body_words"), F.explode(F.array(tx.shingle_hashes(F.col("w")))).alias("hashes"))
     return held.select("article_id", "ts", "title_words", "body_words", tx.simhash(F.col("hashes")).alias("fingerprint"))
 
@@ -246,14 +246,14 @@ def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def near_duplicate_stories(spark, d):
     """JOI-13, SCA-10/11/12: pairs."""
-    return screen.near_duplicate_pairs(_fingerprints(spark, d), bands=4, bits=8)
+    return screen.near_duplicate_pairs(_fingerprints(spark, d), bands=4, bits=16)
 
 
 @query()
 def story_clusters(spark, d):
     """STA-5."""
     rows = _fingerprints(spark, d)
-    pairs = screen.near_duplicate_pairs(rows, bands=4, bits=8)
+    pairs = screen.near_duplicate_pairs(rows, bands=4, bits=16)
     return sequential.leader_clusters(rows.select("article_id", "ts"), pairs.select(F.col("a").alias("article_id"), F.col("b").alias("other")))
 
 

@@ -1,6 +1,7 @@
 """Hand-computed cases of the event-study operators."""
 
 import datetime as dt
+import hashlib
 import json
 import math
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions import text as tx
 from signalloom.operators import align, cascade, contracts, costs, metrics, portfolio, screen, sequential, signals, splits
-from signalloom.plans import decisions, governance
+from signalloom.plans import catalog_text, decisions, governance, views
 from signalloom.sources import landing, rest, sinks
 
 D = dt.date
@@ -148,6 +149,35 @@ def test_text(spark):
     assert f[1] == f[2] != f[3]
 
 
+def test_stories_match_by_the_64_bit_rule(spark, sf):
+    stories = views.stories(spark, sf).select("article_id", "ts", tx.tokens(F.col("title")).alias("t"), tx.tokens(F.col("body")).alias("w")).collect()
+
+    def simhash(words):
+        hashes = [int.from_bytes(hashlib.md5(" ".join(words[i : i + 5]).encode()).digest()[:8], "big") for i in range(max(1, len(words) - 4))]
+        return sum(1 << b for b in range(64) if sum(1 if h >> b & 1 else -1 for h in hashes) >= 0)
+
+    def alike(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    f = {r.article_id: simhash(r.w) for r in stories}
+    assert {r.article_id: r.fingerprint % 2**64 for r in catalog_text._fingerprints(spark, sf).collect()} == f
+    title, body = ({r.article_id: set(x(r)) for r in stories} for x in (lambda r: r.t, lambda r: r.w[:250]))
+    pairs = set()
+    for i, x in enumerate(stories):
+        for y in stories[:i]:
+            a, b = sorted((x.article_id, y.article_id))
+            d = f[a] ^ f[b]
+            met = x.t[:3] == y.t[:3] or any(not d >> 16 * k & 0xFFFF for k in range(4))
+            if met and abs(x.ts - y.ts) <= dt.timedelta(days=14) and (d.bit_count() <= 5 or (alike(title[a], title[b]) >= 0.7 and alike(body[a], body[b]) >= 0.8)):
+                pairs.add((a, b))
+    assert pairs and {(r.a, r.b) for r in catalog_text.near_duplicate_stories(spark, sf).collect()} == pairs
+    founded, clusters = {}, {}
+    for r in sorted(stories, key=lambda r: (r.ts, r.article_id)):
+        mine = sorted(c for o, c in founded.items() if tuple(sorted((o, r.article_id))) in pairs)
+        clusters[r.article_id] = mine[0] if mine else founded.setdefault(r.article_id, hashlib.sha256(r.article_id.encode()).hexdigest()[:20])
+    assert {r.article_id: r.story_cluster_id for r in catalog_text.story_clusters(spark, sf).collect()} == clusters
+
+
 def test_screening(spark):
     df = spark.createDataFrame([("k", 2, "b"), ("k", 1, "z"), ("m", 1, "c")], "key string, ts long, id string")
     assert sorted((r.key, r.id) for r in screen.first_seen(df, "key", "ts", "id").collect()) == [("k", "z"), ("m", "c")]
