@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from signalloom.llm.staging import small_batches, stage
+from signalloom.staging import small_batches, stage
 
 #: Workers of the last stage have run the others before it, so their memo of pieces is smaller.
 MEMO_PIECES = 200_000
