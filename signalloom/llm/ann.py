@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from ..staging import stage
 
 TABLES, DIMS, WIDTH, PROBES, SEED = 2, 8, 3.5, 144, 11
 #: Vectors and queries of one block.

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import fresh, stage
+from ..staging import fresh, stage
 
 K = 8
 #: Share of an item's windows that a passage must match, and literal words that a window must hold.

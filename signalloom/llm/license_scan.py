@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
-from .textkit import ALNUM, buffers, phrase_words, rounds, split_words, window_hashes, windows_within, word_hashes
+from ..staging import sifted, stage
+from .textkit import ALNUM, buffers, phrase_words, rounds, split_words, window_hashes, windows_within, word_hashes, words_of
 
 K = 3
 #: Phrases that count wherever their words stand consecutively, and their labels.
@@ -43,8 +43,6 @@ WORDINGS = (
 LEAST = 0.8
 #: Diagonals of one template at most so far apart are neighbours.
 NEAR = 3
-#: Candidate documents up to which their keys are broadcast (16 bytes each) to spare the texts a shuffle.
-BROADCAST_KEYS = 250_000
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +83,9 @@ def scan_licenses(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE_PHRASE
     """
     spark = docs.sparkSession
     phrases = [(p, label, True) for p, label in base] + [(p, label, False) for p, label in wordings]
-    words = [phrase_words(p) for p, _, _ in phrases]
-    table = [(int(g), t, o) for t, w in enumerate(words) for o, g in enumerate(window_hashes(w, K).view(np.int64).tolist())]
+    parsed = [phrase_words(p) for p, _, _ in phrases]
+    words = [w for w, _ in parsed]
+    table = [(int(g), t, o) for t, (_, h) in enumerate(parsed) for o, g in enumerate(window_hashes(h, K).view(np.int64).tolist())]
     templates = spark.createDataFrame(table, "t_gram long, t int, o int")
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
@@ -111,17 +110,17 @@ def scan_licenses(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE_PHRASE
             for i, (doc, n_words, rows, diagonals) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "rows", "diagonals")), strict=True)):
                 raw = raw_all[off_all[i] : off_all[i + 1]]
                 low, ws, we, _ = split_words(raw, np.array([0, len(raw)]), ALNUM)
-                told = lambda lo, hi: word_hashes(low, ws[lo:hi], we[lo:hi])
+                told = lambda lo, hi: words_of(low, ws[lo:hi], we[lo:hi])
                 spans, close, best = [], [], 0.0
                 for d in diagonals:
                     w = words[d["t"]]
                     lo = d["diag"]
-                    if phrases[d["t"]][2] and d["votes"] >= rows * (len(w) - K + 1) and 0 <= lo and lo + len(w) <= len(ws) and (told(lo, lo + len(w)) == w).all():
+                    if phrases[d["t"]][2] and d["votes"] >= rows * (len(w) - K + 1) and 0 <= lo and lo + len(w) <= len(ws) and told(lo, lo + len(w)) == w:
                         spans.append((lo, len(w), phrases[d["t"]][1], True))
                         best = 1.0
                 for t, lo, hi in _merge([d for d in diagonals if not phrases[d["t"]][2]]):
                     a, b = max(0, lo - NEAR), min(len(ws), hi + NEAR)
-                    match = [m for m in SequenceMatcher(None, told(a, b).tolist(), words[t].tolist(), autojunk=False).get_matching_blocks() if m.size]
+                    match = [m for m in SequenceMatcher(None, told(a, b), words[t], autojunk=False).get_matching_blocks() if m.size]
                     share = sum(m.size for m in match) / len(words[t])
                     if share >= LEAST:
                         first = a + match[0].a
@@ -139,11 +138,7 @@ def scan_licenses(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE_PHRASE
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    texts = keyed
-    if candidates.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(candidates.select(F.col("doc_id").alias("k"), F.col("th").alias("h")))
-        texts = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("h")), "left_semi")
-    texts = texts.select(F.col("doc_id").alias("k"), F.col("th").alias("h"), "text")
+    texts = sifted(keyed, F.col("th"), candidates, F.col("th")).select(F.col("doc_id").alias("k"), F.col("th").alias("h"), "text")
     joined = candidates.join(texts, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("h"))).select("doc_id", "n_words", "rows", "diagonals", "text")
     checked = joined.mapInArrow(verify, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,words:long>>")
     plain = found.where("size(diagonals) = 0").select("doc_id", "n_words", "rows")

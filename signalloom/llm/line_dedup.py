@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import drop, fresh, stage
+from ..staging import drop, fresh, stage
 
 #: Batches that the one-shot form deals documents into, and runs of a level that are merged.
 BATCHES, FANOUT = 3, 2

@@ -31,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import fresh, stage
+from ..operators.graph import components
+from ..staging import fresh, sifted, stage
 from .textkit import NONSPACE, buffers, mix, rounds, split_words, window_hashes, windows_within, word_hashes
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -45,8 +46,8 @@ CHANCE = 0.169919487159739
 MARGIN = 5.0
 #: Members of a leader's crowd, besides the leader, that all others not tied with it are compared with.
 HUBS = 8
-#: Members of a leader that one task compares, and keys up to which texts are picked by broadcast.
-DEAL, BROADCAST_KEYS = 256, 250_000
+#: Members of a leader that one task compares, and parts that a crowd's members are dealt into to meet its few hubs.
+DEAL, SALT = 256, 32
 #: Members of a block of a crowd, and shingles that a block may hold (fewer members then, one at least).
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 _U = np.uint64
@@ -243,16 +244,23 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text) of each node in ``wanted``."""
     keys = stage(wanted.select("node").distinct().join(nodes.select("node", "doc_id", "th"), "node"), "near-keys")
     on = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("h"))
-    texts = docs
-    if keys.count() <= BROADCAST_KEYS:
-        texts = docs.join(F.broadcast(keys.select(F.col("doc_id").alias("k"), F.col("th").alias("h"))), on, "left_semi")
-    return keys.join(texts.select(F.col("doc_id").alias("k"), F.col("th").alias("h"), "text").dropDuplicates(["k", "h"]), on).select("node", "text")
+    texts = sifted(docs, F.col("th"), keys, F.col("th")).select(F.col("doc_id").alias("k"), F.col("th").alias("h"), "text").dropDuplicates(["k", "h"])
+    return keys.join(texts, on).select("node", "text")
+
+
+def _salted(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(SALT))
+
+
+def _to_each(few: DataFrame) -> DataFrame:
+    """``few`` rows of a crowd, once for each part of it."""
+    return few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
 
 
 def _settle(crowd: DataFrame, hubs: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, class_of) -> DataFrame:
     """(node, root) once more, with the links among members of a crowd that are neither its leader nor its hubs."""
     big = crowd.groupBy("leader", "class").agg(F.count("*").alias("m")).where(F.col("m") > HUBS + 1).select("leader", "class")
-    rest = crowd.join(big, ["leader", "class"]).join(hubs.select("leader", "class", F.col("hub").alias("node")), ["leader", "class", "node"], "left_anti")
+    rest = crowd.withColumn("salt", _salted("node")).join(_to_each(big), ["leader", "class", "salt"]).join(hubs.select("leader", "class", F.col("hub").alias("node")), ["leader", "class", "node"], "left_anti")
     rest = stage(rest.select("leader", "class", "node", "size"), "near-rest")
     if rest.isEmpty():
         return roots
@@ -261,7 +269,7 @@ def _settle(crowd: DataFrame, hubs: DataFrame, roots: DataFrame, nodes: DataFram
     # A block is of so few members that its sets fit: those of class c hold less than (100 / percent) ** (c + 1) shingles.
     members = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), BLOCK_SHINGLES / F.pow(F.lit(100.0 / percent), F.col("class") + 1)))
     open_ = open_.withColumn("blocks", F.ceil(F.col("m") / members).cast("int"))
-    dealt = rest.join(open_, ["leader", "class"]).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    dealt = rest.withColumn("salt", _salted("node")).join(_to_each(open_), ["leader", "class", "salt"]).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     dealt = dealt.join(nodes.select("node", "sig"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("leader", "class", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root", "size", class_of("size").alias("own"), "sig")
     group = ["leader", "class", "lo", "hi"]
@@ -280,24 +288,6 @@ def _settle(crowd: DataFrame, hubs: DataFrame, roots: DataFrame, nodes: DataFram
     return moved.unionByName(joined.select(F.col("root").alias("node"), F.col("next").alias("root"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node with a link: the least node reachable. Large-star and small-star passes until stars remain."""
-    star = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    seen = None
-    for _ in range(64):
-        sums = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not sums[0] or sums == seen:
-            break
-        seen = sums
-        both = star.union(star.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
-        star = stage(small, "star")
-    return star.select(F.col("u").alias("node"), F.col("v").alias("root")).union(star.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-
-
 def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least doc_id reachable) and kept.
 
@@ -308,6 +298,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 80) -> DataFr
     only by other documents, and isn't kept unless alone, when both are null and
     kept is true. An empty table gives no rows. Other columns are ignored.
     """
+    return _judged(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """One row a document: doc_id, th, n, component_id and first_th, the text hash of the row that stands first in its component."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     sets = stage(docs.mapInArrow(_sketch(k), "doc_id long, th long, n long, f1 long, f2 long, sig binary, bands array<long>"), "near-sets")
     node = F.xxhash64("f1", "f2", "n").alias("node")
@@ -344,18 +339,31 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 80) -> DataFr
     top = top.select("leader", "class", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("tied").alias("hub_tied"))
     # Two sizes share one class or two; the pair counts in the class of the larger.
     once = F.col("class") == F.greatest(class_of("size"), class_of("hub_size"))
-    again = crowd.join(top, ["leader", "class"]).where("node <> hub and not (tied and hub_tied)").where(fit("size", "hub_size") & once)
+    again = crowd.withColumn("salt", _salted("node")).join(_to_each(top), ["leader", "class", "salt"]).where("node <> hub and not (tied and hub_tied)").where(fit("size", "hub_size") & once)
     links = stage(links.unionByName(linked(again.select("node", F.col("hub").alias("leader")).distinct(), "again")), "near-all")
     roots = _settle(crowd, top, stage(components(links), "near-roots"), nodes, docs, k, percent, class_of)
-    named = roots.join(least.select("node", "doc_id"), "node")
-    of = stage(named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id"), "near-components")
-    joined = sets.select("doc_id", "n", node).join(least.select(F.col("node").alias("own"), F.col("doc_id").alias("class_id")), F.col("node") == F.col("own"), "left").drop("own").join(of, "node", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component_id", "class_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = roots.join(least.select("node", "doc_id", "th"), "node")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")
+    of = stage(named.join(named.groupBy("root").agg(F.min(order).alias("x")), "root").select("node", F.col("x.doc_id").alias("component_id"), F.col("x.th").alias("component_th")), "near-components")
+    own = least.select(F.col("node").alias("own"), F.col("doc_id").alias("class_id"), F.col("th").alias("class_th"))
+    joined = sets.select("doc_id", "th", "n", node).join(own, F.col("node") == F.col("own"), "left").drop("own").join(of, "node", "left")
+    member = F.col("n") > 0
+    found = F.col("component_th").isNotNull()
+    component = F.when(~member, F.col("doc_id")).when(found, F.col("component_id")).otherwise(F.col("class_id"))
+    first = F.when(~member, F.col("th")).otherwise(F.coalesce("component_th", "class_th"))
+    return joined.select("doc_id", "th", "n", component.alias("component_id"), first.alias("first_th"))
 
 
 def keep_first(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which each is its component's first; of rows with equal doc_id and component all stay."""
-    (key,) = fresh(docs, "doc")
-    kept = near_duplicates(docs, k=k, percent=percent).where("kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    """One document of each component: that of the least doc_id, and of rows that share it, of the least text hash.
+
+    Of rows with equal doc_id and text one stays, whatever their other columns
+    hold; those without words included. A null doc_id comes last. An empty table gives no rows. All columns
+    are kept.
+    """
+    key, th, none = fresh(docs, "doc", "th", "none")
+    kept = _judged(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th")))
+    least = F.lit(-(1 << 63)).cast("long")
+    kept = kept.select(F.coalesce("doc_id", least).alias(key), F.col("doc_id").isNull().alias(none), F.col("th").alias(th)).distinct()
+    named = docs.withColumns({key: F.coalesce("doc_id", least), none: F.col("doc_id").isNull(), th: F.xxhash64("text")})
+    return named.join(kept.hint("merge"), [key, none, th], "left_semi").dropDuplicates([key, none, th]).select(*docs.columns)

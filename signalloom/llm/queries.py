@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, decontaminate, license_scan, line_dedup, near_dedup, packing, quality, suffix_dedup, token_shards, url_filter
-from .staging import small_batches
+from ..staging import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

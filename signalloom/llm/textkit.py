@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
@@ -99,12 +100,28 @@ def split_words(raw: np.ndarray, off: np.ndarray, member: np.ndarray, lower: boo
     return low, ws, we, np.searchsorted(ws, off, side="left")
 
 
+#: Bytes up to which a word is hashed eight at a time together with others; a longer one is hashed by itself.
+LONG_WORD = 256
+
+
 def word_hashes(low: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    p, inv = powers(len(low) + 1)
-    total = np.zeros(len(low) + 1, dtype=_U)
-    np.cumsum((low.astype(_U) + _U(1)) * p[: len(low)], out=total[1:])
-    return mix((total[we] - total[ws]) * inv[ws] + (we - ws).astype(_U))
+    """A 64-bit hash of each word: eight bytes at a time, mixed in after each step, so no sum of terms can cancel."""
+    size = we - ws
+    if not len(size):
+        return np.zeros(0, dtype=_U)
+    at = np.lib.stride_tricks.sliding_window_view(np.concatenate([low, np.zeros(8, np.uint8)]), 8)
+    out = mix(size.astype(_U) + BASE)
+    rows, step = np.flatnonzero(size <= LONG_WORD), 0
+    while len(rows):
+        part = at[ws[rows] + step].view(_U)[:, 0]
+        rest = size[rows] - step
+        part &= np.where(rest < 8, (_U(1) << (_U(8) * np.minimum(rest, 7).astype(_U))) - _U(1), ~_U(0))
+        out[rows] = mix(out[rows] ^ part) * BASE
+        step += 8
+        rows = rows[rest > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(low[ws[i] : we[i]].tobytes())
+    return out
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -126,8 +143,14 @@ def windows_within(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, doc
 
 
-def phrase_words(text: str, member: np.ndarray = ALNUM) -> np.ndarray:
-    """Word hashes of one text."""
+def phrase_words(text: str, member: np.ndarray = ALNUM) -> tuple[list[bytes], np.ndarray]:
+    """(words, their hashes) of one text."""
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     low, ws, we, _ = split_words(raw, np.array([0, len(raw)]), member)
-    return word_hashes(low, ws, we)
+    return words_of(low, ws, we), word_hashes(low, ws, we)
+
+
+def words_of(low: np.ndarray, ws: np.ndarray, we: np.ndarray) -> list[bytes]:
+    """The words themselves."""
+    data = low.tobytes()
+    return [data[a:b] for a, b in zip(ws.tolist(), we.tolist(), strict=True)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .staging import new_path, stage
+from ..staging import new_path, stage
 
 BLOCK, PERCENTILE = 1024, 0.95
 _GROUP = 64

@@ -427,3 +427,46 @@ def test_gradients():
         down = loss()
         model.w[name][at] = old
         assert abs((up - down) / 2e-6 - g[at]) < 1e-5
+
+
+def test_words_that_sum_alike_hash_apart():
+    from signalloom.llm import textkit
+
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    words = [a, b, a[:300], b[:300], "x", "x\0", "ab", "ba", "abcdefgh", "abcdefgh\0", "abcdefghi", *(f"w{i}" for i in range(3000))]
+    raw = " ".join(words).encode()
+    member = textkit.byte_class((0x20, 0x20))
+    low, ws, we, _ = textkit.split_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), member)
+    got = textkit.word_hashes(low, ws, we)
+    assert len(set(got.tolist())) == len(words) == len(got)
+    assert (textkit.word_hashes(low[: we[3]], ws[:4], we[:4]) == got[:4]).all()
+
+
+def test_long_words_are_told_apart(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(1, f"one two three {a}"), (2, f"one two three {b}"), (3, f"one two three {a}")]
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_one_row_of_a_component_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (1, text + " more"), (1, "of its own"), (2, text), (None, text), (None, "no id"), (None, "no id"), (3, None), (3, None), (4, ""), (5, " ")]
+    out = near_dedup.keep_first(docs_of(spark, rows).repartition(4))
+    assert out.columns == docs_of(spark, []).columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert len([r for r in kept if r[0] == 1]) == 2 and (1, "of its own") in kept
+    assert [r for r in kept if r[0] != 1] == sorted([(None, "no id"), (3, None), (4, ""), (5, " ")], key=repr)
+
+
+def test_rows_are_sifted_by_key(spark):
+    from signalloom.staging import sifted
+
+    rows = spark.range(2000).select("id", F.col("id").alias("word"), F.xxhash64("id").alias("x"))
+    keys = rows.where("id % 100 = 7")
+    out = sifted(rows, F.col("x"), keys, F.col("x"))
+    assert out.columns == rows.columns and out.join(keys, "id", "left_semi").count() == 20 and out.count() < 40
+    assert sifted(rows, F.col("x"), keys.limit(0), F.col("x")).count() == 0
