@@ -91,3 +91,13 @@ def sifted(rows: DataFrame, row_key: Column, keys: DataFrame, key: Column) -> Da
     bitmap = keys.select(key.alias("h")).groupBy(place(F.col("h")).alias(word)).agg(F.bit_or(bit(F.col("h"))).alias(bits))
     placed = rows.withColumn(own, row_key).join(F.broadcast(bitmap), place(F.col(own)) == F.col(word))
     return placed.where(F.col(bits).bitwiseAND(bit(F.col(own))) != 0).drop(own, word, bits)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of whole texts at most so long, unless the session asks for less: they are held on both sides of a worker's pipe.
+
+    The session keeps the smaller setting: a plan takes it up only when it runs, after the query has returned.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
