@@ -1,15 +1,18 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units after numbers and names become typed placeholders, so that a
-question whose numbers or names were exchanged keeps its template. Each text has
-two readings, matched each with its like: in one, names are capitalised words
-that don't begin a sentence; in the other, all capitalised words, a run of them
-as one name, wherever lines and sentences begin. Every K-word window of every document's
+question whose numbers or names were exchanged keeps its template. A name is a
+run of capitalised words, however many. Every K-word window of every document's
 template is joined by hash to the windows of the benchmark's templates; matches
 are counted by diagonal, and diagonals a few words apart are also counted
 together, as words put in or left out shift what follows. A passage that covers
-enough of an item then has its slots checked, piece by piece: each value of the item must stand for one value of the passage
-throughout, and the other way round. Else the likeness is one of form only.
+enough of an item then has its slots checked, piece by piece: each value of the
+item must stand for one value of the passage throughout. Else the likeness is
+one of form only.
+
+A second reading of each text, its words in lower case with nothing replaced,
+goes through the same windows, join and diagonals and needs no slots: it finds
+copies whose capitals differ, and items too short for a window, whole.
 
 DataFrame functions only. The benchmark's windows are broadcast where the
 planner finds them small, and shuffled otherwise.
@@ -20,49 +23,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import fresh, stage
+from ..staging import fresh, sifted, stage
 
 K = 8
 #: Share of an item's windows that a passage must match, and literal words that a window must hold.
 COVER, LITERAL = 0.5, 4
+#: Words that an item must have to be looked for; below K it is one window.
+SHORTEST = 4
 #: Words between neighbouring diagonals up to which they are one passage.
 DRIFT = 8
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "mi", "miles", "feet", "ft", "inches", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "year", "dollars", "usd", "euros", "eur", "cents", "percent", "liters", "litres", "l", "ml", "mph", "kmh")
-#: Candidate documents up to which their keys are broadcast to spare the texts a shuffle.
-BROADCAST_KEYS = 250_000
-_NAME, _NUMBER, _UNIT, _END = "\u0001", "\u0002", "\u0003", "\u0004"
-_CONTROL = r"[\u0001-\u0004]"
-_IS_NAME = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+"
-_IS_ANY_NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
+#: Readings: with placeholders, and word for word.
+TEMPLATE, VERBATIM = 0, 1
+_NAME, _NUMBER, _UNIT, _END, _END_NUMBER = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005"
+_IS_NAME = r"\p{Lu}\p{Ll}+(?:[ \t]+\p{Lu}\p{Ll}+)*"
 _IS_NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
-_IS_UNIT = rf"(?<={_END} |{_END})(?:%|(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}]))"
+_IS_UNIT = rf"(?i){_END_NUMBER}[ \t]?(%|(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}}))"
 
 
-def _marked(text: Column, every: bool = False) -> Column:
-    """Slots wrapped in control characters, lower-cased: kind, value, end. With ``every``, sentence-initial words can be names."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), _CONTROL, " ")
-    if every:
-        out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), _IS_ANY_NAME, f"{_NAME}$0{_END}")
-    else:
-        out = F.regexp_replace(out, _IS_NAME, f"{_NAME}$0{_END}")
-    out = F.regexp_replace(out, _IS_NUMBER, f"{_NUMBER}$0{_END}")
-    return F.lower(F.regexp_replace(out, rf"(?i){_IS_UNIT}", f" {_UNIT}$0{_END}"))
+def _replaced(text: Column, name: str, number: str, unit: str) -> Column:
+    """Slots replaced one kind after the other, lower-cased; ``number`` must end with the mark that a unit may follow."""
+    out = F.translate(F.coalesce(text, F.lit("")), _NAME + _NUMBER + _UNIT + _END + _END_NUMBER, " " * 5)
+    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(out, _IS_NAME, name), _IS_NUMBER, number), _IS_UNIT, unit))
 
 
-def template(text: Column, every: bool = False) -> Column:
+def template(text: Column) -> Column:
     """Words of the text, slots as their kind alone."""
-    bare = F.regexp_replace(_marked(text, every), rf"([{_NAME}{_NUMBER}{_UNIT}])[^{_END}]*{_END}", " $1 ")
+    bare = _replaced(text, f" {_NAME} ", f" {_NUMBER} {_END_NUMBER}", f" {_UNIT} ")
     return F.array_remove(F.split(bare, rf"[^\p{{L}}{_NAME}-{_UNIT}]+"), "")
 
 
-def slots(text: Column, every: bool = False) -> Column:
+def slots(text: Column) -> Column:
     """Words of the text as in ``template``, slots with their value."""
-    return F.regexp_extract_all(_marked(text, every), F.lit(rf"[{_NAME}-{_UNIT}][^{_END}]*{_END}|\p{{L}}+"), F.lit(0))
+    marked = _replaced(text, f"{_NAME}$0{_END}", f"{_NUMBER}$0{_END_NUMBER}", f"{_END}{_UNIT}$1{_END}")
+    found = F.regexp_extract_all(marked, F.lit(rf"[{_NAME}-{_UNIT}][^{_END}{_END_NUMBER}]*[{_END}{_END_NUMBER}]|\p{{L}}+"), F.lit(0))
+    return F.transform(found, lambda x: F.regexp_replace(x, r"[ \t]+", " "))
 
 
-def _readings(of, name: str) -> Column:
-    """Rows (r, name): ``of`` the text in both readings."""
-    return F.inline(F.array(*(F.struct(F.lit(r).alias("r"), of(F.col("text"), bool(r)).alias(name)) for r in (0, 1))))
+def verbatim(text: Column) -> Column:
+    """Words and numbers of the text in lower case."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _held(value: Column) -> Column:
@@ -70,37 +70,57 @@ def _held(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _windows(hashed: Column) -> Column:
-    """Hashes of the K-word windows of a column of word hashes; none where there are fewer words."""
-    n = F.size(hashed)
-    at = F.when(n >= K, F.sequence(F.lit(1), n - (K - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.slice(hashed, i, K)))
+def _readings() -> Column:
+    """Rows (r, words): the column ``text`` in both readings."""
+    return F.inline(F.array(F.struct(F.lit(TEMPLATE).alias("r"), template(F.col("text")).alias("words")), F.struct(F.lit(VERBATIM).alias("r"), verbatim(F.col("text")).alias("words"))))
 
 
 def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _windows(hashed: Column, r: Column, k: int) -> Column:
+    """Hashes of the k-word windows of a column of word hashes, told apart by reading and length; none where there are fewer words."""
+    n = F.size(hashed)
+    at = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(r, F.lit(k), *(F.get(hashed, i + j) for j in range(k))))
+
+
+def _item_windows(bench: DataFrame) -> DataFrame:
+    """(item_id, ih, r, o, w, of): windows of each item in each reading, and how many it has in that reading."""
+    rows = bench.select("item_id", F.xxhash64("text").alias("ih"), _readings())
+    rows = rows.select("item_id", "ih", "r", "words", _held(_hashed(F.col("words"))).alias("hashed"))
+    n, k = F.size("words"), F.lit(K)
+    by_length = [F.when((n >= K) if length == K else (n == length) & (F.col("r") == VERBATIM), _windows(F.col("hashed"), F.col("r"), length)) for length in range(SHORTEST, K + 1)]
+    rows = rows.select("item_id", "ih", "r", "words", F.least(n, k).alias("k"), _held(F.coalesce(*by_length)).alias("ws"))
+    rows = rows.select("item_id", "ih", "r", "words", "k", F.posexplode("ws").alias("o", "w"))
+    literal = F.size(F.filter(F.slice("words", F.col("o") + 1, F.col("k")), lambda x: ~x.isin(_NAME, _NUMBER, _UNIT)))
+    return rows.where(literal >= LITERAL).select("item_id", "ih", "r", "k", "o", "w", F.count("*").over(Window.partitionBy("item_id", "ih", "r")).alias("of"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, th, item_id, cover): the items that a document holds, by key of row ``th``."""
     bench = stage(benchmark.select("item_id", "text").dropDuplicates(), "bench-items")
-    placed = bench.select("item_id", F.xxhash64("text").alias("ih"), _readings(template, "words"))
-    placed = placed.select("item_id", "ih", "r", "words", _held(_hashed(F.col("words"))).alias("hashed"))
-    placed = placed.select("item_id", "ih", "r", "words", F.posexplode(_windows(F.col("hashed"))).alias("o", "w"))
-    literal = F.size(F.filter(F.slice("words", F.col("o") + 1, K), lambda x: ~x.isin(_NAME, _NUMBER, _UNIT)))
-    placed = stage(placed.where(literal >= LITERAL).select("item_id", "ih", "r", "o", "w", F.count("*").over(Window.partitionBy("item_id", "ih", "r")).alias("of")), "bench-windows")
+    placed = stage(_item_windows(bench), "bench-windows")
+    # Lengths of windows: K, and those of items shorter than that, of which there are K - SHORTEST at most.
+    shorter = sorted(x.k for x in placed.where(F.col("k") < K).select("k").distinct().collect())
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    hashed = keyed.select("doc_id", "th", _readings(template, "words")).select("doc_id", "th", "r", _held(_hashed(F.col("words"))).alias("hashed"))
-    grams = hashed.select("doc_id", "th", "r", F.posexplode(_windows(F.col("hashed"))).alias("p", "w"))
+    hashed = keyed.select("doc_id", "th", _readings()).select("doc_id", "th", "r", _held(_hashed(F.col("words"))).alias("hashed"))
+    windows = F.array(*(_windows(F.col("hashed"), F.col("r"), k) for k in (K, *shorter)))
+    grams = hashed.select("doc_id", "th", F.explode(windows).alias("ws")).select("doc_id", "th", F.posexplode("ws").alias("p", "w"))
     item = ["doc_id", "th", "item_id", "ih", "r", "of"]
-    votes = grams.join(placed, ["w", "r"]).groupBy(*item, (F.col("p") - F.col("o")).alias("diag")).agg(F.collect_set("o").alias("os"))
+    votes = grams.join(placed.drop("k"), "w").groupBy(*item, (F.col("p") - F.col("o")).alias("diag")).agg(F.collect_set("o").alias("os"))
     by_diag = Window.partitionBy(*item).orderBy("diag")
     votes = votes.withColumn("apart", (F.col("diag") - F.lag("diag").over(by_diag) > DRIFT).cast("int")).withColumn("passage", F.coalesce(F.sum("apart").over(by_diag), F.lit(0)))
     whole = lambda n: n >= F.col("of") * COVER
     groups = votes.groupBy(*item, "passage").agg(F.collect_list(F.struct(F.size("os").alias("votes"), "diag", "os")).alias("parts"))
-    groups = stage(groups.where(whole(F.size(F.array_distinct(F.flatten("parts.os"))))), "leak-passages")
-    parts = groups.select(*item, "passage", F.size("parts").alias("n"), F.explode("parts").alias("x")).select(*item, "passage", "n", "x.*")
+    groups = groups.withColumn("held", F.size(F.array_distinct(F.flatten("parts.os")))).where(whole(F.col("held")))
+    groups = stage(groups, "leak-passages")
+    copied = groups.where(F.col("r") == VERBATIM).select("doc_id", "th", "item_id", (F.col("held") / F.col("of")).alias("cover"))
+
+    formed = groups.where(F.col("r") == TEMPLATE)
+    parts = formed.select(*item, "passage", F.size("parts").alias("n"), F.explode("parts").alias("x")).select(*item, "passage", "n", "x.*")
     piece = F.struct(F.array_min("os").alias("lo"), "diag", (F.array_max("os") - F.array_min("os") + K).alias("width"))
     single = parts.where(whole(F.col("votes"))).select(*item, "votes", F.array(piece).alias("pieces"))
     # Each window of the item counts once, on the diagonal that holds most.
@@ -109,28 +129,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spans = stage(single.unionByName(merged.drop("passage")), "leak-spans")
 
     on = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("th") == F.col("h"))
-    keys = spans.select(F.col("doc_id").alias("k"), F.col("th").alias("h")).distinct()
-    texts = keyed
-    if keys.count() <= BROADCAST_KEYS:
-        texts = keyed.join(F.broadcast(keys), on, "left_semi")
-    texts = texts.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("k"), F.col("th").alias("h"), _readings(slots, "mine")).withColumnRenamed("r", "s")
-    theirs = bench.select("item_id", F.xxhash64("text").alias("ih"), _readings(slots, "theirs"))
-    both = spans.join(texts.hint("merge"), on & (F.col("r") == F.col("s"))).join(theirs, ["item_id", "ih", "r"])
+    texts = sifted(keyed, F.col("th"), spans, F.col("th")).dropDuplicates(["doc_id", "th"])
+    texts = texts.select(F.col("doc_id").alias("k"), F.col("th").alias("h"), slots(F.col("text")).alias("mine"))
+    theirs = bench.select("item_id", F.xxhash64("text").alias("ih"), slots(F.col("text")).alias("theirs"))
+    both = spans.join(texts.hint("merge"), on).join(theirs, ["item_id", "ih"])
     side = lambda words, at, x: F.slice(words, at + 1, x["width"])
     aligned = F.flatten(F.transform("pieces", lambda x: F.zip_with(side("theirs", x["lo"], x), side("mine", x["lo"] + x["diag"], x), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
     pairs = F.array_distinct(F.filter(aligned, lambda x: x["a"].substr(1, 1).isin(_NAME, _NUMBER, _UNIT)))
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: x[side])))
     checked = both.select("doc_id", "th", "item_id", (F.col("votes") / F.col("of")).alias("cover"), _held(pairs).alias("pairs"))
-    consistent = (values("a") == F.size("pairs")) & (values("b") == F.size("pairs"))
-    return checked.where(consistent).groupBy("doc_id", "th", "item_id").agg(F.max("cover").alias("cover"))
+    consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))) == F.size("pairs")
+    return checked.where(consistent).drop("pairs").unionByName(copied).groupBy("doc_id", "th", "item_id").agg(F.max("cover").alias("cover"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row a document: doc_id, contaminated, n_items, items (ids, ascending, comma-joined) and cover (largest).
 
-    A null or empty text holds nothing. Items with fewer than K words, or whose
-    windows are nearly all slots, can't be found; items with null or equal text
-    are judged each by its id. Rows that share a doc_id are judged each by its
+    A null or empty text holds nothing. Items with fewer than SHORTEST words
+    are not looked for, those with fewer than K only word for word; items with
+    null or equal text are judged each by its id. Rows that share a doc_id are judged each by its
     own text. An empty table of documents gives no rows, an empty benchmark no
     contamination. Other columns are ignored.
     """
@@ -142,7 +158,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item of the benchmark, with all their columns."""
+    """The documents that hold no item of the benchmark, with all their columns.
+
+    Null and empty texts hold none and stay; rows that share a doc_id are
+    judged each by its own text; equal rows stay or go together. An empty
+    benchmark keeps all, an empty table gives no rows.
+    """
     key, th = fresh(docs, "doc", "th")
     leaks = stage(find_leaks(docs, benchmark).select(F.col("doc_id").alias(key), F.col("th").alias(th)).distinct(), "leaks")
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(th)), "left_anti")

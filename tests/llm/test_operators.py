@@ -254,8 +254,74 @@ def test_names_that_begin_a_sentence_or_line_are_exchanged(spark):
     text = "Tom has 3 apples in a basket. Tom gives 2 apples to his friend. Anna eats 1 apple every day. How many apples are left for both of them?"
     item = spark.createDataFrame([(1, text)], "item_id long, text string")
     swap = lambda t, a, b: t.replace("Tom", a).replace("Anna", b)
-    rows = [(1, swap(text, "Bob", "Eve")), (2, swap(text, "Mary Ann", "Eve")), (3, "Intro.\n" + swap(text, "Bob", "Eve").replace(". ", ".\n")), (4, text), (5, swap(text, "Bob", "Bob"))]
-    assert {r.doc_id for r in decontaminate.contamination(docs_of(spark, rows), item).where("contaminated").collect()} == {1, 2, 3, 4}
+    rows = [(1, swap(text, "Bob", "Eve")), (2, swap(text, "Mary Ann", "Eve")), (3, "Intro.\n" + swap(text, "Bob", "Eve").replace(". ", ".\n")), (4, text), (5, swap(text, "Bob", "Bob")), (6, swap(text.replace("Tom gives", "Jim gives"), "Bob", "Eve"))]
+    assert {r.doc_id for r in decontaminate.contamination(docs_of(spark, rows), item).where("contaminated").collect()} == {1, 2, 3, 4, 5}
+
+
+def test_copies_in_other_capitals_short_items_and_values_that_coincide(spark):
+    text = "A train leaves with 12 wagons and Tom counts 30 boxes before he drives 7 km along the river to Paris today"
+    item = spark.createDataFrame([(1, text), (2, "what is the capital city of France"), (3, "Yes it is"), (4, "")], "item_id long, text string")
+    rows = [(1, text.replace("12", "7").replace("30", "7")), (2, text.upper()), (3, text.replace("Tom", "Anna Maria")), (4, text.lower()), (5, "He asked: WHAT IS THE CAPITAL CITY OF FRANCE? Nobody knew."), (6, "what is the capital city of Spain"), (7, "Yes it is"), (8, text.replace("Tom", "he")[:60]), (9, "A train leaves with some wagons and Tom counts them all before he walks home")]
+    got = {r.doc_id: r.items for r in decontaminate.contamination(docs_of(spark, rows), item).where("contaminated").collect()}
+    assert got == {1: "1", 2: "1", 3: "1", 4: "1", 5: "2"}
+
+
+def leaks_by_hand(text, item):
+    """The rule itself, passage by passage, without hashes or joins: for texts with one diagonal an item."""
+    kind = {"\1": "name", "\2": "number", "\3": "unit"}
+
+    def read(t):
+        out = []
+        for m in re.finditer(r"[A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+)*|[0-9]+(?:[.,][0-9]+)*|[A-Za-z]+|%", t):
+            x = m.group()
+            if x[0].isdigit():
+                out.append(("\2", x))
+            elif out and out[-1][0] == "\2" and re.fullmatch(r"[ \t]?", t[end : m.start()]) and x.lower() in (*decontaminate.UNITS, "%"):
+                out.append(("\3", x.lower()))
+            elif re.match(r"[A-Z][a-z]", x):
+                out.append(("\1", x.lower()))
+            elif x != "%":
+                out.append((x.lower(), x.lower()))
+            end = m.end()
+        return out
+
+    best = 0.0
+    for reader, slotted in ((read, True), (lambda t: [(w, w) for w in re.findall(r"[a-z0-9]+", t.lower())], False)):
+        a, b = reader(text), reader(item)
+        width = decontaminate.K if len(b) >= decontaminate.K else len(b)
+        if len(b) < decontaminate.K and (slotted or len(b) < decontaminate.SHORTEST):
+            continue
+        windows = [o for o in range(len(b) - width + 1) if sum(w[0] not in kind for w in b[o : o + width]) >= decontaminate.LITERAL]
+        for diag in range(-len(b), len(a)):
+            hit = [o for o in windows if 0 <= o + diag and [w[0] for w in a[o + diag : o + diag + width]] == [w[0] for w in b[o : o + width]]]
+            if hit and len(hit) >= len(windows) * decontaminate.COVER:
+                pairs = {(y, x) for (k, y), (_, x) in zip(b[min(hit) : max(hit) + width], a[min(hit) + diag : max(hit) + width + diag]) if k in kind}
+                if not slotted or len({y for y, _ in pairs}) == len(pairs):
+                    best = max(best, len(hit) / len(windows))
+    return best
+
+
+def test_decontamination_against_the_rule(spark):
+    random.seed(12)
+    plain = "the a of train box river moves counts finds small old then again before under near each whole".split()
+
+    def made(n):
+        return " ".join(random.choice([random.choice(plain)] * 4 + [random.choice(["Tom", "Anna", "Rome"]), str(random.randint(2, 5)), f"{random.randint(2, 5)} km"]) for _ in range(n))
+
+    items = [(i, made(random.randint(3, 24))) for i in range(25)]
+
+    def changed(t):
+        for old in ("Tom", "Anna", "2", "3"):
+            if random.random() < 0.5:
+                t = t.replace(old, random.choice(["Bob", "Eve Ann", "Rome"]) if old[0].isupper() else random.choice("46"), random.choice([1, -1]))
+        return random.choice([t, t, t.upper(), t[: len(t) * 2 // 3]])
+
+    rows = [(j, made(random.randint(0, 12)) + " . " + changed(random.choice(items)[1]) + " ; " + made(random.randint(0, 12))) for j in range(150)]
+    found = decontaminate.find_leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    by_hand = {(d, i) for d, t in rows for i, x in items if leaks_by_hand(t, x)}
+    assert by_hand <= got and len(by_hand) > 60
+    assert len(got - by_hand) <= 3  # passages over several diagonals, which the rule by hand leaves out
 
 
 # --- op7 -------------------------------------------------------------------
