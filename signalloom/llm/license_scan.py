@@ -13,12 +13,13 @@ of the corpus is. What is shuffled are votes, not k-grams.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import sifted, stage
@@ -27,7 +28,7 @@ from .textkit import ALNUM, buffers, phrase_words, rounds, split_words, window_h
 K = 3
 #: Phrases that count wherever their words stand consecutively, and their labels.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Wordings that need only be close, and labels of our own.
+#: Wordings that need only be close, and labels of our own. Openings and notices of licenses, and whole bodies below.
 WORDINGS = (
     ("this work is licensed under the gnu general public license version 3", "gpl-3"),
     ("this program is licensed under the gnu general public license version 2", "gpl-2"),
@@ -38,7 +39,39 @@ WORDINGS = (
     ("licensed under the creative commons attribution sharealike license", "cc-by-sa"),
     ("dedicated to the public domain", "public-domain"),
     ("all rights reserved", "all-rights-reserved"),
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "mit-text",
+    ),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "isc-text",
+    ),
+    (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+        "bsd-2-text",
+    ),
+    (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "apache-2-notice",
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see",
+        "gpl-3-notice",
+    ),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "mpl-2-notice"),
 )
+#: Share of a wording's 3-grams that must have matched anywhere in a document before the words are compared.
+GRAMS = 0.3
 #: Share of a wording's words that a span must hold, in order.
 LEAST = 0.8
 #: Diagonals of one template at most so far apart are neighbours.
@@ -60,16 +93,24 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(diagonals: list[dict]) -> Iterator[tuple[int, int, int]]:
-    """(template, first word, last word + 1) of the spans of merged neighbouring diagonals."""
-    spans: list[list[int]] = []
+    """(template, first word, last word + 1) of the spans of merged neighbouring diagonals.
+
+    A diagonal joins the span with most votes that ends where it begins, or
+    later, and whose last diagonal lies near; chance votes elsewhere don't part them.
+    """
+    spans: dict[int, list[dict]] = {}
     for d in sorted(diagonals, key=lambda d: (d["t"], d["lo"], d["diag"])):
-        last = spans[-1] if spans else None
-        if last and last[0] == d["t"] and d["lo"] <= last[2] + NEAR and abs(d["diag"] - last[3]) <= NEAR:
-            last[2], last[3] = max(last[2], d["hi"] + K), d["diag"]
+        near = [s for s in spans.get(d["t"], ()) if d["lo"] <= s["hi"] + NEAR and abs(d["diag"] - s["diag"]) <= NEAR]
+        if near:
+            best = max(near, key=lambda s: s["votes"])
+            if d["hi"] + K > best["hi"]:
+                best["hi"], best["diag"] = d["hi"] + K, d["diag"]
+            best["votes"] += d["votes"]
         else:
-            spans.append([d["t"], d["lo"], d["hi"] + K, d["diag"]])
-    for t, lo, hi, _ in spans:
-        yield t, lo, hi
+            spans.setdefault(d["t"], []).append({"lo": d["lo"], "hi": d["hi"] + K, "diag": d["diag"], "votes": d["votes"]})
+    for t, found in spans.items():
+        for s in found:
+            yield t, s["lo"], s["hi"]
 
 
 def scan_licenses(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE_PHRASES, wordings: Sequence[tuple[str, str]] = WORDINGS) -> DataFrame:
@@ -79,7 +120,8 @@ def scan_licenses(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE_PHRASE
     a doc_id are judged each by its own text; equal rows give equal rows. A
     null doc_id stays null. An empty table gives no rows. Other columns are
     ignored. ``spans``: label, first word and number of words of each verified
-    place, by place; of wordings whose places overlap the closest counts. ``score``: the largest share of a template that was found.
+    place, by place; of wordings whose places overlap the one with most words found counts. ``score``: the largest share of a template that was found,
+    of wordings of which a share of GRAMS matched.
     """
     spark = docs.sparkSession
     phrases = [(p, label, True) for p, label in base] + [(p, label, False) for p, label in wordings]
@@ -94,7 +136,12 @@ def scan_licenses(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE_PHRASE
     by_diagonal = votes.groupBy("doc_id", "th", "t", (F.col("pos") - F.col("o")).alias("diag")).agg(
         F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max(F.when(F.col("pos") < 0, F.col("gram"))).alias("n_words")
     )
-    found = by_diagonal.groupBy("doc_id", "th").agg(
+    # A wording of which too little stands in a document isn't one: its votes go no further.
+    least = F.element_at(F.array(*(F.lit(1 if own else math.ceil(GRAMS * max(1, len(w) - K + 1))) for w, (_, _, own) in zip(words, phrases, strict=True))), F.col("t") + 1)
+    total = F.sum("votes").over(Window.partitionBy("doc_id", "th", "t"))
+    rows_of = F.max(F.when(F.col("t").isNull(), F.col("votes"))).over(Window.partitionBy("doc_id", "th"))
+    enough = by_diagonal.withColumns({"total": total, "copies": rows_of}).where(F.col("t").isNull() | (F.col("total") >= least * F.col("copies")))
+    found = enough.groupBy("doc_id", "th").agg(
         F.max("n_words").alias("n_words"),
         F.max(F.when(F.col("t").isNull(), F.col("votes"))).alias("rows"),
         F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "diag", "votes", "lo", "hi"))).alias("diagonals"),
@@ -127,7 +174,7 @@ def scan_licenses(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE_PHRASE
                         close.append((share, sum(m.size for m in match), first, a + match[-1].a + match[-1].size, phrases[t][1]))
                     best = max(best, min(1.0, share))
                 taken: list[tuple[int, int]] = []
-                for _, _, lo, hi, label in sorted(close, key=lambda c: (-c[0], -c[1], c[2:])):
+                for _, _, lo, hi, label in sorted(close, key=lambda c: (-c[1], -c[0], c[2:])):
                     if all(hi <= x or lo >= y for x, y in taken):
                         taken.append((lo, hi))
                         spans.append((lo, hi - lo, label, False))

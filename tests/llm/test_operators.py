@@ -67,6 +67,21 @@ def test_license_scan(spark, docs, texts, awkward, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_whole_license_bodies_with_changes_are_found(spark):
+    body = {label: text for text, label in license_scan.WORDINGS}
+
+    def edited(label, every, put_in):
+        words = body[label].split()
+        return " ".join(w for i, x in enumerate(words) for w in ([x, *put_in] if i % every == every - 1 else [x]))
+
+    cut = body["bsd-2-text"].split()
+    rows = [(1, "Copyright Me. " + body["mit-text"] + " End."), (2, edited("mit-text", 25, ["ACME", "Inc"])), (3, " ".join(cut[: int(len(cut) * 0.9)])), (4, " ".join(cut[: len(cut) // 2])), (5, body["mit-text"] + " And. " + body["apache-2-notice"] + " " + body["isc-text"]), (6, body["mit-grant"]), (6, body["mit-grant"]), (7, "all rights reserved by the software and to the copyright holders of the software")]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs_of(spark, rows)).collect()}
+    assert {d: r.labels for d, r in got.items()} == {1: "mit-text", 2: "mit-text", 3: "bsd-2-text", 4: "bsd", 5: "apache-2,apache-2-notice,isc-text,mit-text", 6: "mit-grant", 7: "all-rights-reserved"}
+    assert got[1].score == 1 and got[1].spans[0].first == 2 and got[1].spans[0].words == len(license_scan.phrase_words(body["mit-text"])[0])
+    assert got[2].spans[0].words > got[1].spans[0].words  # neighbouring diagonals are one span
+
+
 # --- op2 -------------------------------------------------------------------
 
 
