@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import normal_p
+
 TRADING_DAYS = 252
 
 
@@ -81,21 +83,29 @@ def origin_slope(x: str, y: str) -> Column:
 
 
 def clustered_slope(df: DataFrame, x: str, y: str, first: str, second: str) -> DataFrame:
-    """Slope of y on x with standard errors clustered by each of two columns and by both, with the small-sample factor."""
+    """Slope of y on x with standard errors clustered by each of two columns and by both, with the small-sample factor.
+
+    Each comes with its t statistic and two-sided p-value (normal distribution).
+    All null under ten rows or where x is constant.
+    """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y, first, second)
-    fit = rows.agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), (F.covar_pop(x, y) / F.var_pop(x)).alias("slope"), (F.var_pop(x) * F.count("*")).alias("sxx"))
+    enough = (F.count("*") >= 10) & (F.stddev_pop(x) > 1e-12)
+    fit = rows.agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.when(enough, F.try_divide(F.covar_pop(x, y), F.var_pop(x))).alias("slope"), F.when(enough, F.var_pop(x) * F.count("*")).alias("sxx"))
     u = rows.crossJoin(F.broadcast(fit)).withColumn("u", (F.col(x) - F.col("mx")) * (F.col(y) - F.col("my") - F.col("slope") * (F.col(x) - F.col("mx"))))
 
     def meat(tag: str, *keys: str) -> DataFrame:
         sums = u.groupBy(*keys).agg(F.sum("u").alias("s"))
         g = F.count("*").cast("double")
-        return sums.agg((g / (g - 1)).alias(f"f_{tag}"), F.sum(F.col("s") * F.col("s")).alias(f"m_{tag}"))
+        return sums.agg(F.try_divide(g, g - 1).alias(f"f_{tag}"), F.sum(F.col("s") * F.col("s")).alias(f"m_{tag}"))
 
     out = fit.crossJoin(meat("a", first)).crossJoin(meat("b", second)).crossJoin(meat("ab", first, second))
     factor = (F.col("n") - 1) / (F.col("n") - 2)
     var = {t: F.col(f"f_{t}") * factor * F.col(f"m_{t}") / (F.col("sxx") * F.col("sxx")) for t in ("a", "b", "ab")}
     both = var["a"] + var["b"] - var["ab"]
-    return out.select("n", "slope", F.sqrt(var["a"]).alias("se_first"), F.sqrt(var["b"]).alias("se_second"), F.when(both > 0, F.sqrt(both)).alias("se_both"))
+    out = out.withColumns({"se_first": F.sqrt(var["a"]), "se_second": F.sqrt(var["b"]), "se_both": F.when(both > 0, F.sqrt(both))})
+    names = ("first", "second", "both")
+    out = out.withColumns({f"t_{k}": F.try_divide(F.col("slope"), F.col(f"se_{k}")) for k in names})
+    return out.select("n", "slope", *(c for k in names for c in (f"se_{k}", f"t_{k}", normal_p(f"t_{k}").alias(f"p_{k}"))))
 
 
 def sharpe(ret: str, days: int = TRADING_DAYS) -> Column:
@@ -144,37 +154,6 @@ def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
     return ranked.withColumn("q_value", F.least(F.lit(1.0), q)).drop("_k", "_m").unionByName(df.where(F.col(p).isNull()).withColumn("q_value", F.lit(None).cast("double")))
 
 
-def bootstrap_interval(df: DataFrame, value: str, entity: str, *, draws: int = 200, seed: int = 12345) -> DataFrame:
-    """95% interval of the mean of entity means under resampling of entities.
-
-    The draw is a linear congruence of (draw, slot), so that any engine gives
-    the same resamples; the entities are few, the draws are rows in parallel.
-    """
-    means = df.where(F.col(value).isNotNull()).groupBy(entity).agg(F.avg(value).alias("m"))
-    slots = means.withColumn("slot", F.row_number().over(Window.orderBy(entity)).cast("long") - 1)
-    n = slots.agg(F.count("*").alias("n"))
-    grid = slots.select("slot").crossJoin(df.sparkSession.range(draws).withColumnRenamed("id", "draw")).crossJoin(F.broadcast(n))
-    drawn = grid.withColumn("pick", (F.col("draw") * 7919 + F.col("slot") * 104729 + F.col("draw") * F.col("slot") * 31 + seed) % F.col("n"))
-    stat = drawn.join(slots.select(F.col("slot").alias("pick"), "m"), "pick").groupBy("draw").agg(F.avg("m").alias("stat"))
-    return stat.agg(F.percentile("stat", 0.025).alias("lower_95"), F.percentile("stat", 0.975).alias("upper_95"), F.count("*").alias("draws"))
-
-
-def block_bootstrap_sharpe(daily: DataFrame, ret: str, *, block: int = 5, draws: int = 200, seed: int = 12345, days: int = TRADING_DAYS) -> DataFrame:
-    """95% interval of the Sharpe ratio under resampling of blocks of consecutive sessions; draws without deviation are left out.
-
-    As in ``bootstrap_interval``, starts of blocks are a linear congruence of (draw, block).
-    """
-    series = daily.select(F.col(ret).alias("r"), (F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("slot"))
-    n = series.agg(F.count("*").alias("n"))
-    blocks = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("b"))
-    grid = blocks.crossJoin(daily.sparkSession.range(draws).withColumnRenamed("id", "draw"))
-    start = (F.col("draw") * 7919 + F.col("b") * 104729 + F.col("draw") * F.col("b") * 31 + seed) % (F.col("n") - block + 1)
-    cells = grid.withColumn("start", start).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("b") * block + F.col("j") < F.col("n"))
-    drawn = cells.select("draw", (F.col("start") + F.col("j")).alias("slot")).join(series, "slot")
-    stat = drawn.groupBy("draw").agg(sharpe("r", days).alias("stat")).where("stat is not null")
-    return stat.agg(F.percentile("stat", 0.025).alias("lower_95"), F.percentile("stat", 0.975).alias("upper_95"), F.count("*").alias("draws"))
-
-
 def permute_within(df: DataFrame, column: str, out: str, *, key: str, seed: int, group: str) -> DataFrame:
     """``out``: the values of ``column`` dealt anew among the rows of each group, by a seeded hash of ``key``."""
     own = Window.partitionBy(group).orderBy(key)

@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 
 
 def chronological_index(df: DataFrame, ts: str, *ties: str) -> DataFrame:
-    """``chronological_index``: 0-based rank over (ts, *ties).
+    """``chronological_index``, 0-based rank over (ts, *ties), and ``_total``, the number of rows.
 
     Ranked within days, plus the number of rows of earlier days: the only
-    unpartitioned sort is over one row a day.
+    unpartitioned window is over one row a day.
     """
     day = F.to_date(ts)
     counts = df.groupBy(day.alias("_day")).agg(F.count("*").alias("_n"))
-    before = counts.select("_day", (F.sum("_n").over(Window.orderBy("_day")) - F.col("_n")).alias("_before"))
+    before = counts.select("_day", (F.sum("_n").over(Window.orderBy("_day")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
     ranked = df.withColumn("_day", day).withColumn("_nth", F.row_number().over(Window.partitionBy("_day").orderBy(ts, *ties)) - 1)
-    return ranked.join(F.broadcast(before), "_day").withColumn("chronological_index", F.col("_before") + F.col("_nth")).drop("_day", "_nth", "_before")
+    return ranked.join(before, "_day").withColumn("chronological_index", F.col("_before") + F.col("_nth")).drop("_day", "_nth", "_before")
 
 
 def assign_splits(df: DataFrame, ts: str, *ties: str, development: int = 60, validation: int = 20) -> DataFrame:
     """``research_split``: first ``development`` percent, next ``validation`` percent, the rest holdout."""
-    total = df.agg(F.count("*").alias("_total"))
-    ranked = chronological_index(df, ts, *ties).crossJoin(F.broadcast(total))
+    ranked = chronological_index(df, ts, *ties)
     place = F.col("chronological_index") * 100
     name = F.when(place < F.col("_total") * development, "development").when(place < F.col("_total") * (development + validation), "validation").otherwise("holdout")
     return ranked.withColumn("research_split", name).drop("_total")
@@ -48,8 +47,7 @@ def walk_forward(df: DataFrame, ts: str, end: str, *ties: str, folds: int, embar
     takes the remainder. Training rows come before the fold and end before it
     starts. The embargo's end is told, not applied.
     """
-    total = df.agg(F.count("*").alias("_total"))
-    ranked = chronological_index(df, ts, *ties).crossJoin(F.broadcast(total))
+    ranked = chronological_index(df, ts, *ties)
     size = F.floor(F.col("_total") / folds)
     placed = ranked.withColumn("fold", F.least(F.floor(F.col("chronological_index") / size), F.lit(folds - 1)).cast("int"))
     bounds = placed.groupBy("fold").agg(F.min(ts).alias("validation_start"), F.max(ts).alias("validation_end"), F.count("*").alias("n_validation")).where("fold > 0")

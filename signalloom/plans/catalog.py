@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import correlation_p
-from ..operators import align, cascade, contracts, costs, ledger, metrics, portfolio, screen, sequential, signals, splits
+from ..operators import align, cascade, contracts, costs, ledger, metrics, portfolio, resample, screen, sequential, signals, specification, splits
+from ..staging import stage
 from . import decisions, views
 from .oracle import with_base
 
@@ -184,17 +185,19 @@ def event_type_encoding(spark, d):
 ) select article_id, ticker from walk where keep""", recursive=True)
 def overlap_suppression(spark, d):
     """STA-1, JOI-6, WIN-4, FIL-15."""
-    return portfolio.suppress_overlaps(_signals(spark, d), views.timeline(spark, d), HOLDING).select("article_id", "ticker")
+    line = views.timeline(spark, d)
+    return portfolio.suppress_overlaps(_signals(spark, d, line), line, HOLDING).select("article_id", "ticker")
 
 
-def _signals(spark: SparkSession, d: str) -> DataFrame:
-    return signals.with_ladder(views.events(spark, d)).where("tradable and abs(signal_weighted) > 0.3")
+def _signals(spark: SparkSession, d: str, line: DataFrame) -> DataFrame:
+    return signals.with_ladder(views.events(spark, d, line)).where("tradable and abs(signal_weighted) > 0.3")
 
 
 def _days(spark: SparkSession, d: str) -> DataFrame:
-    held = signals.strongest(_signals(spark, d), "signal_weighted", "ticker", "entry_date").withColumn("direction", F.signum("signal_weighted"))
+    line = views.timeline(spark, d)
+    held = signals.strongest(_signals(spark, d, line), "signal_weighted", "ticker", "entry_date").withColumn("direction", F.signum("signal_weighted"))
     rows = held.select("article_id", "ticker", "entry_date", "research_split", "direction", "signal_weighted")
-    return align.position_returns(align.holding_days(rows, views.timeline(spark, d).drop("prev_date"), HOLDING))
+    return stage(align.position_returns(align.holding_days(rows, line.drop("prev_date"), HOLDING)), "position-days")
 
 
 _POSITIONS = """, held as (select article_id, ticker, entry_date, research_split, signal_weighted, sign(signal_weighted)::double as direction from ladder where tradable and abs(signal_weighted) > 0.3 qualify row_number() over (partition by ticker, entry_date order by abs(signal_weighted) desc, article_id) = 1
@@ -281,8 +284,9 @@ def pnl_concentration(spark, d):
 
 def _book_events(spark: SparkSession, d: str) -> DataFrame:
     """Strongest company-days with what the acceptance fold needs; reasons that need no state are columns already."""
-    line = views.timeline(spark, d).select("ticker", F.col("date").alias("entry_date"), "open", F.col("volume").cast("double").alias("volume"))
-    rows = signals.strongest(_signals(spark, d), "signal_weighted", "research_split", "ticker", "entry_date").join(line, ["ticker", "entry_date"], "left")
+    sessions = views.timeline(spark, d)
+    line = sessions.select("ticker", F.col("date").alias("entry_date"), "open", F.col("volume").cast("double").alias("volume"))
+    rows = signals.strongest(_signals(spark, d, sessions), "signal_weighted", "research_split", "ticker", "entry_date").join(line, ["ticker", "entry_date"], "left")
     reason = screen.first_failing([("missing_holding_path", F.col("exit_date_5d").isNull()), ("split_boundary", F.coalesce(F.col("exit_date_5d") >= F.col("next_split_entry_date"), F.lit(False)))])
     return rows.withColumns({"reason": reason, "signal": F.col("signal_weighted"), "exit_date": F.col("exit_date_5d"), "cost_per_dollar": F.lit(0.001), "cost_fixed": F.lit(2.5)})
 
@@ -303,13 +307,21 @@ def edge_slope(spark, d):
     return rounded(rows.groupBy("research_split").agg(F.count("*").alias("n"), metrics.origin_slope("signal_weighted", "future_return_5d").alias("slope")))
 
 
-@query(""", x as (select signal_weighted as x, future_return_5d as y, ticker, entry_date from ladder where tradable and future_return_5d is not null), f as (select count(*) as n, avg(x) as mx, avg(y) as my, covar_pop(x, y) / var_pop(x) as b, var_pop(x) * count(*) as sxx from x
+def _normal_p(z: str) -> str:
+    """Two-sided normal p-value by the series of positive terms of the error function; below 1e-12 beyond seven deviations."""
+    half = f"abs({z}) / sqrt(2)"
+    return f"case when abs({z}) > 7 then 0 else 1 - 2 / sqrt(pi()) * exp(-pow({half}, 2)) * list_sum(list_transform(range(150), lambda k: exp(k * ln(2) + (2 * k + 1) * ln(greatest({half}, 1e-300)) - (lgamma(2.0 * k + 2) - k * ln(2) - lgamma(k + 1.0))))) end"
+
+
+@query(f""", x as (select signal_weighted as x, future_return_5d as y, ticker, entry_date from ladder where tradable and future_return_5d is not null), f as (select count(*) as n, avg(x) as mx, avg(y) as my, covar_pop(x, y) / var_pop(x) as b, var_pop(x) * count(*) as sxx from x
 ), u as (select *, (x - mx) * (y - my - b * (x - mx)) as u from x, f), a as (select count(*)::double as g, sum(s * s) as m from (select sum(u) as s from u group by ticker)), c as (select count(*)::double as g, sum(s * s) as m from (select sum(u) as s from u group by entry_date)), t as (select count(*)::double as g, sum(s * s) as m from (select sum(u) as s from u group by ticker, entry_date))
-select n, round(b, 8) as slope, round(sqrt(va), 8) as se_first, round(sqrt(vc), 8) as se_second, round(case when va + vc - vt > 0 then sqrt(va + vc - vt) end, 8) as se_both from (select f.n, b, a.g / (a.g - 1) * ((f.n - 1) / (f.n - 2)::double) * a.m / (sxx * sxx) as va, c.g / (c.g - 1) * ((f.n - 1) / (f.n - 2)::double) * c.m / (sxx * sxx) as vc, t.g / (t.g - 1) * ((f.n - 1) / (f.n - 2)::double) * t.m / (sxx * sxx) as vt from f, a, c, t)""")
+select n, round(b, 8) as slope, round(sqrt(va), 8) as se_first, round(b / sqrt(va), 6) as t_first, round({_normal_p('b / sqrt(va)')}, 6) as p_first, round(sqrt(vc), 8) as se_second, round(b / sqrt(vc), 6) as t_second, round({_normal_p('b / sqrt(vc)')}, 6) as p_second, round(sqrt(vb), 8) as se_both, round(b / sqrt(vb), 6) as t_both, round({_normal_p('b / sqrt(vb)')}, 6) as p_both
+from (select *, case when va + vc - vt > 0 then va + vc - vt end as vb from (select f.n, b, a.g / (a.g - 1) * ((f.n - 1) / (f.n - 2)::double) * a.m / (sxx * sxx) as va, c.g / (c.g - 1) * ((f.n - 1) / (f.n - 2)::double) * c.m / (sxx * sxx) as vc, t.g / (t.g - 1) * ((f.n - 1) / (f.n - 2)::double) * t.m / (sxx * sxx) as vt from f, a, c, t))""")
 def clustered_ols(spark, d):
     """AGG-17."""
     rows = signals.with_ladder(views.events(spark, d)).where("tradable")
-    return rounded(metrics.clustered_slope(rows, "signal_weighted", "future_return_5d", "ticker", "entry_date"))
+    out = rounded(metrics.clustered_slope(rows, "signal_weighted", "future_return_5d", "ticker", "entry_date"))
+    return out.select(*(F.round(c, 6).alias(c) if c[:2] in ("t_", "p_") else F.col(c) for c in out.columns))
 
 
 @query("""select horizon, research_split, round(avg(least(greatest(ret, lo), hi)), 8) as winsorised_mean, round(any_value(p25), 8) as p25, round(any_value(p50), 8) as median, round(any_value(p75), 8) as p75 from (select *, quantile_cont(ret, 0.01) over w as lo, quantile_cont(ret, 0.25) over w as p25, quantile_cont(ret, 0.5) over w as p50, quantile_cont(ret, 0.75) over w as p75, quantile_cont(ret, 0.99) over w as hi
@@ -327,27 +339,77 @@ def company_equal_means(spark, d):
     return rounded(metrics.mean_of_means(rows, "signed", "ticker", "sector", "horizon"))
 
 
-@query(""", m as (select ticker, avg(sign(score)::double * future_return_5d) as m from events where tradable and future_return_5d is not null group by 1), s as (select m, row_number() over (order by ticker) - 1 as slot, count(*) over () as n from m
-), g as (select r.draw, (r.draw * 7919 + s.slot * 104729 + r.draw * s.slot * 31 + 12345) % s.n as pick from s, (select unnest(range(200)) as draw) r), st as (select draw, avg(m) as stat from g join s on s.slot = g.pick group by 1)
-select round(quantile_cont(stat, 0.025), 8) as lower_95, round(quantile_cont(stat, 0.975), 8) as upper_95, count(*) as draws from st""")
-def bootstrap_ci(spark, d):
-    """AGG-22..25: resamples of companies."""
-    rows = views.events(spark, d).where("tradable").withColumn("signed", F.signum("score") * F.col("future_return_5d"))
-    return rounded(metrics.bootstrap_interval(rows, "signed", "ticker"))
+_PICK = "('0x' || substr(md5('12345:' || {draw} || ':' || {slot}), 1, 15))::bigint % ({n})"
+_BOUNDS = "round(quantile_cont({0}, 0.025), 6) as lower_95, round(quantile_cont({0}, 0.975), 6) as upper_95, count({0}) as draws"
 
 
-@query(""", g as (select c.c, m.m, c.i * 3 + m.j as spec_id from (values (0, 0.0), (1, 0.3), (2, 0.6)) c(i, c), (values (0, 0.0), (1, 0.25), (2, 0.5)) m(j, m)), e as (select spec_id, g.c as least_confidence, g.m as least_materiality, score, future_return_5d as ret from events, g where tradable and confidence >= g.c and materiality >= g.m and future_return_5d is not null
-), s as (select spec_id, any_value(least_confidence) as least_confidence, any_value(least_materiality) as least_materiality, count(*) as n, covar_pop(score, ret) / (stddev_pop(score) * stddev_pop(ret)) as ic from e group by 1), p as (select *, round(1 / (1 + abs(ic) * sqrt(n)), 10) as p from s
-), k as (select *, row_number() over (order by p, spec_id) as k, count(*) over () as m from p) select spec_id, least_confidence, least_materiality, n, round(ic, 8) as ic, p, round(least(1.0, min(p * m / k) over (order by k rows between current row and unbounded following)), 8) as q_value from k""")
+@query(f""", m as (select ticker, avg(sign(score)::double * future_return_5d) as m from events where tradable and future_return_5d is not null group by 1), s as (select m, row_number() over (order by ticker) - 1 as slot, count(*) over () as n from m
+), g as (select r.draw, {_PICK.format(draw='r.draw', slot='s.slot', n='s.n')} as pick from s, (select unnest(range(200)) as draw) r), st as (select draw, avg(m) as stat from g join s on s.slot = g.pick group by 1)
+select {_BOUNDS.format('stat')} from st""")
+def bootstrap_ci(spark, d):
+    """AGG-22: resamples of companies."""
+    rows = views.events(spark, d).where("tradable").withColumn("signed", F.signum("score") * F.col("future_return_5d"))
+    return rounded(resample.mean_interval(rows, "signed", "ticker"), 6)
+
+
+_RANKED = "(rank() over (partition by draw order by {0}) + count(*) over (partition by draw order by {0})) / 2.0"
+_UNPIVOT = "select statistic, " + _BOUNDS.format("value") + " from (unpivot st on columns(* exclude draw) into name statistic value value) group by 1"
+
+
+@query(f""", u as (select ticker, score, signal_weighted as weighted, future_return_5d as ret, label from ladder where tradable and research_split = 'holdout' and future_return_5d is not null), s as (select ticker, row_number() over (order by ticker) - 1 as slot, count(*) over () as n from (select distinct ticker from u)
+), g as (select r.draw, {_PICK.format(draw='r.draw', slot='s.slot', n='s.n')} as pick from s, (select unnest(range(40)) as draw) r), x as (select g.draw, u.* from g join s on s.slot = g.pick join u using (ticker)
+), rk as (select *, {_RANKED.format('score')} as rs, {_RANKED.format('weighted')} as rw, {_RANKED.format('ret')} as ry from x), st as (select draw, {_pearson('score', 'ret')} as pearson_ic, {_pearson('rs', 'ry')} as spearman_ic, {_pearson('weighted', 'ret')} as weighted_pearson_ic, {_pearson('rw', 'ry')} as weighted_spearman_ic,
+  avg(case when label = 'bullish' then ret end) - avg(case when label = 'bearish' then ret end) as bullish_minus_bearish_spread from rk group by 1) {_UNPIVOT}""")
+def company_bootstrap(spark, d):
+    """AGG-23: five statistics of the holdout under resampling of companies."""
+    rows = signals.with_ladder(views.events(spark, d)).where("tradable and research_split = 'holdout'")
+    return rounded(resample.company_intervals(rows, score="score", weighted="signal_weighted", ret="future_return_5d", label="label", entity="ticker", draws=40, seed=12345), 6)
+
+
+@query(f""", u as (select entry_date, signal_weighted as x, future_return_21d as ret from ladder where tradable and research_split = 'holdout' and future_return_21d is not null), s as (select entry_date, row_number() over (order by entry_date) - 1 as slot, count(*) over () as n from (select distinct entry_date from u)
+), b as (select r.draw, b.b, {_PICK.format(draw='r.draw', slot='b.b', n='b.n - 21 + 1')} as start, b.n from (select distinct n, unnest(range(cast(ceil(n / 21.0) as bigint))) as b from (select any_value(n) as n from s) where n >= 42) b, (select unnest(range(40)) as draw) r
+), x as (select b.draw, u.* from b, (select unnest(range(21)) as j) j join s on s.slot = b.start + j.j join u using (entry_date) where b.b * 21 + j.j < b.n
+), rk as (select *, {_RANKED.format('x')} as rx, {_RANKED.format('ret')} as ry from x), st as (select draw, {_pearson('x', 'ret')} as pearson_ic, {_pearson('rx', 'ry')} as spearman_ic, avg(sign(x)::double * ret) as signed_return from rk group by 1) {_UNPIVOT}""")
+def date_block_bootstrap(spark, d):
+    """AGG-24: blocks of 21 dates of the holdout."""
+    rows = signals.with_ladder(views.events(spark, d)).where("tradable and research_split = 'holdout'")
+    return rounded(resample.date_block_intervals(rows, signal="signal_weighted", ret="future_return_21d", date="entry_date", horizon=21, draws=40, seed=12345), 6)
+
+
+def _sql_p(r: str, n: str) -> str:
+    """Two-sided p-value of a correlation r of n pairs by the finite sums for whole degrees of freedom."""
+    even = f"abs({r}) * list_sum(list_transform(range(cast(({n} - 2) / 2 as bigint)), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0) - lgamma(0.5)) * pow(1 - {r} * {r}, k)))"
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1 - {r} * {r}) * coalesce(list_sum(list_transform(range(cast(({n} - 3) / 2 as bigint)), lambda k: exp(lgamma(k + 1.0) + lgamma(1.5) - lgamma(k + 1.5)) * pow(1 - {r} * {r}, k))), 0))"
+    return f"case when {n} < 3 or {r} is null then null when abs({r}) >= 1 then 0 when {n} % 2 = 0 then 1 - {even} else 1 - {odd} end"
+
+
+_GRID = specification.Grid()
+
+
+@query(f""", cell as (select c.i as ci, c.v as c, r.i as ri, r.v as r, m.i as mi, m.v as m from (values (0, 0.0), (1, 0.5), (2, 0.7)) c(i, v), (values (0, 0.0), (1, 0.5), (2, 0.7)) r(i, v), (values (0, 0.0), (1, 0.25), (2, 0.5)) m(i, v)
+), e as (select l.*, cell.* from ladder l, cell where tradable and not abstain and research_split <> 'holdout' and confidence >= c and relevance >= r and materiality >= m
+), sg as (select *, 0 as signal, signal_raw as x from e union all select *, 1, signal_confidence from e union all select *, 2, signal_weighted from e union all select *, 3, signal_novel from e
+), ag as (select *, 0 as agg, x as v from sg union all select *, 1, x from sg qualify row_number() over (partition by ci, ri, mi, signal, research_split, ticker, entry_date order by abs(x) desc, article_id) = 1
+  union all select *, 2, avg(x) over (partition by ci, ri, mi, signal, research_split, ticker, entry_date) from sg qualify row_number() over (partition by ci, ri, mi, signal, research_split, ticker, entry_date order by article_id) = 1
+), lg as (select (((signal * 3 + agg) * 3 + ci) * 3 + ri) * 3 + mi as spec_id, research_split, 5 as horizon, v as x, future_return_5d as y from ag where next_split_entry_date is null or exit_date_5d < next_split_entry_date
+  union all select (((signal * 3 + agg) * 3 + ci) * 3 + ri) * 3 + mi, research_split, 21, v, future_return_21d from ag where next_split_entry_date is null or exit_date_21d < next_split_entry_date
+), rk as (select *, rank() over (partition by spec_id, research_split, horizon order by x) + (count(*) over (partition by spec_id, research_split, horizon, x) - 1) / 2.0 as rx, rank() over (partition by spec_id, research_split, horizon order by y) + (count(*) over (partition by spec_id, research_split, horizon, y) - 1) / 2.0 as ry from lg where x is not null and y is not null
+), a as (select spec_id, research_split, horizon, count(*) as n, {_pearson('rx', 'ry')} as ic, avg(sign(x)::double * y) as sr from rk group by 1, 2, 3), ap as (select *, {_sql_p('ic', 'n')} as p from a
+), w as (select spec_id, max(case when research_split = 'validation' and horizon = 5 then n end) as n5, max(case when research_split = 'validation' and horizon = 21 then n end) as n21, max(case when research_split = 'validation' and horizon = 5 then ic end) as v5, max(case when research_split = 'validation' and horizon = 21 then ic end) as v21,
+  max(case when research_split = 'development' and horizon = 5 then ic end) as d5, max(case when research_split = 'development' and horizon = 21 then ic end) as d21, max(case when research_split = 'validation' and horizon = 5 then p end) as p5, max(case when research_split = 'validation' and horizon = 21 then p end) as p21,
+  max(case when research_split = 'validation' and horizon = 5 and ic is not null then sr end) as s5, max(case when research_split = 'validation' and horizon = 21 and ic is not null then sr end) as s21 from ap group by 1
+), f as (select i as spec_id, w.* exclude spec_id, least(coalesce(n5, 0), coalesce(n21, 0)) as n, coalesce(least(coalesce(n5, 0), coalesce(n21, 0)) / (select count(*) from events where research_split = 'validation')::double, 0) as coverage, coalesce(v5 > 0 and v21 > 0 and d5 > 0 and d21 > 0, false) as consistent, case when p5 is not null and p21 is not null then least(1.0, 2 * least(p5, p21)) end as p from range(324) t(i) left join w on w.spec_id = i
+), u as (select *, 0.45::double * (v5 + v21) / 2 + 0.25::double * (d5 + d21) / 2 + 20 * (s5 + s21) / 2 + 0.1::double * coverage - case when consistent then 0 else 0.25::double end as utility from f
+), k as (select *, row_number() over (order by p, spec_id) as k, count(*) over () as m from u where p is not null), q as (select spec_id, least(1.0, min(p * m / k) over (order by k rows between current row and unbounded following)) as q_value from k
+), z as (select u.*, q.q_value, utility is not null and coverage >= 0.25 and n >= 100 as eligible from u left join q using (spec_id)), best as (select spec_id as b from z where eligible order by utility desc, spec_id limit 1)
+select z.spec_id, n, round(v5, 6) as val_ic_5d, round(v21, 6) as val_ic_21d, round(d5, 6) as dev_ic_5d, round(d21, 6) as dev_ic_21d, round(p, 6) as p, round(q_value, 6) as q_value, round(coverage, 6) as coverage, consistent, round(utility, 6) as utility, eligible, spec_id = b as selected,
+  eligible and spec_id // 27 = b // 27 and abs(spec_id // 9 % 3 - b // 9 % 3) + abs(spec_id // 3 % 3 - b // 3 % 3) + abs(spec_id % 3 - b % 3) = 1 as neighbour from z, best""")
 def spec_search(spark, d):
-    """JOI-12, SEL-6, WIN-8, FIL-7: every grid cell in one grouped pass."""
-    grid = spark.createDataFrame([(i * 3 + j, c, m) for i, c in enumerate((0.0, 0.3, 0.6)) for j, m in enumerate((0.0, 0.25, 0.5))], "spec_id long, least_confidence double, least_materiality double")
-    rows = views.events(spark, d).where("tradable and future_return_5d is not null").select("confidence", "materiality", "score", F.col("future_return_5d").alias("ret"))
-    met = rows.crossJoin(F.broadcast(grid)).where("confidence >= least_confidence and materiality >= least_materiality")
-    specs = met.groupBy("spec_id", "least_confidence", "least_materiality").agg(F.count("*").alias("n"), metrics.correlation(F.col("score"), F.col("ret")).alias("ic"))
-    specs = specs.withColumn("p", F.round(1 / (1 + F.abs("ic") * F.sqrt("n")), 10))
-    out = metrics.benjamini_hochberg(specs, "p")
-    return out.withColumns({"ic": r8("ic"), "q_value": r8("q_value")})
+    """JOI-12, SEL-4/6, WIN-8, FIL-7, AGG-2/14: 324 candidates in one grouped pass."""
+    rows = signals.with_ladder(views.events(spark, d))
+    specification.check(_GRID, rows.columns)
+    out = specification.search(rows, _GRID)
+    return rounded(out.select("spec_id", "n", "val_ic_5d", "val_ic_21d", "dev_ic_5d", "dev_ic_21d", "p", "q_value", "coverage", "consistent", "utility", "eligible", "selected", "neighbour"), 6)
 
 
 @query(""", o as (select *, row_number() over (order by ts, article_id) - 1 as i, count(*) over () as n from events where exit_date_5d is not null), f as (select *, least(floor(i / floor(n / 5)), 4)::integer as fold from o), b as (select fold, min(ts) as validation_start, max(ts) as validation_end, count(*) as n_validation from f where fold > 0 group by 1)
@@ -404,11 +466,11 @@ def energy_integral(spark, d):
     return rows.groupBy("user_id").agg(F.round(F.sum("energy"), 6).alias("energy"), r8(F.avg("value")).alias("mean_power"), F.max("value").alias("max_power"))
 
 
-@query(_BOOK + """, s as (select net_return as r, row_number() over (order by date) - 1 as slot, count(*) over () as n from book), g as (select d.draw, (d.draw * 7919 + b.b * 104729 + d.draw * b.b * 31 + 12345) % (b.n - 5 + 1) + j.j as slot from (select distinct n, unnest(range(cast(ceil(n / 5.0) as bigint))) as b from (select any_value(n) as n from s)) b, (select unnest(range(200)) as draw) d, (select unnest(range(5)) as j) j where b.b * 5 + j.j < b.n
-), st as (select draw, case when count(*) >= 2 and stddev_samp(r) > 0 then avg(r) / stddev_samp(r) * sqrt(252) end as stat from g join s using (slot) group by 1) select round(quantile_cont(stat, 0.025), 8) as lower_95, round(quantile_cont(stat, 0.975), 8) as upper_95, count(stat) as draws from st""")
+@query(_BOOK + f""", s as (select net_return as r, row_number() over (order by date) - 1 as slot, count(*) over () as n from book), g as (select d.draw, {_PICK.format(draw='d.draw', slot='b.b', n='b.n - 5 + 1')} + j.j as slot from (select distinct n, unnest(range(cast(ceil(n / 5.0) as bigint))) as b from (select any_value(n) as n from s)) b, (select unnest(range(200)) as draw) d, (select unnest(range(5)) as j) j where b.b * 5 + j.j < b.n
+), st as (select draw, case when count(*) >= 2 and stddev_samp(r) > 1e-12 then avg(r) / stddev_samp(r) * sqrt(252) end as stat from g join s using (slot) group by 1) select {_BOUNDS.format('stat')} from st""")
 def sharpe_interval(spark, d):
-    """AGG-25, AGG-24: session blocks."""
-    return rounded(metrics.block_bootstrap_sharpe(_book(spark, d), "net_return"))
+    """AGG-25: session blocks."""
+    return rounded(resample.block_sharpe_interval(_book(spark, d), "net_return"), 6)
 
 
 @query(""", p as (select article_id, ticker, score, row_number() over (partition by ticker order by article_id) as n, row_number() over (partition by ticker order by md5('9:' || article_id), article_id) as m from events) select a.article_id, b.score as placebo from p a join p b on a.ticker = b.ticker and a.n = b.m""")
@@ -417,9 +479,13 @@ def placebo_signal(spark, d):
     return metrics.permute_within(views.events(spark, d).select("article_id", "ticker", "score"), "score", "placebo", key="article_id", seed=9, group="ticker").select("article_id", "placebo")
 
 
-@query()
+@query(f""", u as (select research_split, horizon, signal_weighted as x, score * confidence as c, ret from long_events where tradable and not abstain and ret is not null), rk as (select *, rank() over w as rx0, count(*) over (partition by research_split, horizon, x) as tx, rank() over v as ry0, count(*) over (partition by research_split, horizon, ret) as ty from u window w as (partition by research_split, horizon order by x), v as (partition by research_split, horizon order by ret)
+), a as (select research_split, horizon, count(*) as n, {_pearson('x', 'ret')} as pearson, {_pearson('rx0 + (tx - 1) / 2.0', 'ry0 + (ty - 1) / 2.0')} as spearman, {_pearson('c', 'ret')} as confidence_pearson from rk group by 1, 2)
+select research_split, horizon, n, round(pearson, 8) as pearson, round(spearman, 8) as spearman, round(confidence_pearson, 8) as confidence_pearson, round({_sql_p('pearson', 'n')}, 6) as pearson_p, round({_sql_p('spearman', 'n')}, 6) as spearman_p from a""")
 def ic_pvalues(spark, d):
-    """AGG-14: p-values of each split's correlations."""
+    """AGG-14/15: p-values of each split's correlations, and the confidence-weighted one."""
     rows = metrics.long_returns(signals.with_ladder(views.events(spark, d)), views.HORIZONS).where(metrics.usable())
     ic = metrics.association(rows, "signal_weighted", "ret", "research_split", "horizon")
-    return ic.withColumns({"pearson_p": correlation_p("pearson", "n"), "spearman_p": correlation_p("spearman", "n")})
+    own = rows.groupBy("research_split", "horizon").agg(metrics.correlation(F.col("signal_confidence"), F.col("ret")).alias("confidence_pearson"))
+    out = ic.join(own, ["research_split", "horizon"]).withColumns({f"{c}_p": correlation_p(c, "n") for c in ("pearson", "spearman")})
+    return rounded(out).withColumns({f"{c}_p": F.round(f"{c}_p", 6) for c in ("pearson", "spearman")})

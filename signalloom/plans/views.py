@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align, signals, splits
+from ..staging import stage
 
 HORIZONS = (1, 5, 21)
 
@@ -53,18 +54,24 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.sessions(prices(spark, sf_dir), HORIZONS)
+    """Sessions of each ticker, written once: the as-of join and the holding paths all read it."""
+    return stage(align.sessions(prices(spark, sf_dir), HORIZONS), "timeline")
 
 
-def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def aligned(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
     """Articles with their entry session and forward returns."""
     keep = ["ticker", "date", "prev_date", "adj_open", "session", *(f"{c}_{h}d" for h in HORIZONS for c in ("exit_date", "exit_close"))]
-    return align.forward_returns(align.next_session(articles(spark, sf_dir), timeline(spark, sf_dir).select(*keep)), HORIZONS)
+    line = align.sessions(prices(spark, sf_dir), HORIZONS) if line is None else line
+    return align.forward_returns(align.next_session(articles(spark, sf_dir), line.select(*keep)), HORIZONS)
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned articles with chronological split and next boundary; those without an entry are left out."""
-    return splits.next_boundary(splits.assign_splits(aligned(spark, sf_dir).where("entry_date is not null"), "ts", "ticker", "article_id"))
+def events(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
+    """Aligned articles with chronological split and next boundary; those without an entry are left out.
+
+    The as-of join and the ranks are each written once: what follows reads them many times.
+    """
+    rows = stage(aligned(spark, sf_dir, line).where("entry_date is not null"), "aligned")
+    return splits.next_boundary(stage(splits.assign_splits(rows, "ts", "ticker", "article_id"), "events"))
 
 
 def second_rater(spark: SparkSession, sf_dir: str) -> DataFrame:
