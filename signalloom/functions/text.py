@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +27,8 @@ EVENT_PATTERNS = {
     "restructuring": (r"\b(?:restructuring|reorganization|layoffs?|job cuts?|cost-cutting|strategic review)\b",),
     "operations": (r"\b(?:outage|disruption|shutdown|strike|recall|production halt|supply shortage|plant closure)\b", r"\b(?:production|deliveries|shipments)\b.*\b(?:rose|fell|halted|suspended|missed)\b"),
     "product": (r"\b(?:launches?|unveils?|introduces?|approves?|approval)\b.*\b(?:product|drug|platform|service|device|model)\b", r"\b(?:product launch|new drug|clinical trial|phase [123]|fda approval)\b"),
+    "capital_allocation": (r"\b(?:capital allocation|special dividend|asset sale|investment plan|capital spending|capex)\b",),
+    "macro_exposure": (r"\b(?:tariff|interest rates?|inflation|currency headwind|commodity prices?|recession)\b",),
 }
 # Words of keyword sentiment.
 POSITIVE = ("approval", "beat", "beats", "growth", "increase", "profit", "raises", "record", "strong", "upgrade")
@@ -48,6 +51,11 @@ BUCKET_TERMS = {
 # Weights of the relevance components.
 RELEVANCE = {"headline_company": 0.30, "headline_ticker": 0.10, "opening_company": 0.20, "repeated_company_mentions": 0.10, "primary_subject": 0.10, "specific_event": 0.15, "adequate_text": 0.05, "generic_penalty": -0.25, "multi_ticker_penalty": -0.20, "missing_provider_symbol_penalty": -0.40}
 
+# Titles of market summaries and lists, and legal suffixes of company names.
+GENERIC_TITLE = r"(?i)\b(?:market (?:wrap|roundup|update)|stocks? (?:to watch|today)|top \d+ stocks?|best stocks?|sector (?:wrap|roundup)|what investors need to know|stock market today|premarket|closing bell)\b"
+LISTICLE = r"(?i)\b(?:\d+|five|ten|three)\s+(?:best|top|stocks?|companies|reasons)\b"
+LEGAL_SUFFIX = r"(?i)\b(?:incorporated|corporation|company|inc|corp|plc|ltd|limited|holdings?|group)\b\.?"
+
 TOKEN = r"[a-z0-9]+(?:'[a-z]+)?"
 
 
@@ -57,6 +65,12 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
+@F.pandas_udf(T.StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """Unicode compatibility form."""
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
 def collapsed(text: Column) -> Column:
     """White space runs to single spaces, ends trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
@@ -68,12 +82,92 @@ def tokens(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
+    """Tokens of ASCII text, joined by spaces."""
     return F.array_join(tokens(text), " ")
 
 
+@F.pandas_udf(T.StringType())
+def normal_form(text: pd.Series) -> pd.Series:
+    """Tokens of the text in compatibility form, case-folded, joined by spaces; null counts as empty. One Arrow pass, as patterns read it many times."""
+    find = re.compile(TOKEN).findall
+    return text.map(lambda x: " ".join(find(unicodedata.normalize("NFKC", x or "").casefold())))
+
+
+def body_hash(body: Column) -> Column:
+    """SHA-256 of the body in compatibility form, case-folded, white space collapsed: equal for copies that differ in form alone."""
+    return F.sha2(collapsed(nfkc(body)), 256)
+
+
+def content_hash(title: Column, body: Column) -> Column:
+    """SHA-256 of title and body in compatibility form with white space collapsed; case counts."""
+    return F.sha2(F.concat_ws("\n", collapsed(compatible(title)), collapsed(compatible(body))), 256)
+
+
+def text_type(title: Column, body: Column, least: int) -> Column:
+    """full_text where the body, collapsed, is long enough and isn't the title over again; else headline_only."""
+    own = collapsed(body)
+    again = collapsed(nfkc(body)) == collapsed(nfkc(title))
+    return F.when((F.length(own) >= least) & ~again, "full_text").otherwise("headline_only")
+
+
+def is_generic(title: Column) -> Column:
+    """Title of a market summary or a list."""
+    return title.rlike(GENERIC_TITLE) | title.rlike(LISTICLE)
+
+
+def is_market_summary(title: Column, symbols: Column, least: int) -> Column:
+    """Many symbols and a title that names no one company."""
+    return (F.size(symbols) >= least) & title.rlike(GENERIC_TITLE)
+
+
+def word_limit(text: Column, most: int) -> Column:
+    """Not empty and at most so many words."""
+    words = collapsed(text)
+    return (words != "") & (F.size(F.split(words, " ")) <= most)
+
+
+def aliases(universe: DataFrame) -> DataFrame:
+    """``aliases`` of each member (ticker, company_name, names) in normal form: its names, and the company name without legal suffixes; three letters at least."""
+    raw = F.concat(F.array("company_name"), F.coalesce("names", F.array().cast("array<string>")), F.array(F.regexp_replace("company_name", LEGAL_SUFFIX, " ")))
+    rows = universe.select("ticker", F.explode(raw).alias("name")).select("ticker", normal_form("name").alias("alias")).where("length(alias) >= 3")
+    made = rows.groupBy("ticker").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    return universe.join(made, "ticker", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def company_relevance(articles: DataFrame, universe: DataFrame, *, minimum_text: int = 400, minimum_score: float = 0.55, maximum_symbols: int = 5) -> DataFrame:
+    """How specific an article (ticker, title, body, symbols) is to its company, before any model sees it.
+
+    Adds score (ten weighted components, from 0 to 1), eligible, reasons (what
+    speaks against it, in order) and candidates (event types). The universe, a
+    dimension of companies, is joined by ticker.
+    """
+    member = aliases(universe).select("ticker", "aliases")
+    rows = articles.join(member, "ticker").withColumns({"_title": normal_form("title"), "_body": normal_form("body")})
+    base = F.lower(F.split_part("ticker", F.lit("."), F.lit(1)))
+    rows = rows.withColumns({"_opening": F.array_join(F.slice(F.split("_body", " "), 1, 120), " "), "_base": base, "_pattern": F.concat(F.lit(r"(?i)(?:\$|\b)"), base, F.lit(r"\b"))})
+    any_alias = lambda text: F.exists("aliases", lambda a: F.contains(F.col(text), a))
+    flags = {
+        "_headline": any_alias("_title"), "_open": any_alias("_opening"), "_mentions": F.aggregate("aliases", F.lit(0), lambda n, a: n + F.regexp_count(F.col("_body"), a)),
+        "_symbol_title": (F.length("_base") >= 3) & F.expr("title rlike _pattern"), "_symbol": F.array_contains("symbols", F.col("ticker")), "_low": F.length(collapsed(F.col("body"))) < minimum_text,
+        "_generic": is_generic(F.col("title")), "_many": F.size("symbols") > maximum_symbols, "candidates": event_candidates(F.col("title"), F.col("body")),
+    }
+    rows = rows.withColumns(flags)
+    rows = rows.withColumn("_subject", F.col("_headline") & (F.col("_open") | (F.col("_mentions") >= 2)))
+    c = F.col
+    parts = {
+        "headline_company": c("_headline"), "headline_ticker": c("_symbol_title"), "opening_company": c("_open"), "repeated_company_mentions": c("_mentions") >= 2, "primary_subject": c("_subject"), "specific_event": c("candidates") != F.array(F.lit("other")),
+        "adequate_text": ~c("_low"), "generic_penalty": c("_generic"), "multi_ticker_penalty": c("_many"), "missing_provider_symbol_penalty": ~c("_symbol"),
+    }
+    total = sum((F.when(ok, RELEVANCE[k]).otherwise(0.0) for k, ok in parts.items()), F.lit(0.0))
+    against = {"provider_symbol_missing": ~c("_symbol"), "target_not_in_headline": ~(c("_headline") | c("_symbol_title")), "target_not_in_opening": ~c("_open"), "low_information_text": c("_low"), "generic_or_listicle": c("_generic"), "too_many_unrelated_symbols": c("_many"), "target_not_primary_subject": ~c("_subject")}
+    rows = rows.withColumns({"score": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 12), "reasons": F.filter(F.array(*(F.when(bad, name) for name, bad in against.items())), lambda x: x.isNotNull())})
+    rows = rows.withColumn("eligible", (c("score") >= minimum_score) & ~c("_low") & c("_symbol") & c("_subject"))
+    return rows.drop("aliases", "_title", "_body", "_opening", "_base", "_pattern", "_subject", *(k for k in flags if k.startswith("_")))
+
+
 def event_candidates(title: Column, body: Column) -> Column:
     """Every event type with a matching pattern, in taxonomy order; ['other'] where none matches."""
-    text = normalised(F.concat_ws(" ", title, F.substring(body, 1, 6000)))
+    text = normal_form(F.concat_ws(" ", title, F.substring(body, 1, 6000)))
     found = F.filter(F.array(*(F.when(F.greatest(*(text.rlike(p) for p in pats), F.lit(False)), name) for name, pats in EVENT_PATTERNS.items())), lambda x: x.isNotNull())
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("other")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import cascade, contracts, screen, sequential
+from ..operators import align, cascade, contracts, screen, sequential
 from . import decisions, views
 from .catalog import query, r8, rounded
 
@@ -29,58 +29,56 @@ def keyword_sentiment(spark, d):
     return views.stories(spark, d).select("doc_id", r8(tx.keyword_sentiment(F.col("body"))).alias("sentiment"), tx.contradictory(F.col("body")).alias("contradictory"))
 
 
-_NEWS = """news as (select o_orderkey as id, case o_orderkey % 8 when 0 then 'Acme reports quarterly results, revenue beat' when 1 then 'Acme raises guidance for the year' when 2 then 'Broker upgrades Acme, new price target' when 3 then 'Acme to be acquired in takeover'
-  when 4 then 'Regulator opens antitrust probe' when 5 then 'Acme declares quarterly dividend and buyback' when 6 then 'CEO of Acme resigns' else 'Top 10 stocks to watch' end as title, 'Note ' || o_orderpriority || ' on Acme and others. ' || case o_orderkey % 3 when 0 then 'The plant had an outage and a recall.' when 1 then 'A lawsuit over a data breach.' else 'Nothing more.' end as body from orders)"""
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
 
 
-def _news(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    titles = ["Acme reports quarterly results, revenue beat", "Acme raises guidance for the year", "Broker upgrades Acme, new price target", "Acme to be acquired in takeover", "Regulator opens antitrust probe", "Acme declares quarterly dividend and buyback", "CEO of Acme resigns", "Top 10 stocks to watch"]
-    bodies = ["The plant had an outage and a recall.", "A lawsuit over a data breach.", "Nothing more."]
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
-    return views.table(spark, d, "orders").select(k.alias("id"), pick(titles).alias("title"), F.concat(F.lit("Note "), "o_orderpriority", F.lit(" on Acme and others. "), pick(bodies)).alias("body"))
-
-
-_NORMAL = "array_to_string(regexp_extract_all(lower(title || ' ' || body), '[a-z0-9]+(?:''[a-z]+)?'), ' ')"
+_MEMBERS = ", ".join(f"({i}, {_text(t)}, {_text(n)}, [{', '.join(map(_text, x))}]::varchar[])" for i, (t, n, x) in enumerate(views.UNIVERSE))
+_NEWS = f"""universe as (select * from (values {_MEMBERS}) u(i, ticker, company, names)), shown as (select doc_id as id, s.title as head, s.body as own, ts, source, lang, u.ticker, u.company, case doc_id % 5 when 0 then '$' || split_part(u.ticker, '.', 1) when 1 then 'Somebody' else u.company end as shown from stories s join universe u on u.i = doc_id % {len(views.UNIVERSE)}
+), news as (select id, ticker, replace([{', '.join(map(_text, views.HEADLINES))}][id // 8 % {len(views.HEADLINES)} + 1], '{{c}}', shown) || ' - ' || left(head, 40) as title, case id % 3 when 0 then company || ' said so. ' || own when 1 then own || ' Both ' || company || ' and again ' || company || ' were named.' else own end as body,
+  case when id % 9 = 0 then [] else [ticker] end || list_transform(range(1, id % 7 + 2), lambda i: 'X' || i) as symbols, ts, source, lang from shown)"""
+_FOLDED = "replace(lower({0}), 'ß', 'ss')"
+_TOKENS = "regexp_extract_all(" + _FOLDED + ", '[a-z0-9]+(?:''[a-z]+)?')"
+_NORMAL = "array_to_string(" + _TOKENS + ", ' ')"
+_COLLAPSED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 _MATCHES = ", ".join("case when " + " or ".join(f"regexp_matches(t, '{p}')" for p in pats) + f" then '{name}' end" for name, pats in tx.EVENT_PATTERNS.items())
+_GENERIC = f"(regexp_matches(title, '{tx.GENERIC_TITLE}') or regexp_matches(title, '{tx.LISTICLE}'))"
 
 
-@query(f"with {_NEWS} select id, array_to_string(case when len(f) > 0 then f else ['other'] end, ',') as candidates, bucket from (select id, list_filter([{_MATCHES}], lambda x: x is not null) as f, bucket from (select *, {_NORMAL} as t, case {' '.join('when ' + ' or '.join(f'''contains(lower(title || ' ' || body), '{w}')''' for w in terms) + f" then '{name}'" for name, terms in tx.BUCKET_TERMS.items())} else 'other' end as bucket from news))", base=False)
+@query(f"with {_STORIES}, {_NEWS} select id, array_to_string(case when len(f) > 0 then f else ['other'] end, ',') as candidates, bucket from (select id, list_filter([{_MATCHES}], lambda x: x is not null) as f, bucket from (select *, {_NORMAL.format("title || ' ' || left(body, 6000)")} as t, case {' '.join('when ' + ' or '.join(f"contains(lower(title || ' ' || left(body, 3000)), '{w}')" for w in terms) + f" then '{name}'" for name, terms in tx.BUCKET_TERMS.items())} else 'other' end as bucket from news))", base=False)
 def event_candidates(spark, d):
-    """SCA-3/5/15/18."""
-    return _news(spark, d).select("id", F.array_join(tx.event_candidates(F.col("title"), F.col("body")), ",").alias("candidates"), tx.sampling_bucket(F.col("title"), F.col("body")).alias("bucket"))
+    """SCA-1/3/5/15/18: 17 groups of patterns over documents."""
+    return views.news(spark, d).select("id", F.array_join(tx.event_candidates(F.col("title"), F.col("body")), ",").alias("candidates"), tx.sampling_bucket(F.col("title"), F.col("body")).alias("bucket"))
 
 
-@query(f"""with {_NEWS}, c as (select id, lower(title) like '%acme%' as head, lower(body) like '%acme%' as opening, (length(lower(body)) - length(replace(lower(body), 'acme', ''))) / 4 as mentions, not regexp_matches(lower(title), 'top [0-9]+ stocks?|stocks? (to watch|today)') as specific, length(body) < 60 as low_text, id % 9 <> 0 as symbol, id % 7 + 1 > 5 as many from news
-), s as (select *, head and (opening or mentions >= 2) as subject from c) select id, round(greatest(0.0, least(1.0, case when head then 0.30 else 0 end + case when opening then 0.20 else 0 end + case when mentions >= 2 then 0.10 else 0 end + case when subject then 0.10 else 0 end + case when not low_text then 0.05 else 0 end + case when not specific then -0.25 else 0 end + case when many then -0.20 else 0 end + case when not symbol then -0.40 else 0 end))::double, 8) as score,
-  array_to_string(list_filter([case when not symbol then 'provider_symbol_missing' end, case when not head then 'target_not_in_headline' end, case when not opening then 'target_not_in_opening' end, case when low_text then 'low_information_text' end, case when not specific then 'generic_or_listicle' end, case when many then 'too_many_unrelated_symbols' end, case when not subject then 'target_not_primary_subject' end], lambda x: x is not null), ',') as reasons from s""", base=False)
+@query(f"""with {_STORIES}, {_NEWS}, al as (select ticker, list_distinct(list(a)) as aliases from (select ticker, {_NORMAL.format('x')} as a from (select ticker, unnest([company] || names || [regexp_replace(company, '{tx.LEGAL_SUFFIX}', ' ', 'g')]) as x from universe)) where length(a) >= 3 group by 1
+), n as (select news.*, aliases, {_NORMAL.format('title')} as nt, {_NORMAL.format('body')} as nb, {_NORMAL.format("title || ' ' || left(body, 6000)")} as t, lower(split_part(ticker, '.', 1)) as base from news join al using (ticker)
+), c as (select *, len(list_filter(aliases, lambda a: contains(nt, a))) > 0 as head, len(list_filter(aliases, lambda a: contains(array_to_string(split(nb, ' ')[:120], ' '), a))) > 0 as opening, list_sum(list_transform(aliases, lambda a: (length(nb) - length(replace(nb, a, ''))) // length(a))) as mentions,
+  length(base) >= 3 and regexp_matches(title, '(?i)(?:\\$|\\b)' || base || '\\b') as sym_title, list_contains(symbols, ticker) as sym, length({_COLLAPSED.format('body')}) < 400 as low, {_GENERIC} as generic, len(symbols) > 5 as many, len(list_filter([{_MATCHES}], lambda x: x is not null)) > 0 as specific from n
+), s as (select *, head and (opening or mentions >= 2) as subject from c), r as (select *, greatest(0, least(1, case when head then 0.30 else 0 end + case when sym_title then 0.10 else 0 end + case when opening then 0.20 else 0 end + case when mentions >= 2 then 0.10 else 0 end + case when subject then 0.10 else 0 end + case when specific then 0.15 else 0 end + case when not low then 0.05 else 0 end + case when generic then -0.25 else 0 end + case when many then -0.20 else 0 end + case when not sym then -0.40 else 0 end)) as score from s)
+select id, round(score::double, 8) as score, score >= 0.55 and not low and sym and subject as eligible, array_to_string(list_filter([case when not sym then 'provider_symbol_missing' end, case when not (head or sym_title) then 'target_not_in_headline' end, case when not opening then 'target_not_in_opening' end, case when low then 'low_information_text' end, case when generic then 'generic_or_listicle' end, case when many then 'too_many_unrelated_symbols' end, case when not subject then 'target_not_primary_subject' end], lambda x: x is not null), ',') as reasons from r""", base=False)
 def relevance_score(spark, d):
-    """SCA-4/6/7/8/9, FIL-2/4."""
-    low = F.lower("body")
-    rows = _news(spark, d).withColumns({"head": F.lower("title").contains("acme"), "opening": low.contains("acme"), "mentions": F.regexp_count(low, F.lit("acme")), "generic": F.lower("title").rlike(r"top [0-9]+ stocks?|stocks? (to watch|today)"), "low_text": F.length("body") < 60, "symbol": F.col("id") % 9 != 0, "many": F.col("id") % 7 + 1 > 5})
-    rows = rows.withColumn("subject", F.col("head") & (F.col("opening") | (F.col("mentions") >= 2)))
-    w = tx.RELEVANCE
-    parts = {"headline_company": F.col("head"), "opening_company": F.col("opening"), "repeated_company_mentions": F.col("mentions") >= 2, "primary_subject": F.col("subject"), "adequate_text": ~F.col("low_text"), "generic_penalty": F.col("generic"), "multi_ticker_penalty": F.col("many"), "missing_provider_symbol_penalty": ~F.col("symbol")}
-    total = sum((F.when(ok, w[k]).otherwise(0.0) for k, ok in parts.items()), F.lit(0.0))
-    reasons = contracts.violations({"provider_symbol_missing": F.col("symbol"), "target_not_in_headline": F.col("head"), "target_not_in_opening": F.col("opening"), "low_information_text": ~F.col("low_text"), "generic_or_listicle": ~F.col("generic"), "too_many_unrelated_symbols": ~F.col("many"), "target_not_primary_subject": F.col("subject")})
-    return rows.select("id", r8(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))).alias("score"), F.array_join(reasons, ",").alias("reasons"))
-
-
-@query(f"with {_STORIES} select md5(lower(body)) as body_hash, count(*) as copies, arg_min(doc_id, {{'t': ts, 'd': doc_id}}) as first_id from stories group by 1", base=False)
+    """SCA-4/6/7/8/9, FIL-2: ten components."""
+    return tx.company_relevance(views.news(spark, d), views.universe(spark)).select("id", r8("score").alias("score"), "eligible", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"with {_STORIES} select sha256({_COLLAPSED.format(_FOLDED.format('body'))}) as body_hash, count(*) as copies, arg_min(doc_id, {{'t': ts, 'd': doc_id}}) as first_id, count(distinct sha256({_COLLAPSED.format('title')} || chr(10) || {_COLLAPSED.format('body')})) as contents from stories group by 1", base=False)
 def first_seen_dedupe(spark, d):
-    """WIN-12, SCA-2 (ASCII form), SET-4."""
-    rows = views.stories(spark, d).withColumn("body_hash", F.md5(F.lower("body").cast("binary")))
+    """WIN-12, SCA-1/2, SET-4."""
+    rows = views.stories(spark, d).withColumns({"body_hash": tx.body_hash(F.col("body")), "content": tx.content_hash(F.col("title"), F.col("body"))})
     kept = screen.first_seen(rows.select("body_hash", "ts", "doc_id"), "body_hash", "ts", "doc_id")
-    copies = rows.groupBy("body_hash").agg(F.count("*").alias("copies"))
+    copies = rows.groupBy("body_hash").agg(F.count("*").alias("copies"), F.count_distinct("content").alias("contents"))
     return kept.select("body_hash", F.col("doc_id").alias("first_id")).join(copies, "body_hash")
 
 
-@query(f"""with {_STORIES}, f as (select source, case when lang <> 'en' then 'language' when length(trim(regexp_replace(body, '\\s+', ' ', 'g'))) < 400 then 'low_information_text' when contains(body, '###') then 'noise' else 'kept' end as reason from stories)
-select reason, source, count(*) as n from f group by rollup (reason, source) having reason is not null""", base=False)
+@query(f"""with {_STORIES}, {_NEWS}, f as (select ticker, case when not (cast((ts at time zone 'UTC') at time zone 'America/New_York' as date) between date '2024-01-05' and date '2024-02-20') then 'outside_dates' when not list_contains(symbols, ticker) then 'symbol_missing'
+  when length({_COLLAPSED.format('body')}) < 400 or {_COLLAPSED.format(_FOLDED.format('body'))} = {_COLLAPSED.format(_FOLDED.format('title'))} then 'headline_only' when len(symbols) >= 4 and regexp_matches(title, '{tx.GENERIC_TITLE}') then 'market_summary' else 'kept' end as reason from news)
+select reason, ticker, count(*) as n from f group by rollup (reason, ticker) having reason is not null""", base=False)
 def filter_funnel(spark, d):
-    """FIL-1/3/19, AGG-29."""
-    reason = screen.first_failing([("language", F.col("lang") != "en"), ("low_information_text", F.length(tx.collapsed(F.col("body"))) < 400), ("noise", F.col("body").contains("###"))])
-    return screen.funnel(views.stories(spark, d).withColumn("reason", reason), "reason", "source")
+    """FIL-1/2/3/4/19, AGG-29."""
+    day = align.local_date(F.col("ts"))
+    rules = [("outside_dates", ~day.between(F.lit("2024-01-05").cast("date"), F.lit("2024-02-20").cast("date"))), ("symbol_missing", ~F.array_contains("symbols", F.col("ticker"))), ("headline_only", tx.text_type(F.col("title"), F.col("body"), 400) == "headline_only"), ("market_summary", tx.is_market_summary(F.col("title"), F.col("symbols"), 4))]
+    return screen.funnel(views.news(spark, d).withColumn("reason", screen.first_failing(rules)), "reason", "ticker")
 
 
 @query("""with e as (select event_id, user_id, ts, cast(ts as date) as day, case when event_type in ('purchase', 'signup') then 1 else 2 end as grp from events), r as (select *, row_number() over (partition by grp, day order by ts, event_id) as rn from e), q as (select day, least(count(*), 3) as taken from e where grp = 1 group by 1)

@@ -87,3 +87,30 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("doc_id") % 60).cast("int"), F.lit(0), F.lit(0), ((F.col("doc_id") * 7919) % 86400).cast("decimal(18,6)"))
     return d.select("doc_id", F.col("doc_id").cast("string").alias("article_id"), F.substring_index(text, "\n", 1).alias("title"), text.alias("body"), ts.alias("ts"), "source", "lang")
+
+
+#: Companies that the news view writes about: ticker, name, other names.
+UNIVERSE = (("ORT.US", "Orreth Holdings Inc.", ("Orreth",)), ("TST.US", "Thonst Corporation", ()), ("NDL.US", "Nordal Group plc", ("Nordal", "NDL")), ("EA.US", "Eanes Company", ("Eanes Labs",)), ("STR.US", "Straße Limited", ()), ("VOL.US", "Voltic Energy Corp.", ("Voltic",)), ("QRX.US", "Quorax", ("Quorax Bio",)), ("HLM.US", "Helmont & Sons Ltd", ()))
+#: Headlines of the news view, one or more a kind of event; {c} stands for a company.
+HEADLINES = (
+    "{c} reports quarterly results, revenue beat", "{c} raises its full-year guidance", "Broker upgrades {c}, new price target", "{c} to be acquired in takeover", "Regulator opens antitrust probe of {c}", "{c} sued in class action", "{c} hit by ransomware", "Whistleblower alleges fraud at {c}",
+    "{c} declares quarterly dividend", "{c} board backs share repurchase", "CEO of {c} resigns", "{c} plans convertible note", "{c} announces layoffs", "{c} recall halts shipments", "{c} unveils new platform", "{c} sets capex budget", "Tariff and inflation weigh on {c}", "Top 10 stocks to watch: {c}", "Five reasons to like {c}", "{c} in brief",
+)
+
+
+def news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as news: id, ticker, title (a headline on a company, then the text's first words), body (the text, some with mentions), symbols, ts, source, lang."""
+    rows = stories(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    k = F.col("id")
+    member = F.element_at(F.array(*(F.struct(F.lit(t).alias("ticker"), F.lit(n).alias("name")) for t, n, _ in UNIVERSE)), (k % len(UNIVERSE) + 1).cast("int"))
+    rows = rows.withColumns({"ticker": member["ticker"], "company": member["name"]})
+    shown = F.when(k % 5 == 0, F.concat(F.lit("$"), F.split_part("ticker", F.lit("."), F.lit(1)))).when(k % 5 == 1, "Somebody").otherwise(F.col("company"))
+    headline = F.element_at(F.array(*map(F.lit, HEADLINES)), (F.floor(k / 8) % len(HEADLINES) + 1).cast("int"))
+    title = F.concat(F.replace(headline, F.lit("{c}"), shown), F.lit(" - "), F.substring("title", 1, 40))
+    body = F.when(k % 3 == 0, F.concat(F.col("company"), F.lit(" said so. "), "body")).when(k % 3 == 1, F.concat("body", F.lit(" Both "), "company", F.lit(" and again "), "company", F.lit(" were named."))).otherwise(F.col("body"))
+    symbols = F.concat(F.when(k % 9 == 0, F.array().cast("array<string>")).otherwise(F.array("ticker")), F.transform(F.sequence(F.lit(1), (k % 7 + 1).cast("int")), lambda i: F.concat(F.lit("X"), i.cast("string"))))
+    return rows.select("id", "ticker", title.alias("title"), body.alias("body"), symbols.alias("symbols"), "ts", "source", "lang")
+
+
+def universe(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t, n, list(x)) for t, n, x in UNIVERSE], "ticker string, company_name string, names array<string>")
