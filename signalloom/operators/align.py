@@ -26,6 +26,11 @@ def adjusted_open(prices: DataFrame) -> Column:
     return F.when(F.col("close") > 0, F.col("open") * F.col("adjusted_close") / F.col("close"))
 
 
+def usable_sessions(prices: DataFrame) -> DataFrame:
+    """Prices without the sessions on which open, close, adjusted close or volume isn't positive: they aren't in the calendar at all."""
+    return prices.where(F.least("open", "close", "adjusted_close", F.col("volume").cast("double")) > 0)
+
+
 def sessions(prices: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """Prices with a 0-based session index a ticker and, for each horizon h, the date and adjusted close of session index + h - 1."""
     w = Window.partitionBy("ticker").orderBy("date")

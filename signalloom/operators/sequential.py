@@ -9,19 +9,41 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .costs import BPS, Scenario
+from .graph import components
+
 REASONS = ("missing_holding_path", "split_boundary", "entry_price_mismatch", "same_ticker_overlap", "portfolio_capacity", "development_calibration_not_directionally_positive", "insufficient_cost_buffer")
 
 
-def capacity_book(events: DataFrame, *, capital: float, weight: float, side_limit: float, gross_limit: float, participation: float, multiple: float, slope: float) -> DataFrame:
+#: Reasons that say an event can't be evaluated, whatever the book.
+STRUCTURAL = REASONS[:3]
+
+
+def evaluable() -> Column:
+    """Predictions that count in the evaluation: accepted or rejected for reasons of the book."""
+    return F.col("rejection_reason").isNull() | ~F.col("rejection_reason").isin(*STRUCTURAL)
+
+
+def capacity_book(events: DataFrame, *, capital: float, weight: float, side_limit: float, gross_limit: float, participation: float, multiple: float, slope: float, scenario: Scenario, holding: int) -> DataFrame:
     """Accept or reject events of each split in order of (entry date, |signal| descending, article_id).
 
     Needs research_split, ticker, article_id, entry_date, exit_date (null: no
-    path), signal, reason (known without state, or null), open, volume, cost_per_dollar
-    and cost_fixed. Returns article_id, accepted, rejection_reason, notional.
+    path), signal, reason (known without state, or null), open and volume. An
+    event must earn ``multiple`` times its estimated round trip: both ways at the
+    entry's open, borrow of a short over the holding, research once. Returns
+    article_id, research_split, accepted, rejection_reason, notional and expected_return.
     """
+    s = scenario
+
+    def round_trip(notional: float, price: float, volume: float, direction: int) -> float:
+        shares = notional / price
+        value = abs(shares * price)
+        part = min(abs(shares) / volume, s.participation)
+        way = (max(s.minimum, abs(shares) * s.per_share) if shares else 0.0) + value * (s.half_spread_bps + s.slippage_bps) / BPS + value * s.impact * part * part
+        return 2 * way + (notional * s.borrow_rate * holding / 252.0 if direction < 0 else 0.0) + s.research
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(size=group.signal.abs()).sort_values(["entry_date", "size", "article_id"], ascending=[True, False, True])
@@ -37,20 +59,19 @@ def capacity_book(events: DataFrame, *, capital: float, weight: float, side_limi
                     side = sum(t[3] for t in active if t[2] == direction)
                     gross = sum(t[3] for t in active)
                     notional = max(0.0, min(weight * capital, side_limit * capital - side, gross_limit * capital - gross, row.volume * row.open * participation))
-                    edge = abs(row.signal * slope) * notional
                     if notional <= 0:
                         reason = "portfolio_capacity"
                     elif slope <= 0:
                         reason = "development_calibration_not_directionally_positive"
-                    elif edge < multiple * (row.cost_per_dollar * notional + row.cost_fixed):
+                    elif abs(row.signal * slope) * notional < multiple * round_trip(notional, row.open, row.volume, direction):
                         reason = "insufficient_cost_buffer"
             if reason is None:
                 active.append((row.exit_date, row.ticker, direction, notional))
-            out.append((row.article_id, row.research_split, reason is None, reason, notional if reason is None else 0.0))
-        return pd.DataFrame(out, columns=["article_id", "research_split", "accepted", "rejection_reason", "notional"])
+            out.append((row.article_id, row.research_split, reason is None, reason, notional if reason is None else 0.0, row.signal * slope))
+        return pd.DataFrame(out, columns=["article_id", "research_split", "accepted", "rejection_reason", "notional", "expected_return"])
 
-    need = ["research_split", "ticker", "article_id", "entry_date", "exit_date", "signal", "reason", "open", "volume", "cost_per_dollar", "cost_fixed"]
-    return events.select(*need).groupBy("research_split").applyInPandas(run, "article_id string, research_split string, accepted boolean, rejection_reason string, notional double")
+    need = ["research_split", "ticker", "article_id", "entry_date", "exit_date", "signal", "reason", "open", "volume"]
+    return events.select(*need).groupBy("research_split").applyInPandas(run, "article_id string, research_split string, accepted boolean, rejection_reason string, notional double, expected_return double")
 
 
 def balanced_pick(candidates: DataFrame, key: str, count: int) -> DataFrame:
@@ -79,54 +100,55 @@ def balanced_pick(candidates: DataFrame, key: str, count: int) -> DataFrame:
     return candidates.select(key, "article_id", "bucket", "month", "hash").groupBy(key).applyInPandas(run, f"{key} string, article_id string, bucket string, month string, pick long")
 
 
-def rebalance(targets: DataFrame, *, participation: float, multiple: float, cost_rate: float) -> DataFrame:
+def rebalance(targets: DataFrame, *, participation: float, multiple: float, scenario: Scenario) -> DataFrame:
     """Targets against inventory, a ticker at a time in order of date.
 
-    Fills are capped by volume; a short target needs a locate; a fill whose edge
-    is below ``multiple`` costs is refused; what the cap cuts off is told.
+    A missing (null) target exits to zero. Fills are capped by volume; a short
+    target needs a locate; a fill whose edge (a share) is below ``multiple``
+    times its one-way cost is refused; what the cap cuts off is told. Returns ticker,
+    date, target, filled, position, remainder and reason.
     """
+    s = scenario
+
+    def cost(quantity: float, price: float, volume: float) -> float:
+        value, part = quantity * price, min(quantity / volume, s.participation)
+        return max(s.minimum, quantity * s.per_share) + value * (s.half_spread_bps + s.slippage_bps) / BPS + value * s.impact * part * part
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         position, out = 0.0, []
         for row in group.sort_values("date").itertuples(index=False):
-            want = row.target - position
+            target = 0.0 if pd.isna(row.target) else row.target
+            want = target - position
             filled, reason = 0.0, None
             if want == 0:
                 pass
             elif not (row.price > 0 and row.volume > 0):
                 reason = "missing_market_data"
-            elif row.target < 0 and not row.located:
+            elif target < 0 and not row.located:
                 reason = "locate_unavailable"
             else:
                 size = min(abs(want), row.volume * participation)
-                if row.edge < multiple * cost_rate * size * row.price:
+                if row.edge * size < multiple * cost(size, row.price, row.volume):
                     reason = "edge_below_cost"
                 else:
                     filled = size if want > 0 else -size
                     reason = "volume_limit" if size < abs(want) else None
             position += filled
-            out.append((row.ticker, row.date, row.target, filled, position, reason))
-        return pd.DataFrame(out, columns=["ticker", "date", "target", "filled", "position", "reason"])
+            out.append((row.ticker, row.date, target, filled, position, want - filled if reason == "volume_limit" else 0.0, reason))
+        return pd.DataFrame(out, columns=["ticker", "date", "target", "filled", "position", "remainder", "reason"])
 
-    return targets.groupBy("ticker").applyInPandas(run, "ticker string, date date, target double, filled double, position double, reason string")
+    return targets.groupBy("ticker").applyInPandas(run, "ticker string, date date, target double, filled double, position double, remainder double, reason string")
 
 
 def leader_clusters(articles: DataFrame, edges: DataFrame) -> DataFrame:
     """First-come clusters: an article joins the smallest cluster id among representatives it matches, else becomes one.
 
     ``edges``: (article_id, other), matches between articles. Articles of one
-    connected component are walked together, components apart. Components come
-    from label passes over the edges; cluster ids are hashes of their founder.
+    connected component are walked together, components apart; cluster ids are hashes of their founder.
     """
     both = edges.select("article_id", "other").union(edges.select(F.col("other"), F.col("article_id"))).distinct()
-    labels = articles.select("article_id", F.col("article_id").alias("component"))
-    changed = 1
-    while changed:
-        near = both.join(labels.select(F.col("article_id").alias("other"), F.col("component").alias("theirs")), "other").groupBy("article_id").agg(F.min("theirs").alias("theirs"))
-        moved = labels.join(near, "article_id", "left").select("article_id", F.least("component", F.coalesce("theirs", "component")).alias("component"), F.col("component").alias("before"))
-        moved = moved.persist()
-        changed = moved.where("component <> before").count()
-        labels = moved.select("article_id", "component")
+    roots = components(edges.select(F.col("article_id").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("article_id"), F.col("root").alias("component"))
+    labels = articles.select("article_id").join(roots, "article_id", "left").select("article_id", F.coalesce("component", "article_id").alias("component"))
     known = both.groupBy("article_id").agg(F.collect_list("other").alias("others"))
     rows = articles.select("article_id", "ts").join(labels, "article_id").join(known, "article_id", "left").withColumn("founder_id", F.sha2(F.col("article_id"), 256).substr(1, 20))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import correlation_p
+from ..functions.stats import correlation_p, is_close
 from ..operators import align, cascade, contracts, costs, ledger, metrics, portfolio, resample, screen, sequential, signals, specification, splits
 from ..staging import stage
 from . import decisions, views
@@ -283,18 +283,64 @@ def pnl_concentration(spark, d):
 
 
 def _book_events(spark: SparkSession, d: str) -> DataFrame:
-    """Strongest company-days with what the acceptance fold needs; reasons that need no state are columns already."""
-    sessions = views.timeline(spark, d)
-    line = sessions.select("ticker", F.col("date").alias("entry_date"), "open", F.col("volume").cast("double").alias("volume"))
-    rows = signals.strongest(_signals(spark, d, sessions), "signal_weighted", "research_split", "ticker", "entry_date").join(line, ["ticker", "entry_date"], "left")
-    reason = screen.first_failing([("missing_holding_path", F.col("exit_date_5d").isNull()), ("split_boundary", F.coalesce(F.col("exit_date_5d") >= F.col("next_split_entry_date"), F.lit(False)))])
-    return rows.withColumns({"reason": reason, "signal": F.col("signal_weighted"), "exit_date": F.col("exit_date_5d"), "cost_per_dollar": F.lit(0.001), "cost_fixed": F.lit(2.5)})
+    """Strongest company-days with what the acceptance fold needs; reasons that need no state are columns already.
 
-
-@query()
+    Every 13th of a month has no volume, so that session isn't in the book's
+    calendar; one entry price in 23 is off; the target has a planted edge.
+    """
+    line = views.timeline(spark, d)
+    volume = F.when(F.dayofmonth("date") == 13, 0).otherwise(F.col("volume")).cast("double")
+    usable = align.sessions(align.usable_sessions(views.prices(spark, d).withColumn("volume", volume)), [HOLDING])
+    path = usable.select("ticker", F.col("date").alias("entry_date"), "open", "volume", F.col("adj_open").alias("path_open"), F.col(f"exit_date_{HOLDING}d").alias("exit_date"))
+    frozen = F.col("adj_open") * F.when(F.col("k") % 23 == 0, 1.001).otherwise(1.0)
+    rows = signals.strongest(_signals(spark, d, line), "signal_weighted", "research_split", "ticker", "entry_date").select("article_id", "ticker", "entry_date", "research_split", "next_split_entry_date", F.col("signal_weighted").alias("signal"), frozen.alias("frozen_open"), (F.col("future_return_5d") + 0.2 * F.col("signal_weighted")).alias("target"))
+    rows = rows.join(path, ["ticker", "entry_date"], "left")
+    reason = screen.first_failing([("missing_holding_path", F.col("exit_date").isNull()), ("split_boundary", F.coalesce(F.col("exit_date") >= F.col("next_split_entry_date"), F.lit(False))), ("entry_price_mismatch", ~is_close(F.col("path_open"), F.col("frozen_open")))])
+    return stage(rows.withColumn("reason", reason), "book-events")
+
+
+_BOOK_EVENTS = """, up as (select * replace (case when day(date) = 13 then 0 else volume end as volume) from prices where day(date) <> 13 and least(open, close, adjusted_close) > 0 and volume > 0
+), us as (select ticker, date as entry_date, open, volume::double as volume, open * adjusted_close / close as path_open, lead(date, 4) over (partition by ticker order by date) as exit_date from up
+), be as (select l.article_id, l.ticker, l.entry_date, l.research_split, l.next_split_entry_date, signal_weighted as signal, adj_open * case when k % 23 = 0 then 1.001::double else 1.0 end as frozen_open, future_return_5d + 0.2::double * signal_weighted as target from ladder l where tradable and abs(signal_weighted) > 0.3 qualify row_number() over (partition by research_split, ticker, entry_date order by abs(signal_weighted) desc, article_id) = 1
+), e as (select be.*, us.open, us.volume, us.exit_date, case when us.exit_date is null then 'missing_holding_path' when us.exit_date >= next_split_entry_date then 'split_boundary' when abs(path_open - frozen_open) > greatest(1e-8 * greatest(abs(path_open), abs(frozen_open)), 1e-8) then 'entry_price_mismatch' end as reason,
+  row_number() over (partition by research_split order by be.entry_date, abs(signal) desc, article_id) as rn from be left join us using (ticker, entry_date)
+), sl as (select sum(signal * target) / sum(signal * signal) as slope from e where research_split = 'development' and target is not null and exit_date < next_split_entry_date
+), walk as (select research_split, 0::bigint as rn, []::struct(x date, t varchar, d integer, n double)[] as active, null::varchar as article_id, null::varchar as reason, 0.0::double as notional, 0.0::double as expected from (select distinct research_split from e)
+  union all select research_split, rn, case when out is null then act || [{'x': exit_date, 't': ticker, 'd': dir, 'n': n}] else act end, article_id, out, case when out is null then n else 0 end, expected from (
+    select *, case when reason is not null then reason when overlap then 'same_ticker_overlap' when n <= 0 then 'portfolio_capacity' when slope <= 0 then 'development_calibration_not_directionally_positive'
+      when abs(expected) * n < 1.5 * (2 * (greatest(1.0, n / open * 0.005) + n * 5 / 10000 + n * 0.1 * pow(least(n / open / volume, 0.01), 2)) + case when dir < 0 then n * 0.03 * 5 / 252.0 else 0 end + 0.5) then 'insufficient_cost_buffer' end as out from (
+      select *, greatest(0, least(20000, 500000 - coalesce(list_sum(list_transform(list_filter(act, lambda a: a.d = dir), lambda a: a.n)), 0), 1000000 - coalesce(list_sum(list_transform(act, lambda a: a.n)), 0), volume * open * 0.5)) as n, len(list_filter(act, lambda a: a.t = ticker)) > 0 as overlap from (
+        select e.research_split, e.rn, e.article_id, e.ticker, e.exit_date, e.reason, e.open, e.volume, e.signal * sl.slope as expected, sl.slope, case when e.signal > 0 then 1 else -1 end as dir, list_filter(w.active, lambda a: a.x >= e.entry_date) as act from walk w join e on e.research_split = w.research_split and e.rn = w.rn + 1, sl)))
+), bk as (select * from walk where rn > 0)"""
+
+
+def _capacity(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(events, their acceptance) with the slope fitted on development outcomes that end before validation."""
+    rows = _book_events(spark, d)
+    purged = rows.where("research_split = 'development' and target is not null and exit_date < next_split_entry_date")
+    slope = purged.agg(metrics.origin_slope("signal", "target").alias("slope")).first()["slope"]
+    if slope is None:
+        raise ValueError("development data are required for edge calibration")
+    return rows, sequential.capacity_book(rows, capital=CAPITAL, weight=0.02, side_limit=0.5, gross_limit=1.0, participation=0.5, multiple=1.5, slope=slope, scenario=costs.BASE, holding=HOLDING)
+
+
+@query(_BOOK_EVENTS + " select article_id, research_split, reason is null as accepted, reason as rejection_reason, round(notional, 6) as notional, round(expected, 8) as expected_return from bk", recursive=True)
 def capacity_book(spark, d):
-    """STA-2, FIL-12/14, PRJ-16: a fold over each split."""
-    return sequential.capacity_book(_book_events(spark, d), capital=CAPITAL, weight=0.02, side_limit=0.5, gross_limit=1.0, participation=0.5, multiple=1.5, slope=0.02)
+    """STA-2, CST-8, FIL-14, PRJ-16, SCA-26: a fold over each split."""
+    out = _capacity(spark, d)[1]
+    return out.withColumns({"notional": F.round("notional", 6), "expected_return": r8("expected_return")})
+
+
+@query(_BOOK_EVENTS + f""", j as (select bk.research_split, bk.reason, bk.expected, e.signal, e.target, rank() over (partition by bk.research_split, ev order by e.signal) as rx, count(*) over (partition by bk.research_split, ev, e.signal) as tx, rank() over (partition by bk.research_split, ev order by e.target) as ry, count(*) over (partition by bk.research_split, ev, e.target) as ty, ev from bk join e using (article_id), lateral (select coalesce(bk.reason not in ('missing_holding_path', 'split_boundary', 'entry_price_mismatch'), true) and e.target is not null as ev))
+select research_split, count(*) as candidate_events, count(case when coalesce(reason not in ('missing_holding_path', 'split_boundary', 'entry_price_mismatch'), true) then 1 end) as evaluation_events, count(case when reason is null then 1 end) as accepted_trades, count(case when reason is null and signal > 0 then 1 end) as long_trades,
+  round(max(s.ic), 8) as event_spearman from j left join (select research_split, {_pearson('rx + (tx - 1) / 2.0', 'ry + (ty - 1) / 2.0')} as ic from j where ev group by 1) s using (research_split) group by 1""", recursive=True)
+def book_evaluation(spark, d):
+    """FIL-12, AGG-43: evaluable predictions and their association, of each split."""
+    rows, book = _capacity(spark, d)
+    joined = stage(book.drop("research_split").join(rows, "article_id"), "book-evaluation")
+    ic = metrics.association(joined.where(sequential.evaluable()), "signal", "target", "research_split").select("research_split", "spearman")
+    out = joined.groupBy("research_split").agg(F.count("*").alias("candidate_events"), F.count(F.when(sequential.evaluable(), 1)).alias("evaluation_events"), F.count(F.when(F.col("accepted"), 1)).alias("accepted_trades"), F.count(F.when(F.col("accepted") & (F.col("signal") > 0), 1)).alias("long_trades"))
+    return rounded(out.join(ic.withColumnRenamed("spearman", "event_spearman"), "research_split", "left"))
 
 
 # --- statistics ------------------------------------------------------------

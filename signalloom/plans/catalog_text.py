@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import align, cascade, contracts, screen, sequential
+from ..operators import align, cascade, contracts, costs, screen, sequential
 from . import decisions, views
 from .catalog import query, r8, rounded
 
@@ -255,17 +255,25 @@ def story_clusters(spark, d):
     return sequential.leader_clusters(rows.select("article_id", "ts"), pairs.select(F.col("a").alias("article_id"), F.col("b").alias("other")))
 
 
-@query()
+@query("""with recursive c as (select 'S' || lpad(cast(s_suppkey as varchar), 5, '0') as ticker, cast(o_orderkey as varchar) as article_id, o_orderpriority as bucket, strftime(o_orderdate + to_seconds((o_orderkey * 7919) % 86400), '%Y-%m') as month, sha256('5:' || o_orderkey) as hash from orders join supplier on s_suppkey = o_orderkey % (select count(*) from supplier)
+), pick as (select ticker, 0 as n, []::struct(a varchar, b varchar, g varchar)[] as picked from (select distinct ticker from c)
+  union all select p.ticker, p.n + 1, any_value(p.picked) || [arg_min({'a': c.article_id, 'b': c.bucket, 'g': c.month}, {'x': len(list_filter(p.picked, lambda x: x.b = c.bucket)), 'y': len(list_filter(p.picked, lambda x: x.g = c.month)), 'z': c.hash, 'w': c.article_id})] from pick p join c on c.ticker = p.ticker where p.n < 8 and not list_contains(list_transform(p.picked, lambda x: x.a), c.article_id) group by p.ticker, p.n
+), last as (select ticker, picked from pick qualify row_number() over (partition by ticker order by n desc) = 1) select ticker, u.a as article_id, u.b as bucket, u.g as month, i - 1 as pick from (select ticker, unnest(picked) as u, generate_subscripts(picked, 1) as i from last)""", base=False)
 def balanced_sample(spark, d):
-    """SEL-7..10, STA-3."""
+    """SEL-7, STA-3."""
     rows = views.articles(spark, d).select("ticker", "article_id", F.col("event_type").alias("bucket"), F.date_format("ts", "yyyy-MM").alias("month"), tx.seeded_rank_key(5, F.col("article_id")).alias("hash"))
     return sequential.balanced_pick(rows, "ticker", 8)
 
 
-@query()
+@query(""", t as (select ticker, date, close as price, volume::double as volume, case when day(date) % 3 = 0 then null when day(date) % 5 = 0 then 0.0 else day(date) * 2.0 - 25.0 end as target, day(date) % 2 = 0 as located, case when day(date) % 7 = 0 then 0.01 else 50.0 end as edge, row_number() over (partition by ticker order by date) as rn from prices
+), walk as (select ticker, 0::bigint as rn, null::date as date, 0.0::double as target, 0.0::double as filled, 0.0::double as position, 0.0::double as remainder, null::varchar as reason from (select distinct ticker from t)
+  union all select ticker, rn, date, goal, filled, position + filled, case when reason = 'volume_limit' then want - filled else 0 end, reason from (
+    select *, case when reason is null or reason = 'volume_limit' then case when want = 0 then 0 when want > 0 then size else -size end else 0 end as filled from (
+      select *, case when want = 0 then null when not (price > 0 and volume > 0) then 'missing_market_data' when goal < 0 and not located then 'locate_unavailable' when edge * size < 2.0 * (greatest(1.0, size * 0.005) + size * price * 5 / 10000 + size * price * 0.1 * pow(least(size / volume, 0.01), 2)) then 'edge_below_cost' when size < abs(want) then 'volume_limit' end as reason from (
+        select t.ticker, t.rn, t.date, t.price, t.volume, t.located, t.edge, w.position, coalesce(t.target, 0)::double as goal, coalesce(t.target, 0)::double - w.position as want, least(abs(coalesce(t.target, 0)::double - w.position), t.volume * 0.5) as size from walk w join t on t.ticker = w.ticker and t.rn = w.rn + 1)))
+) select ticker, date, target, round(filled, 8) as filled, round(position, 8) as position, round(remainder, 8) as remainder, reason from walk where rn > 0""", recursive=True, text="date")
 def rebalance_engine(spark, d):
-    """STA-4."""
-    rows = views.prices(spark, d).select("ticker", "date", F.col("close").alias("price"), F.col("volume").cast("double").alias("volume"), F.when(F.dayofmonth("date") % 3 == 0, 0.0).otherwise(F.dayofmonth("date") * 2.0 - 25.0).alias("target"), (F.dayofmonth("date") % 2 == 0).alias("located"), F.lit(50.0).alias("edge"))
-    return sequential.rebalance(rows, participation=0.5, multiple=2.0, cost_rate=0.001)
-
-
+    """STA-4, CST-5."""
+    day = F.dayofmonth("date")
+    rows = views.prices(spark, d).select("ticker", "date", F.col("close").alias("price"), F.col("volume").cast("double").alias("volume"), F.when(day % 3 == 0, None).when(day % 5 == 0, 0.0).otherwise(day * 2.0 - 25.0).alias("target"), (day % 2 == 0).alias("located"), F.when(day % 7 == 0, 0.01).otherwise(50.0).alias("edge"))
+    return rounded(sequential.rebalance(rows, participation=0.5, multiple=2.0, scenario=costs.BASE))
