@@ -251,3 +251,8 @@ def seeded_rank_key(seed: int, *ids: Column) -> Column:
 def maximum_cost(text: Column, output_tokens: int, input_price: float, output_price: float) -> Column:
     """Upper bound of a request's price, a byte counting as a token; prices are per million."""
     return (F.octet_length(F.coalesce(text, F.lit(""))) * input_price + output_tokens * output_price) / 1e6
+
+
+def billed_cost(tokens: Column, cached: Column, output: Column, input_price: float, cached_price: float, output_price: float) -> Column:
+    """What a request costs: uncached, cached and output tokens at their prices a million."""
+    return ((tokens - cached) * input_price + cached * cached_price + output * output_price) / 1e6

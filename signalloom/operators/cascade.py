@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage as staged
+
 # Event types that are always escalated.
 ALWAYS_ESCALATE = ("earnings_results", "guidance", "merger_acquisition", "regulatory_action", "fraud_accounting", "bankruptcy")
 
@@ -18,6 +20,35 @@ def split_cache(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     return hits, misses
 
 
+def verified(cache: DataFrame, result: str, digest: str) -> DataFrame:
+    """Cached rows whose digest is that of their result; others count as misses."""
+    return cache.where(F.sha2(F.col(result), 256) == F.col(digest))
+
+
+def rebind(requests: DataFrame, hits: DataFrame, *, stage: str) -> DataFrame:
+    """Cached results bound to the article that asks: identity and stage are the request's, the result and its usage the cache's."""
+    return requests.join(hits.drop("bound_to", "stage", "article_id"), "cache_key").withColumns({"bound_to": F.col("article_id"), "stage": F.lit(stage), "from_cache": F.lit(True)})
+
+
+# Prefixes of custom ids, by stage.
+STAGES = {"first_pass": "fp-", "escalation": "esc-"}
+
+
+def prepare(requests: DataFrame, role: str, *, system: str, fields: tuple[str, ...]) -> DataFrame:
+    """One request a distinct content and stage: custom id, system text and message of named fields; the least article stands for equal contents."""
+    first = requests.groupBy("cache_key").agg(F.min_by(F.struct(*requests.columns), "article_id").alias("r")).select("r.*")
+    stages = F.explode(F.array(*(F.struct(F.lit(k).alias("stage"), F.lit(p).alias("prefix")) for k, p in STAGES.items())))
+    message = F.concat_ws("\n", *(F.concat(F.lit(f"{f}: "), F.col(f).cast("string")) for f in fields))
+    rows = first.withColumn("_s", stages).withColumns({"stage": F.col("_s.stage"), "custom_id": F.concat("_s.prefix", F.substring("cache_key", 1, 24)), "system": F.replace(F.lit(system), F.lit("{role}"), F.col(role)), "message": message})
+    return rows.drop("_s")
+
+
+def audit(rows: DataFrame, *, limit: float) -> DataFrame:
+    """Saved usage by stage (the prefix of custom ids): rows, distinct ids, tokens, cost, the largest preflight, and whether all preflights exceed the budget."""
+    stage = F.substring_index("custom_id", "-", 1).alias("stage")
+    return rows.groupBy(stage).agg(F.count("*").alias("rows"), F.count_distinct("custom_id").alias("distinct_ids"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.max("preflight").alias("max_preflight"), (F.round(F.sum("preflight"), 8) > limit).alias("over_budget"))
+
+
 def ledger(requests: DataFrame, cache: DataFrame, failed: Column, price: Column) -> DataFrame:
     """One row a request: outcome and what this run pays. Hits pay nothing; of equal misses only the first pays."""
     known = cache.select("cache_key", F.lit(True).alias("from_cache"))
@@ -57,7 +88,7 @@ def cascade(requests: DataFrame, first: Callable[[DataFrame], DataFrame], second
     ``first`` and ``second`` map rows to rows with the same assessment columns
     (mapInPandas over a client, or a lookup); the first pass ends, written, before any escalation.
     """
-    passed = first(requests).checkpoint() if requests.sparkSession.conf.get("spark.checkpoint.dir", None) else first(requests).persist()
+    passed = staged(first(requests), "first-pass")
     reasons = passed.withColumn("reasons", escalation_reasons())
     chosen = capped_by_priority(reasons.where(F.size("reasons") > 0), -F.size("reasons"), "article_id", keep).where("selected").drop("selected")
     again = second(chosen.drop("reasons"))

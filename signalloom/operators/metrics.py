@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import normal_p
+from ..functions.stats import finite, normal_p
 
 TRADING_DAYS = 252
 
@@ -160,3 +160,56 @@ def permute_within(df: DataFrame, column: str, out: str, *, key: str, seed: int,
     dealt = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), key).cast("binary")), key)
     right = df.select(group, F.col(column).alias(out), F.row_number().over(dealt).alias("_n"))
     return df.withColumn("_n", F.row_number().over(own)).join(right, [group, "_n"]).drop("_n")
+
+
+def ledger_performance(df: DataFrame, ret: str, *, days: int = TRADING_DAYS) -> DataFrame:
+    """One row: sessions, total return, mean and deviation a year, Sharpe, deepest drawdown; no sessions give zero and nulls."""
+    curve = equity(df, ret)
+    return curve.agg(F.count("*").alias("sessions"), F.coalesce(F.max_by("equity", "date") - 1, F.lit(0.0)).alias("total_return"), (F.avg(ret) * days).alias("annualized_return"), (F.stddev_samp(ret) * F.sqrt(F.lit(float(days)))).alias("annualized_volatility"), sharpe(ret, days).alias("sharpe"), F.min("drawdown").alias("maximum_drawdown"))
+
+
+def finite_pairs(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose columns are all finite numbers."""
+    for c in columns:
+        df = df.where(finite(F.col(c)).isNotNull())
+    return df
+
+
+def prediction_metrics(df: DataFrame, score: str, horizons: Sequence[int]) -> DataFrame:
+    """Benchmark bundle of each horizon over tradable rows with finite score and return."""
+    rows = long_returns(df, horizons).where("tradable and not abstain")
+    pairs = finite_pairs(rows, score, "ret")
+    moved = F.col(score) != 0
+    own = pairs.groupBy("horizon").agg(F.count(F.when(moved, 1)).alias("directional_n"), F.avg(F.when(moved, F.signum(score) * F.col("ret"))).alias("average_signed_return"), F.avg(F.when(moved, (F.signum(score) == F.signum("ret")).cast("double"))).alias("directional_accuracy"))
+    ic = association(pairs, score, "ret", "horizon").withColumnsRenamed({"pearson": "pearson_ic", "spearman": "spearman_ic"})
+    coverage = df.agg(F.avg((F.col("tradable") & ~F.col("abstain")).cast("double")).alias("tradable_coverage"))
+    return ic.join(own, "horizon").join(F.broadcast(coverage))
+
+
+def permissiveness(df: DataFrame, measure: str, threshold: float, *, sample: Column) -> DataFrame:
+    """One row over pairs of raters (second one's columns end in 2): their distributions where labels agree, and the gap of their coverage.
+
+    ``policy_gap``: first less second rater on the ``sample``; ``selection_shift``:
+    the first rater on all rows less on the sample; both in percentage points.
+    """
+    agreed = F.col("label") == F.col("label2")
+    a, b = F.col("tradable"), F.col("tradable2")
+    share = lambda c, where=agreed: F.avg(F.when(where, c.cast("double")))
+    count = lambda c: F.count(F.when(agreed & c, 1))
+    x, y = F.col(measure), F.col(f"{measure}2")
+    return df.agg(
+        count(F.lit(True)).alias("agreed"), share(a).alias("first_tradable"), share(b).alias("second_tradable"), count(a & b).alias("both_tradable"), count(a & ~b).alias("first_only"), count(~a & b).alias("second_only"), count(~a & ~b).alias("neither"),
+        F.avg(F.when(agreed, x - y)).alias("paired_difference"), F.percentile(F.when(agreed, x), 0.5).alias("first_median"), F.percentile(F.when(agreed, y), 0.5).alias("second_median"), share(x >= threshold).alias("first_share"), share(y >= threshold).alias("second_share"),
+        (100 * (share(a, sample) - share(b, sample))).alias("policy_gap"), (100 * (F.avg(a.cast("double")) - share(a, sample))).alias("selection_shift"),
+    )
+
+
+def subset_bundle(df: DataFrame, signal: str, horizons: Sequence[int]) -> DataFrame:
+    """Metrics of each (subset, research_split, horizon) over rows whose outcome ends before the next split."""
+    pairs = ", ".join(f"{h}, future_return_{h}d, exit_date_{h}d" for h in horizons)
+    rows = df.select("subset", "research_split", "label", signal, "next_split_entry_date", F.expr(f"stack({len(horizons)}, {pairs}) as (horizon, ret, ends)"))
+    rows = rows.where("ret is not null and (next_split_entry_date is null or ends < next_split_entry_date)")
+    keys = ("subset", "research_split", "horizon")
+    mean = lambda name: F.avg(F.when(F.col("label") == name, F.col("ret")))
+    own = rows.groupBy(*keys).agg(F.avg(F.signum(signal) * F.col("ret")).alias("average_signed_return"), (mean("bullish") - mean("bearish")).alias("spread"), F.avg(F.when(F.abs(signal) > 1e-12, (F.signum(signal) == F.signum("ret")).cast("double"))).alias("directional_accuracy"))
+    return association(rows, signal, "ret", *keys).withColumnsRenamed({"pearson": "pearson_ic", "spearman": "spearman_ic"}).join(own, list(keys))

@@ -11,12 +11,14 @@ def suppress_overlaps(events: DataFrame, timeline: DataFrame, holding: int) -> D
 
     Events of a ticker in order of (entry date, article_id); one is kept if its
     entry lies after the last kept one's exit. An event whose path runs past the
-    data neither counts nor blocks. The walk is a fold over a ticker's sorted
-    array inside the plan: parallel by ticker, no Python.
+    data neither counts nor blocks. Of a ticker's events of one session only the
+    first can be kept, so the walk, a fold over a ticker's sorted array inside
+    the plan, is as long as the calendar at most: parallel by ticker, no Python.
     """
     entry = timeline.select("ticker", F.col("date").alias("entry_date"), F.col("session").alias("entry_session"))
     last = timeline.groupBy("ticker").agg(F.max("session").alias("_last"))
     whole = events.join(entry, ["ticker", "entry_date"]).join(last, "ticker").where(F.col("entry_session") + holding - 1 <= F.col("_last"))
+    whole = whole.groupBy("ticker", "entry_date", "entry_session").agg(F.min("article_id").alias("article_id"))
     ordered = F.array_sort(F.collect_list(F.struct("entry_date", "article_id", "entry_session")))
     start = F.struct(F.lit(-1).cast("long").alias("until"), F.array().cast("array<string>").alias("kept"))
 
@@ -71,3 +73,15 @@ def daily_book(weighted: DataFrame, calendar: DataFrame) -> DataFrame:
 def net_returns(book: DataFrame, cost_bps: float, out: str = "net_return") -> DataFrame:
     """Gross return less turnover at a one-way cost."""
     return book.withColumn(out, F.col("gross_return") - F.col("turnover") * cost_bps / 10_000)
+
+
+def attribution(weighted: DataFrame, book: DataFrame, cost_bps: float) -> DataFrame:
+    """One row: where a book's gross return came from and what turnover took: contributions of longs and shorts, drag, ratios a position and a unit of turnover, activity."""
+    part = lambda sign: F.coalesce(F.sum(F.when(F.signum("weight") == sign, F.col("weight") * F.col("day_return"))), F.lit(0.0))
+    sides = weighted.agg(F.count_distinct("article_id").alias("accepted"), part(1).alias("long_contribution"), part(-1).alias("short_contribution"))
+    on = F.col("positions") > 0
+    days = book.agg(F.sum("gross_return").alias("gross"), F.sum("turnover").alias("turnover"), F.count("*").alias("calendar_days"), F.count(F.when(on, 1)).alias("active_days"), F.sum("positions").alias("position_days"), F.max("positions").alias("maximum_positions"), F.avg("positions").alias("average_all_days"), F.avg(F.when(on, F.col("positions"))).alias("average_active_days"))
+    both = sides.join(days)
+    drag = F.col("turnover") * cost_bps / 10_000
+    made = {"cost_drag_bps": drag * 10_000, "gross_bps_per_position": F.try_divide(F.col("gross"), F.col("accepted")) * 10_000, "cost_bps_per_position": F.try_divide(drag, F.col("accepted")) * 10_000, "gross_bps_per_turnover": F.try_divide(F.col("gross"), F.col("turnover")) * 10_000}
+    return both.withColumns(made)

@@ -120,7 +120,7 @@ def quota_sample(candidates: DataFrame, *, most: int, per_ticker: int, per_secto
                     held.update(r.buckets)
         return pd.DataFrame([(a, p, i) for i, (a, p) in enumerate(taken.items())], columns=["article_id", "picked_for", "pick"])
 
-    return few.groupBy(F.lit(1)).applyInPandas(run, "article_id string, picked_for string, pick int")
+    return few.groupBy().applyInPandas(run, "article_id string, picked_for string, pick int")
 
 
 def sample_contract(sample: DataFrame, *, size: int, least_reserved: int, most_other: float, least_years: int) -> dict[str, Column]:

@@ -170,7 +170,7 @@ def gate_decisions(spark, d):
     m = views.events(spark, d).groupBy("research_split").agg(F.count("*").alias("n"), signed(5).alias("s5"), signed(21).alias("s21"), F.avg(F.col("tradable").cast("double")).alias("coverage"), F.avg((F.col("event_type") == "5-LOW").cast("double")).alias("other"), F.avg(F.col("abstain").cast("double")).alias("abst"))
     positive = (F.col("s5") > 0) & (F.col("s21") > 0)
     g = decisions.gates(m, {"enough": F.col("n") >= 100, "positive": positive, "covered": F.col("coverage") >= 0.25})
-    return g.select("research_split", "enough", "positive", "covered", "passed", F.array_join("failed", ",").alias("failed"), decisions.evidence_decision(positive, F.col("abst"), F.col("other")).alias("evidence"), decisions.scale_decision(F.col("passed"), F.col("s5") > 0.75, (F.col("s5") <= 0) & (F.col("s21") <= 0), F.lit(False)).alias("scale"))
+    return g.select("research_split", "enough", "positive", "covered", "passed", F.array_join("failed", ",").alias("failed"), decisions.evidence_decision(positive, F.col("abst"), F.col("other")).alias("evidence"), F.when(F.col("passed") & (F.col("s5") > 0.75), "PASS: expand to 25,000").when(F.col("passed"), "PASS: expand to 10,000").when((F.col("s5") <= 0) & (F.col("s21") <= 0), "FAIL").otherwise("INCONCLUSIVE").alias("scale"))
 
 
 @query("""with b as (select event_type, avg(value) as v, count(*) as n from events group by 1), s as (select event_type, least(1.0, greatest(0.0, (v - 10.0) / 90.0)) as predictive, least(1.0, n / 2500.0) as runtime from b), t as (select *, 0.6 * predictive + 0.4 * runtime as total from s) select event_type, round(predictive::double, 8) as predictive, round(runtime::double, 8) as runtime, round(total::double, 8) as total, event_type = (select arg_max(event_type, total) from t) as chosen from t""", base=False)
@@ -195,11 +195,12 @@ def set_ops(spark, d):
     return out
 
 
-@query("select event_type, sha256(string_agg(h, '' order by h)) as dataset_hash, count(*) as n from (select event_type, sha256(cast(event_id as varchar) || chr(31) || event_type || chr(31) || cast(user_id as varchar)) as h from events) group by 1", base=False)
+@query("""with r as (select event_type, sha256(cast(event_id as varchar) || chr(31) || event_type || chr(31) || cast(user_id as varchar)) as h from events), b as (select event_type, left(h, 4) as bucket, sha256(string_agg(h, '' order by h)) as digest, count(*) as n from r group by 1, 2)
+select event_type, sha256(string_agg(digest, '' order by bucket)) as dataset_hash, sum(n)::bigint as n from b group by 1""", base=False)
 def dataset_hash(spark, d):
-    """AGG-38, GOV-3: digests of bounded buckets first at scale, here one digest a type."""
+    """AGG-38, GOV-3: a digest of digests."""
     rows = views.table(spark, d, "events").select("event_type", tx.key_of(F.col("event_id").cast("string"), F.col("event_type"), F.col("user_id").cast("string")).alias("h"))
-    return rows.groupBy("event_type").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("dataset_hash"), F.count("*").alias("n"))
+    return contracts.dataset_hash(rows, "h", "event_type")
 
 
 @query("""with q as (select unnest(generate_series(date_trunc('quarter', date '2022-02-15'), date '2023-11-20', interval 3 months)) as s) select cast(greatest(s, date '2022-02-15') as date) as window_start, cast(least(s + interval 3 months - interval 1 day, date '2023-11-20') as date) as window_end from q""", base=False, text="window_start window_end")
@@ -226,15 +227,6 @@ def hash_prefix_sample(spark, d):
     return rows.withColumn("prefix", digits).where("prefix % 13 = 0").select("article_id", "prefix")
 
 
-@query("""with a as (select 'all' as s, * from ladder_view), x as (select unnest(case when confidence >= 0.7 and materiality >= 0.5 then ['all', 'strong'] when event_type <> '5-LOW' then ['all', 'named'] else ['all'] end) as subset, * from events) select subset, research_split, count(*) as n, round(avg(sign(score)::double * future_return_5d), 8) as signed_return from x group by 1, 2""".replace("with a as (select 'all' as s, * from ladder_view), x as", ", x as"))
-def subset_metrics(spark, d):
-    """FIL-9/17, MIS-8."""
-    strong = (F.col("confidence") >= 0.7) & (F.col("materiality") >= 0.5)
-    tags = F.when(strong, F.array(F.lit("all"), F.lit("strong"))).when(F.col("event_type") != "5-LOW", F.array(F.lit("all"), F.lit("named"))).otherwise(F.array(F.lit("all")))
-    rows = views.events(spark, d).withColumn("subset", F.explode(tags))
-    return rounded(rows.groupBy("subset", "research_split").agg(F.count("*").alias("n"), F.avg(F.signum("score") * F.col("future_return_5d")).alias("signed_return")))
-
-
 def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
     words = views.stories(spark, d).select("article_id", "ts", tx.tokens(F.col("title")).alias("title_words"), tx.tokens(F.col("body")).alias("w"))
     held = words.select("article_id", "ts", "title_words", F.slice("w", 1, 250).alias("body_words"), F.explode(F.array(tx.shingle_hashes(F.col("w")))).alias("hashes"))
