@@ -57,10 +57,9 @@ def weighted_correlation(x: Column, y: Column) -> Column:
 
 
 def intervals(stats: DataFrame, *names: str) -> DataFrame:
-    """statistic, lower_95, upper_95 and draws (those in which it is defined) of columns of one row a draw."""
-    pairs = ", ".join(f"'{c}', {c}" for c in names)
-    long = stats.selectExpr(f"stack({len(names)}, {pairs}) as (statistic, value)")
-    return long.groupBy("statistic").agg(F.percentile("value", 0.025).alias("lower_95"), F.percentile("value", 0.975).alias("upper_95"), F.count("value").alias("draws"))
+    """statistic, lower_95, upper_95 and draws (those in which it is defined) of columns of one row a draw; nulls where no draw defines it."""
+    made = stats.agg(*(F.struct(F.percentile(c, 0.025).alias("lower_95"), F.percentile(c, 0.975).alias("upper_95"), F.count(c).alias("draws")).alias(c) for c in names))
+    return made.select(F.explode(F.array(*(F.struct(F.lit(c).alias("statistic"), f"{c}.*") for c in names))).alias("r")).select("r.*")
 
 
 def mean_interval(df: DataFrame, value: str, entity: str, *, draws: int = 200, seed: int = 12345) -> DataFrame:

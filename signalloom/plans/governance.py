@@ -3,37 +3,37 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import platform
 import subprocess
-from pathlib import Path
 from typing import Any
 
 import pyspark
 
+from ..sources import files
 from ..sources.sinks import stable_json
 
 
 def path_sha256(path: str) -> str:
-    """Digest of a file, or of the names and digests of a folder's part files."""
-    p = Path(path)
-    if p.is_file():
-        digest = hashlib.sha256()
-        with p.open("rb") as f:
-            for block in iter(lambda: f.read(1 << 20), b""):
-                digest.update(block)
-        return digest.hexdigest()
-    parts = sorted(x for x in p.rglob("*") if x.is_file() and not x.name.startswith((".", "_")))
-    return hashlib.sha256("".join(f"{x.relative_to(p)}:{path_sha256(str(x))}\n" for x in parts).encode()).hexdigest()
+    """Digest of a file, or of the names and digests of a folder's part files, on any file system that Spark reads."""
+    return files.sha256(path)
 
 
 def verify_inputs(expected: dict[str, str]) -> None:
     """Error unless every input has the digest that the configuration tells."""
-    wrong = sorted(p for p, digest in expected.items() if not os.path.exists(p) or path_sha256(p) != digest)
+    wrong = sorted(p for p, digest in expected.items() if not files.exists(p) or path_sha256(p) != digest)
     if wrong:
         raise ValueError(f"inputs changed or missing: {', '.join(wrong)}")
 
 
+def register_sources(paths: dict[str, str], registry: dict[str, str]) -> dict[str, str]:
+    """The registry with the digests of further artifacts; one that is registered with another digest is an error (drift)."""
+    found = {name: path_sha256(path) for name, path in paths.items()}
+    drifted = sorted(n for n, digest in found.items() if registry.get(n, digest) != digest)
+    if drifted:
+        raise ValueError(f"artifacts have drifted: {', '.join(drifted)}")
+    return registry | found
+
+
 def config_hash(config: Any) -> str:
     return hashlib.sha256(stable_json(config).encode()).hexdigest()
 

@@ -2,16 +2,51 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import key_of
+from . import files
+from .sinks import stable_json
 
 NEWS = T.StructType([T.StructField(n, T.StringType()) for n in ("date", "title", "content", "link")] + [T.StructField("symbols", T.ArrayType(T.StringType())), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("sentiment", T.StructType([T.StructField("polarity", T.DoubleType())]))])
 PRICE_ROWS = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("date", T.DateType())] + [T.StructField(n, T.DoubleType()) for n in ("open", "high", "low", "close", "adjusted_close")] + [T.StructField("volume", T.LongType())])
 
 
+#: Parameters that never enter a request's key.
+SECRET = ("api_token", "api_key", "token")
+
+
+def request_key(endpoint: str, params: dict) -> str:
+    """Key of a request: SHA-256 of its endpoint and parameters in sorted order, without secrets."""
+    return hashlib.sha256(stable_json({"endpoint": endpoint, "params": {k: v for k, v in params.items() if k not in SECRET}}).encode()).hexdigest()
+
+
+def land(root: str, endpoint: str, params: dict, body: str) -> dict[str, str]:
+    """Store a raw response: the body under its own digest, once, and a record (key, file, sha256) under the request's key."""
+    key, digest = request_key(endpoint, params), hashlib.sha256(body.encode()).hexdigest()
+    record = {"key": key, "file": f"{digest}.json", "sha256": digest}
+    if not files.exists(f"{root}/bodies/{record['file']}"):
+        files.write_text(f"{root}/bodies/{record['file']}", body)
+    files.write_text(f"{root}/requests/{key}.json", stable_json(record), overwrite=True)
+    return record
+
+
+def landed(spark: SparkSession, root: str) -> DataFrame:
+    """Checked bodies (file, sha256, body) of all recorded requests."""
+    records = spark.read.schema("key string, file string, sha256 string").json(f"{root}/requests")
+    return checked_bodies(spark, f"{root}/bodies", records.select("file", "sha256").distinct())
+
+
+def paged_articles(rows: DataFrame) -> DataFrame:
+    """Articles of a paged source's rows (ticker, body): parsed, the first of equal ids, by time and id."""
+    bodies = rows.select(F.sha2("body", 256).alias("sha256"), F.concat(F.lit("["), "body", F.lit("]")).alias("body"))
+    return news_articles(bodies).orderBy("provider_timestamp", "article_id")
+
+
 def checked_bodies(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     """Bodies whose SHA-256 is the one recorded for their file; a mismatch or a missing body fails the read.
 

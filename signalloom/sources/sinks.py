@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import html
 import json
-import os
 import re
 from collections.abc import Sequence
 from typing import Any
@@ -13,6 +12,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 
 def write_table(df: DataFrame, path: str) -> None:
     """Parquet, zstd; an existing table is never overwritten."""
@@ -31,12 +32,9 @@ def stable_json(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), default=str, allow_nan=False)
 
 
-def write_json(value: Any, path: str) -> None:
-    """A document, replaced at once or not at all."""
-    text, part = stable_json(value), f"{path}.part"
-    with open(part, "w", encoding="utf-8") as f:
-        f.write(text)
-    os.replace(part, path)
+def write_json(value: Any, path: str, *, overwrite: bool = False) -> None:
+    """A document, there at once or not at all; an existing one is never overwritten unless told. Needs a running session."""
+    files.write_text(path, stable_json(value), overwrite=overwrite)
 
 
 def register_view(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -53,15 +51,43 @@ def append_lines(df: DataFrame, path: str) -> None:
 
 
 def write_run(config: dict, root: str, frames: dict[str, DataFrame], required: dict[str, str], metrics: dict) -> str:
-    """Folder named by the config's hash: every required frame (empty where not given), then metrics, then the manifest."""
+    """Folder named by the config's hash: every required frame (empty where not given), then metrics, then the manifest.
+
+    On any file system that Spark writes; a run that exists is an error.
+    """
     spark = SparkSession.active()
     digest = hashlib.sha256(stable_json(config).encode()).hexdigest()
-    path = os.path.join(root, digest[:16])
-    os.makedirs(path, exist_ok=False)
+    path = f"{root.rstrip('/')}/{digest[:16]}"
+    files.make_folder(path)
+    rows = {}
     for name, schema in required.items():
-        write_table(frames.get(name, spark.createDataFrame([], schema)), f"file://{path}/{name}")
+        write_table(frames.get(name, spark.createDataFrame([], schema)), f"{path}/{name}")
+        rows[name] = spark.read.parquet(f"{path}/{name}").count()
     write_json(metrics, f"{path}/metrics.json")
-    write_json({"config_hash": digest, "frames": sorted(required)}, f"{path}/manifest.json")
+    write_json({"config_hash": digest, "frames": rows, "status": "completed"}, f"{path}/manifest.json")
+    return path
+
+
+def completed_run(config: dict, root: str, key: str | None = None, frame: str | None = None) -> str | None:
+    """The folder of a run that this configuration has completed, or None where there is none.
+
+    A run without manifest, of another configuration, with other row counts than
+    told, or with a repeated ``key`` in ``frame`` is an error: it is neither done nor to be redone.
+    """
+    digest = hashlib.sha256(stable_json(config).encode()).hexdigest()
+    path = f"{root.rstrip('/')}/{digest[:16]}"
+    if not files.exists(path):
+        return None
+    if not files.exists(f"{path}/manifest.json"):
+        raise ValueError(f"unfinished run: {path}")
+    manifest = json.loads(files.read_text(f"{path}/manifest.json"))
+    if manifest.get("status") != "completed" or manifest.get("config_hash") != digest:
+        raise ValueError(f"manifest of another run: {path}")
+    spark = SparkSession.active()
+    for name, n in manifest["frames"].items():
+        df = spark.read.parquet(f"{path}/{name}")
+        if df.count() != n or (name == frame and key and df.select(key).distinct().count() != n):
+            raise ValueError(f"rows of {name} have changed: {path}")
     return path
 
 

@@ -117,17 +117,17 @@ def test_costs(spark):
 
 
 def test_capacity_book_reasons(spark):
-    base = {"research_split": "d", "exit_date": D(2024, 1, 5), "reason": None, "open": 10.0, "volume": 1e6, "cost_per_dollar": 0.0, "cost_fixed": 0.0}
-    rows = [dict(base, ticker="A", article_id="1", entry_date=D(2024, 1, 1), signal=0.5), dict(base, ticker="A", article_id="2", entry_date=D(2024, 1, 5), signal=0.5), dict(base, ticker="B", article_id="3", entry_date=D(2024, 1, 1), signal=0.4), dict(base, ticker="C", article_id="4", entry_date=D(2024, 1, 1), signal=0.3), dict(base, ticker="D", article_id="5", entry_date=D(2024, 1, 8), signal=0.3, cost_fixed=1e9), dict(base, ticker="E", article_id="6", entry_date=D(2024, 1, 9), signal=0.3, reason="split_boundary")]
-    df = spark.createDataFrame([tuple(r[k] for k in ("research_split", "ticker", "article_id", "entry_date", "exit_date", "signal", "reason", "open", "volume", "cost_per_dollar", "cost_fixed")) for r in rows], "research_split string, ticker string, article_id string, entry_date date, exit_date date, signal double, reason string, open double, volume double, cost_per_dollar double, cost_fixed double")
-    got = {r.article_id: (r.accepted, r.rejection_reason) for r in sequential.capacity_book(df, capital=100.0, weight=0.5, side_limit=1.0, gross_limit=1.0, participation=1.0, multiple=1.0, slope=1.0).collect()}
+    base = {"research_split": "d", "exit_date": D(2024, 1, 5), "reason": None, "open": 10.0, "volume": 1e6}
+    rows = [dict(base, ticker="A", article_id="1", entry_date=D(2024, 1, 1), signal=0.5), dict(base, ticker="A", article_id="2", entry_date=D(2024, 1, 5), signal=0.5), dict(base, ticker="B", article_id="3", entry_date=D(2024, 1, 1), signal=0.4), dict(base, ticker="C", article_id="4", entry_date=D(2024, 1, 1), signal=0.3), dict(base, ticker="D", article_id="5", entry_date=D(2024, 1, 8), signal=1e-6), dict(base, ticker="E", article_id="6", entry_date=D(2024, 1, 9), signal=0.3, reason="split_boundary")]
+    df = spark.createDataFrame([tuple(r[k] for k in ("research_split", "ticker", "article_id", "entry_date", "exit_date", "signal", "reason", "open", "volume")) for r in rows], "research_split string, ticker string, article_id string, entry_date date, exit_date date, signal double, reason string, open double, volume double")
+    got = {r.article_id: (r.accepted, r.rejection_reason) for r in sequential.capacity_book(df, capital=100.0, weight=0.5, side_limit=1.0, gross_limit=1.0, participation=1.0, multiple=1.0, slope=1.0, scenario=costs.Scenario(0, 0, 1, 0, 0, 0, 1, 0), holding=5).collect()}
     assert got == {"1": (True, None), "2": (False, "same_ticker_overlap"), "3": (True, None), "4": (False, "portfolio_capacity"), "5": (False, "insufficient_cost_buffer"), "6": (False, "split_boundary")}
 
 
 def test_rebalance(spark):
     rows = [("LONG", D(2024, 1, 1), 10.0, 100.0, 100.0, True, 1e9), ("LONG", D(2024, 1, 2), 10.0, 100.0, 50.0, True, 1e9), ("SHORT", D(2024, 1, 1), 10.0, 100.0, -5.0, False, 1e9)]
     df = spark.createDataFrame(rows, "ticker string, date date, price double, volume double, target double, located boolean, edge double")
-    got = [(r.ticker, r.filled, r.reason) for r in sequential.rebalance(df, participation=0.5, multiple=1.0, cost_rate=0.001).orderBy("ticker", "date").collect()]
+    got = [(r.ticker, r.filled, r.reason) for r in sequential.rebalance(df, participation=0.5, multiple=1.0, scenario=costs.BASE).orderBy("ticker", "date").collect()]
     assert got == [("LONG", 50.0, "volume_limit"), ("LONG", 0.0, None), ("SHORT", 0.0, "locate_unavailable")]
 
 
@@ -260,10 +260,17 @@ def test_sinks_and_governance(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_final(df, spark.createDataFrame([("9",)], "k string"), "k", str(tmp_path / "f"))
     run = sinks.write_run({"a": 1}, str(tmp_path / "runs"), {"t": df}, {"t": "k string, h string", "empty": "v long"}, {"m": 1})
-    assert spark.read.parquet(f"file://{run}/empty").count() == 0
+    assert spark.read.parquet(f"{run}/empty").count() == 0
+    assert sinks.completed_run({"a": 1}, str(tmp_path / "runs"), "k", "t") == run and sinks.completed_run({"a": 2}, str(tmp_path / "runs")) is None
     with pytest.raises(FileExistsError):
         sinks.write_run({"a": 1}, str(tmp_path / "runs"), {}, {}, {})
     assert "—" in sinks.html_report("r", {"t": spark.createDataFrame([(None,)], "v long")}) and "| k | h |" in sinks.markdown_report("r", {"t": df})
+    sinks.write_json({"b": 1}, str(tmp_path / "x.json"))
+    with pytest.raises(FileExistsError):
+        sinks.write_json({"b": 2}, str(tmp_path / "x.json"))
+    one = governance.register_sources({"t": path}, {})
+    with pytest.raises(ValueError):
+        governance.register_sources({"t": str(tmp_path / "x.json")}, one)
     governance.verify_inputs({path: governance.path_sha256(path)})
     with pytest.raises(ValueError):
         governance.verify_inputs({path: "0"})
