@@ -1,11 +1,14 @@
 """Line dedup with levelled sorted runs of line hashes.
 
 ``LineRuns`` keeps, for each line key seen so far, in how many documents it
-stands. Every batch of documents is counted, anti-joined with the keys that
-the runs already settle (they have reached the limit, so more counts change
-nothing), and the rest is written as the batch's own sorted run. Runs of a
-level are merged into one run of the next level as soon as there are
-``fanout`` of them, so a key lies in at most fanout runs a level.
+stands. A run is a table of keys and counts, dealt into a fixed number of
+buckets by hash and sorted within them. A new batch is counted, which deals it
+into the same buckets, and then merge-joined with every run, bucket with
+bucket: nothing of a run is shuffled or sorted again. Keys that the runs
+already settle (they have reached the limit, so more counts change nothing) are
+anti-joined away, the rest is written as the batch's own run. As soon as a
+level holds ``fanout`` runs they are merged, in order, into one run of the next
+level, so a key lies in less than fanout runs a level.
 
 Keys are 128-bit hashes; texts are never shuffled to be counted. Counting
 combines on the map side, so a line that stands in a third of all documents
@@ -14,7 +17,9 @@ costs one row a task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -24,53 +29,106 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..staging import drop, fresh, stage
+from ..staging import drop_path, fresh, new_path, stage
 
 #: Batches that the one-shot form deals documents into, and runs of a level that are merged.
-BATCHES, FANOUT = 3, 2
+BATCHES, FANOUT = 4, 2
+#: Lets a scan of sorted buckets say that it is sorted.
+_SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 class LineRuns:
-    """Counts of line keys (h1, h2, n) in sorted runs on the shared folder."""
+    """Counts of line keys (h1, h2, n) in sorted runs on the shared folder; ``close`` removes them."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: list[list[DataFrame]] = []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
+
+    @contextmanager
+    def sorted_scans(self):
+        before = self.spark.conf.get(_SORTED, None)
+        self.spark.conf.set(_SORTED, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(_SORTED)
+            else:
+                self.spark.conf.set(_SORTED, before)
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+        return [self.spark.table(r) for level in self.levels for r in level]
 
     def counts(self) -> DataFrame:
-        """All runs merged."""
+        """All runs together: each run's keys that no run before holds, with their counts in all; merge joins of buckets, no shuffle."""
         runs = self.runs()
         if not runs:
             return self.spark.createDataFrame([], "h1 long, h2 long, n long")
-        return runs[0] if len(runs) == 1 else reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        parts = []
+        for i, run in enumerate(runs):
+            rows, total, before = run, F.col("n"), F.lit(True)
+            for j, other in enumerate(runs):
+                if j != i:
+                    rows = rows.join(other.withColumnRenamed("n", f"n{j}").hint("merge"), ["h1", "h2"], "left")
+                    total = total + F.coalesce(f"n{j}", F.lit(0))
+                    before = before & F.col(f"n{j}").isNull() if j < i else before
+            parts.append(rows.where(before).select("h1", "h2", total.alias("n")))
+        return reduce(DataFrame.unionByName, parts)
 
     def settled(self) -> DataFrame:
         """Keys that have reached the limit."""
         return self.counts().where(F.col("n") >= self.min_docs).select("h1", "h2")
 
-    def add(self, batch: DataFrame) -> None:
-        """Count a batch's keys (one row for each key and document, or rows with a count n) as a run of its own."""
+    def open_keys(self, batch: DataFrame) -> DataFrame:
+        """A batch's keys (one row for each key and document, or rows with a count n), counted, without those that the runs settle."""
         if "n" not in batch.columns:
             batch = batch.withColumn("n", F.lit(1).cast("long"))
-        fresh = batch.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        if self.runs():
-            fresh = fresh.join(self.settled(), ["h1", "h2"], "left_anti")
-        self._place(fresh, 0)
+        rows = batch.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        seen = F.lit(0).cast("long")
+        for i, run in enumerate(self.runs()):
+            rows = rows.join(run.withColumnRenamed("n", f"n{i}").hint("merge"), ["h1", "h2"], "left")
+            seen = seen + F.coalesce(f"n{i}", F.lit(0))
+        return rows.where(seen < self.min_docs).select("h1", "h2", "n")
+
+    def add(self, batch: DataFrame) -> None:
+        """Count a batch and add it as a run of its own."""
+        with self.sorted_scans():
+            self._place(self.open_keys(batch), 0)
+
+    def merged(self, runs: list[DataFrame]) -> DataFrame:
+        """Runs of a level as one, by full joins of sorted buckets (more than two runs are dealt out anew after the first)."""
+
+        def both(a: DataFrame, b: DataFrame) -> DataFrame:
+            joined = a.join(b.withColumnRenamed("n", "m").hint("merge"), ["h1", "h2"], "full")
+            return joined.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+
+        return reduce(both, runs)
 
     def _place(self, run: DataFrame, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        here = self.levels[level]
-        here.append(stage(run.sortWithinPartitions("h1", "h2"), f"line-run-{level}"))
-        if len(here) >= self.fanout:
-            merged = reduce(DataFrame.unionByName, here).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-            old, self.levels[level] = here, []
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = new_path(self.spark, f"line-run-{level}")
+        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("compression", "zstd").option("path", self.paths[name]).saveAsTable(name)
+        self.levels[level].append(name)
+        if len(self.levels[level]) >= self.fanout:
+            old = self.levels[level]
+            merged = self.merged([self.spark.table(r) for r in old])
+            self.levels[level] = []
             self._place(merged, level + 1)
             for r in old:
-                drop(r)
+                self._drop(r)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        drop_path(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        for name in list(self.paths):
+            self._drop(name)
+        self.levels = []
 
 
 def _lines(text: str | None) -> list[bytes]:
@@ -87,24 +145,17 @@ def _halves(keys: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(both[:, 0]), pa.array(both[:, 1])
 
 
-def line_keys(docs: DataFrame, batches: int = 1) -> DataFrame:
-    """(batch, h1, h2): each key once a document; ``batch`` deals documents by their text."""
+def line_keys(docs: DataFrame) -> DataFrame:
+    """(h1, h2): each key once a document."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for a in range(0, part.num_rows, 1024):
-                cut = part.slice(a, 1024)
-                keys, n = [], []
-                for text in cut.column(1).to_pylist():
-                    own = {k for k in _keys(_lines(text)) if k}
-                    keys += own
-                    n.append(len(own))
+                keys = [k for text in part.column(0).slice(a, 1024).to_pylist() for k in {k for k in _keys(_lines(text)) if k}]
                 if keys:
-                    h1, h2 = _halves(keys)
-                    yield pa.RecordBatch.from_arrays([cut.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), h1, h2], ["batch", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([*_halves(keys)], ["h1", "h2"])
 
-    dealt = docs.select(F.expr(f"cast(pmod(xxhash64(doc_id, text), {batches}) as int)").alias("batch"), "text")
-    return dealt.mapInArrow(run, "batch int, h1 long, h2 long")
+    return docs.select("text").mapInArrow(run, "h1 long, h2 long")
 
 
 def _places(docs: DataFrame) -> DataFrame:
@@ -139,11 +190,15 @@ def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 10, batches: int = B
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    counted = stage(line_keys(docs, batches).groupBy("batch", "h1", "h2").agg(F.count("*").alias("n")), "line-counts")
     runs = LineRuns(spark, min_docs)
-    for b in range(batches):
-        runs.add(counted.where(F.col("batch") == b).drop("batch"))
-    repeated = stage(runs.settled(), "line-settled")
+    try:
+        for b in range(batches):
+            # A batch is a share of the documents; each is read, counted and merged before the next.
+            runs.add(line_keys(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)) == b)))
+        with runs.sorted_scans():
+            repeated = stage(runs.settled(), "line-settled")
+    finally:
+        runs.close()
     hits = _places(docs).join(repeated, ["h1", "h2"]).groupBy("doc_id", "th").agg(F.collect_set("i").alias("lines"))
     key, th, lines = fresh(docs, "doc", "th", "lines")
     hits = stage(hits, "line-hits").select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("lines").alias(lines))
@@ -171,6 +226,6 @@ def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 10, batches: int = B
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
-    """n_lines, n_dropped and a checksum of what is kept, of each document."""
+    """n_lines, n_dropped and a checksum of what is kept, of each row: null and empty texts have one line and keep it, equal rows give equal rows, an empty table none."""
     kept = drop_repeated_lines(docs.select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

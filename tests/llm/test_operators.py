@@ -133,7 +133,10 @@ def test_token_blocks_round_trip():
     rng = np.random.default_rng(1)
     for ids in (rng.integers(0, 49408, 5000), np.array([7]), np.zeros(1024), np.array([0, 2**32 - 1] * 700), np.r_[np.zeros(1000), 2**31, np.ones(30)], rng.integers(40000, 40010, 3000)):
         ids = ids.astype(np.uint32)
-        assert (token_shards.decode_blocks(token_shards.encode_blocks(ids)) == ids).all()
+        body, starts = token_shards.encode_blocks(ids)
+        assert (token_shards.decode_blocks(body) == ids).all() and len(starts) == -(-len(ids) // token_shards.BLOCK)
+        for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(body)], strict=True)):
+            assert (token_shards.decode_blocks(body[a:b]) == ids[i * 1024 : i * 1024 + 1024]).all()
 
 
 def whole_ids(name, text, end):
@@ -156,6 +159,26 @@ def test_token_shards(spark, docs, texts, awkward, empty):
     assert token_shards.token_digest(empty, path).count() == 0
 
 
+def test_any_run_of_tokens_is_read_by_the_index(spark, docs, texts, tmp_path, monkeypatch):
+    path, name = f"file://{tmp_path}/shards", "word_bpe_49k.json"
+    monkeypatch.setattr(token_shards, "RECORD_TOKENS", 5000)
+    token_shards.write_shards(docs, path, public_tokenizers.path(name), shards=3)
+    everything = np.frombuffer(b"".join(whole_ids(name, texts[d], 2) for d in sorted(texts)), "<u4")
+    reader = token_shards.TokenReader(spark, path)
+    assert reader.total == len(everything) and len(reader.shards) == 3
+    sought = []
+    chunks = token_shards.files.chunks
+    monkeypatch.setattr(token_shards.files, "chunks", lambda p, start=0, size=None, **k: sought.append(size) or chunks(p, start, size, **k))
+    random.seed(6)
+    for start in [0, 1023, 1024, reader.before[1] - 5, reader.before[2], len(everything) - 3, len(everything), *random.sample(range(len(everything)), 12)]:
+        for n in (1, 7, 1500):
+            assert (reader.read(start, n) == everything[start : start + n]).all()
+    sought.clear()
+    reader.read(reader.before[2] - 100, 50)
+    index = 16 * len(reader.index(1)[0])
+    assert sum(sought[:-1]) < index + 3 * 4500  # the index and two blocks, never the whole shard
+
+
 def check_packing(pieces, expected):
     by_doc, by_seq = {}, {}
     for r in pieces:
@@ -228,13 +251,29 @@ def test_line_dedup(spark, docs, texts, awkward, empty):
     assert line_dedup.line_digest(empty).count() == 0
 
 
-def test_runs_are_levelled(spark):
-    runs = line_dedup.LineRuns(spark, 3, fanout=2)
+def test_runs_are_levelled_and_merged_without_shuffles(spark):
+    runs = line_dedup.LineRuns(spark, 3, fanout=2, buckets=4)
+    keys = lambda *pairs: spark.createDataFrame(list(pairs), "h1 long, h2 long")
     for _ in range(5):
-        runs.add(spark.createDataFrame([(1, 1), (2, 2)], "h1 long, h2 long"))
-    runs.add(spark.createDataFrame([(2, 2), (3, 3)], "h1 long, h2 long"))
-    assert [len(level) for level in runs.levels] == [0, 1, 1]
-    assert sorted(tuple(r) for r in runs.settled().collect()) == [(1, 1), (2, 2)]
+        runs.add(keys((1, 1), (2, 2), (4, 4)))
+    runs.add(keys((2, 2), (3, 3)))
+    runs.add(keys((1, 1), (5, 5)))
+    assert [len(level) for level in runs.levels] == [1, 1, 1]
+    assert sorted(tuple(r) for r in runs.settled().collect()) == [(1, 1), (2, 2), (4, 4)]
+    assert sorted(tuple(r)[:2] for r in runs.open_keys(keys((1, 1), (3, 3), (6, 6))).collect()) == [(3, 3), (6, 6)]
+    with runs.sorted_scans():
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        merge, fresh, settled = plan(runs.merged(runs.runs()[:2])), plan(runs.open_keys(keys((1, 1)))), plan(runs.settled())
+        assert "FullOuter" in merge and "Exchange" not in merge and "Sort " not in merge
+        # The batch alone is dealt out and sorted; the runs are read in their buckets and order.
+        assert fresh.count("SortMergeJoin") == 3 and fresh.count("Exchange hashpartitioning") == 1 and fresh.count("Sort [") == 1
+        assert "Exchange" not in settled and "Sort " not in settled and settled.count("SortMergeJoin") == 6
+    for table in runs.runs():
+        for part in table.select("h1", "h2").rdd.glom().collect():
+            assert [tuple(r) for r in part] == sorted(tuple(r) for r in part)
+    paths = list(runs.paths.values())
+    runs.close()
+    assert paths and not any(__import__("os").path.exists(p.removeprefix("file://")) for p in paths)
 
 
 # --- op5 -------------------------------------------------------------------
