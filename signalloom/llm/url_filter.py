@@ -7,8 +7,11 @@ trust. Host edges are the hyperlinks of pages and, both ways, the step between
 a host and its parent domain.
 
 Only DataFrame operations: both walks are one table of (host, walk, score) and
-one join and one aggregation a round. Host tables are written to the shared
-folder between rounds, so the planner knows their size.
+one join and one aggregation a round. Every STAGE_EVERY rounds the
+host table is written to the shared folder, so lineage stays short and the
+planner knows its size, and compared with the one before: rounds go on until
+they differ by less than RESIDUAL in all. A round moves at most DAMPING of what
+the one before moved, so what is still to come is then less than RESIDUAL / 9.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import drop, stage
 
 #: (verdict, host, path prefix).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-ROUNDS, DAMPING, STAGE_EVERY = 6, 0.85, 3
+#: Sum of changes between written tables at which a walk ends (all scores sum to 2 at most), and rounds after which one that goes on is an error.
+RESIDUAL, MOST_ROUNDS = 0.05, 120
+DAMPING, STAGE_EVERY = 0.75, 8
 #: Times its trust that a host's distrust must exceed to be blocked.
 TOLERANCE = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,17 +67,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return weighed.unionByName(both.withColumn("weight", F.lit(1.0)))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` rounds. ``seeds``: (host, walk, seed), walk being trust or distrust."""
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING, residual: float = RESIDUAL) -> DataFrame:
+    """(host, trust, distrust) after ``rounds`` rounds, or as many as leave less than ``residual`` to move. ``seeds``: (host, walk, seed), walk being trust or distrust."""
     ways = edges.select(F.lit("trust").alias("walk"), F.col("src").alias("host"), F.col("dst").alias("to"), "weight").union(edges.select(F.lit("distrust"), "dst", "src", "weight"))
     out = ways.groupBy("walk", "host").agg(F.sum("weight").alias("out"))
     ways = stage(ways.join(out, ["walk", "host"]).select("walk", "host", "to", (F.col("weight") / F.col("out")).alias("share")), "host-ways")
-    state = seeds.withColumnRenamed("seed", "score")
-    for i in range(1, rounds + 1):
+    own = seeds.select("walk", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    state, held = seeds.select("walk", "host", F.col("seed").alias("score")), None
+    for i in range(1, (rounds or MOST_ROUNDS) + 1):
         moved = state.join(ways, ["walk", "host"]).select("walk", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        state = moved.unionByName(seeds.select("walk", "host", (F.col("seed") * (1 - damping)).alias("score"))).groupBy("walk", "host").agg(F.sum("score").alias("score"))
+        state = moved.unionByName(own).groupBy("walk", "host").agg(F.sum("score").alias("score"))
         if i % STAGE_EVERY == 0 or i == rounds:
             state = stage(state, f"host-scores-{i}")
+            before, held = held, state
+            if before is not None:
+                both = state.unionByName(before.withColumn("score", -F.col("score"))).groupBy("walk", "host").agg(F.sum("score").alias("change"))
+                moved_since = both.agg(F.sum(F.abs("change"))).first()[0] or 0.0
+                drop(before)
+                if not rounds and moved_since <= residual:
+                    break
+    else:
+        if not rounds:
+            raise RuntimeError(f"trust still moves after {MOST_ROUNDS} rounds")
     of = lambda walk: F.coalesce(F.sum(F.when(F.col("walk") == walk, F.col("score"))), F.lit(0.0)).alias(walk)
     return state.groupBy("host").agg(of("trust"), of("distrust"))
 

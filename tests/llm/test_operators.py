@@ -414,10 +414,48 @@ def test_propagation_against_matrices(spark):
         e = np.eye(4)[seed]
         x = e
         for _ in range(4):
-            x = 0.85 * out.T @ x + 0.15 * e
+            x = url_filter.DAMPING * out.T @ x + (1 - url_filter.DAMPING) * e
         assert np.allclose([got.get(n, (0, 0))[walk] for n in names], x)
 
 
+def test_trust_reaches_hosts_many_steps_away(spark):
+    """Verdicts end to end: links walked by hand until nothing moves, on a chain longer than any fixed number of rounds."""
+    far = 14
+    rows = [(0, "http://seed.org/x", '<a href="http://h0.net/">')] + [(i + 1, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">' if i + 1 < far else None) for i in range(far)]
+    rows += [(50, "http://bad.com/de/", None), (51, "http://bad.com/de/", None), (52, "http://linker.net/", '<A HREF=//bad.com/de/>' + "x" * 200_000), (53, "http://quiet.net/", None), (54, None, None), (55, "http://one.net/", '<a href="http://bad.com/">'), (56, "http://two.net/", '<a href="http://one.net/">')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    host = lambda u: re.match(r"(?:[^:]*://([^/?#]*))?", u or "")[1] or ""
+    links = {}
+    for _, u, html in rows:
+        for to in {x.lower() for x in re.findall(r"""(?i)href\s*=\s*["']?(?:http:)?//([^/?#"'\s<>]+)""", html or "")} - {host(u)}:
+            links[host(u), to] = links.get((host(u), to), 0) + 1.0
+    for child in {host(u) for _, u, _ in rows} - {""}:
+        while child.count(".") > 1:
+            parent = child.split(".", 1)[1]
+            links.setdefault((child, parent), 1.0)
+            links.setdefault((parent, child), 1.0)
+            child = parent
+    names = sorted({x for e in links for x in e} | {host(u) for _, u, _ in rows})
+    way = np.zeros((len(names), len(names)))
+    for (a, b), n in links.items():
+        way[names.index(a), names.index(b)] = n
+    score = {}
+    for walk, m, seeds in (("trust", way, {"seed.org": 1.0}), ("distrust", way.T, {"bad.com": 1.0})):
+        p = np.divide(m, m.sum(axis=1, keepdims=True), out=np.zeros_like(m), where=m.sum(axis=1, keepdims=True) > 0)
+        e = np.array([seeds.get(n, 0.0) for n in names])
+        x = e
+        for _ in range(400):
+            x = url_filter.DAMPING * p.T @ x + (1 - url_filter.DAMPING) * e
+        score[walk] = dict(zip(names, x))
+    for i, u, _ in rows:
+        h = host(u)
+        t, d = score["trust"].get(h, 0), score["distrust"].get(h, 0)
+        assert abs(got[i].trust - t) < 0.02 and abs(got[i].distrust - d) < 0.02
+        assert got[i].verdict == (rule_by_hand(u)[3] or ("block" if d > t else "allow"))
+    assert got[far].trust > 0 and got[52].verdict == got[55].verdict == got[56].verdict == "block" and got[53].verdict == "allow"
+
+
 # --- op8 -------------------------------------------------------------------
 
 
