@@ -2,12 +2,18 @@
 
 Vectors are extended by one component so that the largest inner product is the
 nearest in Euclidean distance (vectors to the common largest norm, queries to
-unit norm with a zero). Each table hashes by DIMS Gaussian projections, cut in
-cells of WIDTH. A query visits the PROBES buckets of a table whose perturbation
+unit norm with a zero). Each table hashes by some Gaussian projections, cut in
+cells of a width. A query visits the buckets of a table whose perturbation
 is likeliest to hold near vectors: those with the least sum of squared
 distances to the cell borders that are crossed. Candidates of all tables are
 ranked by the exact inner product in double precision.
 
+Tables, projections, width and probes are fitted: FIT_QUERIES queries find
+their true neighbours among all vectors by brute force, and of a grid of
+indexes the one is taken that finds RECALL of them by scoring the least share of
+a sample of FIT_SAMPLE vectors. Where neighbours hardly stand out (isotropic
+vectors), that share is large, and ``Fit`` says so.
+
 Equal vectors are one entry with their least ids, as many as a query can
 return, so a vector that a third of all rows share costs one entry. Buckets are
 dealt in blocks of vectors and of queries; every pair of blocks is one product
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +33,11 @@ from pyspark.sql import functions as F
 
 from ..staging import stage
 
-TABLES, DIMS, WIDTH, PROBES, SEED = 2, 8, 3.5, 144, 11
+SEED = 11
+#: Vectors on whose buckets an index is judged, queries that are searched by brute force for it, and the share of their neighbours it must find.
+FIT_SAMPLE, FIT_QUERIES, RECALL = 4000, 192, 0.96
+#: What is tried: projections a table, their cell widths, tables, and probes of a table.
+GRID_DIMS, GRID_WIDTHS, GRID_TABLES, GRID_PROBES = (4, 8, 12), (0.7, 1.5, 3.0, 4.0), (1, 2), (1, 4, 16, 32, 64, 96, 144)
 #: Vectors and queries of one block.
 BLOCK, QUERY_BLOCK = 2048, 1024
 
@@ -73,25 +84,115 @@ def _cells(cells: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+@dataclass(frozen=True)
+class Fit:
+    """An index: its parameters, the share of true neighbours that the fitting queries found, and the share of vectors they scored (a vector counts once a table)."""
+
+    tables: int
+    dims: int
+    width: float
+    probes: int
+    recall: float = 1.0
+    share: float = 1.0
+
+
+def _ranks(cells: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
+    """For each query, the probe (from 0) at which each of its vectors' buckets is visited; a large number where it isn't."""
+    base = np.floor(cells).astype(np.int64)
+    out = []
+    for i, own in enumerate(keys):
+        moves = perturbations(cells[i] - base[i], max(GRID_PROBES))
+        visited = np.repeat(base[i : i + 1], len(moves), axis=0)
+        for row, steps in enumerate(moves):
+            for j, step in steps:
+                visited[row, j] += step
+        order = np.argsort(found := _cells(visited), kind="stable")
+        at = np.minimum(np.searchsorted(found[order], own), len(order) - 1)
+        out.append(np.where(found[order][at] == own, order[at], 1 << 30))
+    return out
+
+
+def choose(queries: np.ndarray, neighbours: list[np.ndarray], sample: np.ndarray, top: float, recall: float = RECALL) -> Fit:
+    """The index of the grid that scores the least share of ``sample`` and still finds ``recall`` of each query's ``neighbours``; else the one that finds most."""
+    total = max(1, sum(len(n) for n in neighbours))
+    best: list[tuple[bool, float, Fit]] = []
+    for dims in GRID_DIMS:
+        for width in GRID_WIDTHS:
+            hits, costs = [], []
+            for t in range(max(GRID_TABLES)):
+                cells = _hash(queries, top, True, t, dims, width)
+                key = lambda x: _cells(np.floor(_hash(x, top, False, t, dims, width)).astype(np.int64))  # noqa: B023, E731
+                shared = key(sample)
+                both = _ranks(cells, [np.concatenate([key(n), shared]) for n in neighbours])
+                hits.append([x[: len(n)] for x, n in zip(both, neighbours, strict=True)])
+                costs.append(np.concatenate([x[len(n) :] for x, n in zip(both, neighbours, strict=True)]))
+            for tables in GRID_TABLES:
+                least = [np.minimum.reduce([hits[t][i] for t in range(tables)]) for i in range(len(queries))]
+                for probes in GRID_PROBES:
+                    found = sum(int((x < probes).sum()) for x in least) / total
+                    share = float(sum(np.mean(costs[t] < probes) for t in range(tables)))
+                    best.append((found < recall, share if found >= recall else -found, Fit(tables, dims, width, probes, found, share)))
+    return min(best, key=lambda x: x[:2])[2]
+
+
+def _brute(queries: np.ndarray, ids: np.ndarray, k: int):
+    """Each task's ``k`` best vectors of every query, its own left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, queries.shape[1])))] * len(queries)
+        for batch in batches:
+            rows = np.flatnonzero(np.diff(batch.column(1).offsets.to_numpy()) == queries.shape[1])
+            if not len(rows):
+                continue
+            part = batch.take(pa.array(rows))
+            x, own = _vectors(part.column(1)), part.column(0).to_numpy()
+            s = queries @ x.T
+            for i in range(len(queries)):
+                score, name, vectors = (np.concatenate([a, b]) for a, b in zip(held[i], (s[i], own, x), strict=True))
+                keep = np.flatnonzero(name != ids[i])
+                keep = keep[np.lexsort((name[keep], -score[keep]))[:k]]
+                held[i] = score[keep], name[keep], vectors[keep]
+        for i, (score, name, vectors) in enumerate(held):
+            if len(score):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), i)), pa.array(name), pa.array(score), pa.array(vectors.tolist(), pa.list_(pa.float64()))], ["query", "id", "score", "vector"])
+
+    return run
+
+
+def fit(entries: DataFrame, top: float, k: int, recall: float = RECALL) -> Fit:
+    """Parameters for the vectors (id, vector) of the commonest length; what the driver holds is bounded by the sample and the fitting queries."""
+    lengths = entries.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    if not lengths:
+        return Fit(1, 4, 4.0, 1)
+    some = entries.where(F.size("vector") == lengths[0].d).orderBy(F.xxhash64("id"), "id").limit(FIT_SAMPLE).collect()
+    sample, ids = np.array([r.vector for r in some], dtype=np.float64), np.array([r.id for r in some])
+    asked = sample[:FIT_QUERIES]
+    best = entries.mapInArrow(_brute(asked, ids[:FIT_QUERIES], k), "query long, id long, score double, vector array<double>")
+    best = best.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("nth") <= k).collect()
+    near: list[list] = [[] for _ in asked]
+    for r in best:
+        near[r["query"]].append(r.vector)
+    return choose(asked, [np.array(n, dtype=np.float64).reshape(-1, sample.shape[1]) for n in near], sample, top, recall)
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].astype(np.float64).reshape(len(column), -1)
 
 
-def _buckets(top: float, query: bool, tables: int, dims: int, width: float, probes: int):
+def _buckets(top: float, query: bool, index: Fit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = np.diff(batch.column(1).offsets.to_numpy())
             for d in np.unique(lengths):
-                rows = np.flatnonzero(lengths == d)
-                part = batch.take(pa.array(rows))
+                part = batch.take(pa.array(np.flatnonzero(lengths == d)))
                 x = _vectors(part.column(1))
-                for t in range(tables):
-                    cells = _hash(x, top, query, t, dims, width)
+                for t in range(index.tables):
+                    cells = _hash(x, top, query, t, index.dims, index.width)
                     base = np.floor(cells).astype(np.int64)
                     if query:
                         at, found = [], []
                         for i in range(len(x)):
-                            for moves in perturbations(cells[i] - base[i], probes):
+                            for moves in perturbations(cells[i] - base[i], index.probes):
                                 c = base[i].copy()
                                 for j, step in moves:
                                     c[j] += step
@@ -100,10 +201,10 @@ def _buckets(top: float, query: bool, tables: int, dims: int, width: float, prob
                         at, key = np.array(at), _cells(np.array(found))
                     else:
                         at, key = np.arange(len(x)), _cells(base)
-                    for a in range(0, len(at), 4096):
-                        take = pa.array(at[a : a + 4096])
+                    for a in range(0, len(at), 8192):
+                        take = pa.array(at[a : a + 8192])
                         n = len(take)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, int(d) * 64 + t, np.int32)), pa.array(key[a : a + n]), part.column(0).take(take), part.column(1).take(take)], ["lane", "bucket", "id", "vector"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, int(d) * 64 + t, np.int32)), pa.array(key[a : a + n]), part.column(0).take(take)], ["lane", "bucket", "id"])
 
     return run
 
@@ -125,34 +226,39 @@ def _score(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, *, k: int = 20, query_every: int = 20, tables: int = TABLES, dims: int = DIMS, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
+def nearest(vectors: DataFrame, *, k: int = 20, query_every: int = 20, index: Fit | None = None) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of every query (rows whose vec_id is divisible by ``query_every``).
 
     Null ids take no part, nor vectors that are null, zero or hold null or
     non-finite components. Rows that share a vec_id and vector count once; a
     query's own id is never its neighbour. Vectors are compared with those of
-    the same length only. Ties go to the smaller vec_id. An empty table gives no
-    rows. Other columns are ignored.
+    the same length only, as they are, in double precision where they are doubles.
+    Ties go to the smaller vec_id. An empty table gives no rows. Other columns
+    are ignored. Without ``index``, its parameters are fitted.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    rows = rows.select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0).cast("float")).alias("embedding"))
+    element = "double" if vectors.schema["embedding"].dataType.elementType.simpleString() == "double" else "float"
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{element}>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    rows = rows.select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0).cast(element)).alias("embedding"))
     # Least ids of each distinct vector: the limit is applied before the shuffle too.
     few = rows.dropDuplicates(["vec_id", "embedding"]).withColumn("nth", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     entries = few.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = stage(entries.select("id", F.col("embedding").alias("vector"), "ids"), "ann-entries")
     top = entries.select(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0] or 1.0
-    shape = "lane int, bucket long, id long, vector array<float>"
-    data = stage(entries.select("id", "vector").mapInArrow(_buckets(top, False, tables, dims, width, probes), shape), "ann-buckets")
-    queries = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "embedding"])
-    asked = queries.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).mapInArrow(_buckets(top, True, tables, dims, width, probes), shape)
-    asked = stage(asked, "ann-probes")
+    index = index or fit(entries.select("id", "vector"), top, k)
+    shape = "lane int, bucket long, id long"
+    own = entries.select("id", "vector")
+    data = stage(own.mapInArrow(_buckets(top, False, index), shape), "ann-buckets")
+    queries = stage(rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "embedding"]).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).repartition(parts, "id"), "ann-queries")
+    # Probes are ids and buckets; vectors join them once it is known where they go.
+    asked = stage(queries.repartition(parts, "id").mapInArrow(_buckets(top, True, index), shape), "ann-probes")
     sizes = data.groupBy("lane", "bucket").agg(F.count("*").alias("n")).join(asked.groupBy("lane", "bucket").agg(F.count("*").alias("m")), ["lane", "bucket"])
     sizes = stage(sizes.select("lane", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("vb"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("qb")), "ann-blocks")
     block = lambda n: F.expr(f"cast(pmod(xxhash64(id), {n}) as int)")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    right = data.join(sizes, ["lane", "bucket"]).select("lane", "bucket", block("vb").alias("v"), every("qb").alias("q"), "id", "vector")
-    left = asked.join(sizes, ["lane", "bucket"]).select("lane", "bucket", every("vb").alias("v"), block("qb").alias("q"), "id", "vector")
     keys = ["lane", "bucket", "v", "q"]
+    right = data.join(sizes, ["lane", "bucket"]).select("lane", "bucket", block("vb").alias("v"), every("qb").alias("q"), "id").join(own, "id").select(*keys, "id", "vector")
+    left = asked.join(sizes, ["lane", "bucket"]).select("lane", "bucket", every("vb").alias("v"), block("qb").alias("q"), "id").join(queries, "id").select(*keys, "id", "vector")
     scored = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(_score(k), "query_id long, entry long, score double")
     best = scored.dropDuplicates(["query_id", "entry"]).withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entry"))).where(F.col("nth") <= k + 1)
     members = best.join(entries.select(F.col("id").alias("entry"), "ids"), "entry").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")

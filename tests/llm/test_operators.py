@@ -109,6 +109,25 @@ def test_nearest(spark, sf):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in two] == [(20, 1, 21, 0.5)]
 
 
+def test_an_index_is_fitted_to_the_vectors(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 24))
+    x = np.repeat(centres, 40, axis=0) + 0.1 * rng.normal(size=(2400, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    top = float(np.linalg.norm(x, axis=1).max())
+    index = ann.fit(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), top, 10)
+    assert index.recall >= ann.RECALL and index.share < 0.5  # vectors in groups: less than half are looked at
+    got = ann.nearest(df, k=10, query_every=40, index=index).toPandas()
+    found = 0
+    for q, part in got.groupby("query_id"):
+        s = x @ x[q]
+        assert np.abs(part.score - s[part.vec_id]).max() < 1e-12  # doubles stay doubles
+        s[q] = -np.inf
+        found += len(set(np.argsort(-s)[:10]) & set(part.vec_id))
+    assert found / (10 * 60) >= 0.9
+    assert ann.fit(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).limit(0), 1.0, 10).probes == 1
+
+
 def test_perturbations_come_in_order_of_cost():
     x = np.array([0.1, 0.45, 0.8])
     sets = ann.perturbations(x, 27)
