@@ -23,8 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Each row is judged by its own text, so equal rows stay or go together. A null
     or empty text, or one without words, scores 0 and goes. A null doc_id isn't a
-    label's. An empty table gives no rows; labels that teach nothing keep
-    what scores 0.7 and more by an untrained model. Columns besides doc_id and text pass as they are.
+    label's. An empty table gives no rows; labels that teach nothing
+    leave every text with words. Columns besides doc_id and text pass as they are.
     """
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
