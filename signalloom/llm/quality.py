@@ -7,7 +7,7 @@ scored. Only document labels are needed to learn which passages matter.
 
 The model is fitted on the driver on at most SAMPLE labelled documents of each
 class (those with the smallest hash of doc_id, so any input size gives the same
-kind of sample); scoring is a narrow pass over all whole texts.
+kind of sample) and TAUGHT passages of each; scoring is a narrow pass over all whole texts.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .textkit import NONSPACE, buffers, rounds, split_words, word_hashes
 PASSAGE_WORDS = 64
 #: Labelled documents of each class that the model is fitted on at most.
 SAMPLE = 2000
+#: Passages of a labelled document that the model is fitted on at most, evenly spaced; scoring takes all.
+TAUGHT = 256
 HIDDEN, GATE, STEPS, BAGS, RATE, SEED = 24, 12, 500, 128, 0.01, 20240607
 ACCEPT = 0.7
 
@@ -154,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model | None:
             for a, b in rounds(off):
                 x, doc = passages(raw[off[a] : off[b]], off[a : b + 1] - off[a])
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
-                bags = [x[cut[i] : cut[i + 1]].tobytes() for i in range(b - a)]
+                pick = [np.unique(np.linspace(cut[i], cut[i + 1] - 1, min(TAUGHT, cut[i + 1] - cut[i])).astype(np.int64)) for i in range(b - a)]
+                bags = [x[i].tobytes() for i in pick]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(bags, pa.binary())], ["doc_id", "q", "bag"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "q", "text").mapInArrow(encode, "doc_id long, q int, bag binary").collect()

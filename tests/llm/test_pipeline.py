@@ -55,3 +55,46 @@ def test_pack_stage(outputs):
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
     assert after.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).where("n <> t").count() == 0
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars int, th long, k string, kept string, lines string, predicted string"
+
+
+def through(spark, tmp_path, rows, bench):
+    """Each stage's output over awkward documents; nothing to learn from, so every text with words is accepted."""
+    sf = str(tmp_path)
+    spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, "k", "x", "y", "z") for d, t in rows], AWKWARD).repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, out = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, step in pipeline.STAGES:
+        step(spark, docs, sf).write.parquet(f"{sf}/{name}")
+        docs = out[name] = spark.read.parquet(f"{sf}/{name}")
+    return out, pipeline.run(spark, sf)
+
+
+def test_all_stages_on_awkward_rows(spark, tmp_path):
+    item = "a train leaves the old station with twelve wagons full of coal and nobody knows where it goes"
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"Shared line\nown text number {i} " + " ".join(f"u{i}x{j}" for j in range(12))) for i in range(12)]
+    rows += [(20, None), (21, ""), (22, " \n\t"), (23, base), (23, base), (24, base + " end"), (None, base + " more words"), (None, "alone without an id but with words"), (25, "see: " + item.upper() + " ."), (26, "word " * 30_000), (27, "z" * 50_000)]
+    out, final = through(spark, tmp_path, rows, [(1, item), (2, None)])
+    names = [c.split()[0] for c in AWKWARD.split(", ")]
+    for name in ("quality", "lines", "near", "leaks"):
+        assert out[name].columns == names
+    texts = lambda name: sorted(((r.doc_id, r.text) for r in out[name].collect()), key=repr)
+    assert texts("quality") == sorted([(d, t) for d, t in rows if (t or "").strip()], key=repr)
+    cut = sorted([(d, t.removeprefix("Shared line\n")) for d, t in rows if (t or "").strip()], key=repr)
+    assert texts("lines") == cut and all(r.n_chars == len(r.text) for r in out["lines"].collect())
+    kept = sorted([(d, t) for d, t in {*cut} if (d, t) not in ((24, base + " end"), (None, base + " more words"))], key=repr)
+    assert texts("near") == kept
+    assert texts("leaks") == [x for x in kept if x[0] != 25]
+    pieces = out["pack"].collect()
+    assert {r.doc_id for r in pieces} == {d for d, _ in kept if d != 25}
+    key = lambda r: repr((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens))
+    assert sorted(map(key, final.collect())) == sorted(map(key, pieces))
+
+
+def test_an_empty_table_passes_all_stages(spark, tmp_path):
+    out, final = through(spark, tmp_path, [], [])
+    assert all(df.count() == 0 for df in out.values()) and final.count() == 0
