@@ -11,9 +11,8 @@ registers make a band; documents that share a band meet.
   one class leads - the one that meets most others over all its bands, which
   in a group of edited copies is the least edited - and the others are paired
   with it. The buckets under one leader are its crowd. In a crowd, the HUBS
-  members that meet most others are then compared with all, except where both
-  are already linked with the leader. A crowd of up to HUBS + 2 classes is
-  thereby compared in full.
+  members that meet most others are then compared with all that no chain of
+  links joins to them yet. A crowd of up to HUBS + 2 classes is thereby settled.
 * What is left of a larger crowd, the pairs of members of which neither is a
   hub and which no chain of links joins yet, is settled block by block: a
   crowd's members are dealt into blocks, and each two blocks meet in one task,
@@ -278,14 +277,18 @@ def _settle(crowd: DataFrame, hubs: DataFrame, roots: DataFrame, nodes: DataFram
     if close.isEmpty():
         return roots
     found = stage(close.join(_texts(close, nodes, docs).hint("merge"), "node").groupBy(*group).applyInArrow(_block_confirmed(k, percent), "u long, v long"), "near-links-rest")
-    if found.isEmpty():
+    return _joined(roots, found)
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) once more, with further links (u, v): only roots are joined anew, and a node that had no link is its own."""
+    if links.isEmpty():
         return roots
-    # Only the roots are joined anew: a node that had no link is its own.
     root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    ends = found.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    ends = links.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
     joined = stage(components(ends).select(F.col("node").alias("root"), F.col("root").alias("next")), "near-joined")
     moved = roots.join(joined, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return moved.unionByName(joined.select(F.col("root").alias("node"), F.col("next").alias("root"))).distinct()
+    return stage(moved.unionByName(joined.select(F.col("root").alias("node"), F.col("next").alias("root"))).distinct(), "near-roots")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 80) -> DataFrame:
@@ -333,15 +336,15 @@ def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     met = rows.join(lead, ["key", "class"]).where("node <> leader")
     crowd = stage(met.groupBy("leader", "class", "node").agg(F.first("size").alias("size"), F.first("rank").alias("rank"), F.first("lead_size").alias("lead_size")), "near-crowds")
     links = linked(crowd.where(fit("size", "lead_size")).select("node", "leader").distinct(), "first")
-    tied = links.select(F.col("u").alias("node"), F.col("v").alias("leader"), F.lit(True).alias("tied"))
-    crowd = stage(crowd.join(tied, ["node", "leader"], "left").withColumn("tied", F.coalesce("tied", F.lit(False))), "near-tied")
+    roots = stage(components(links), "near-roots")
+    crowd = stage(crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-tied")
     top = crowd.withColumn("nth", F.row_number().over(Window.partitionBy("leader", "class").orderBy(F.desc("rank"), F.desc("node")))).where(F.col("nth") <= HUBS)
-    top = top.select("leader", "class", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("tied").alias("hub_tied"))
+    top = top.select("leader", "class", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))
     # Two sizes share one class or two; the pair counts in the class of the larger.
     once = F.col("class") == F.greatest(class_of("size"), class_of("hub_size"))
-    again = crowd.withColumn("salt", _salted("node")).join(_to_each(top), ["leader", "class", "salt"]).where("node <> hub and not (tied and hub_tied)").where(fit("size", "hub_size") & once)
-    links = stage(links.unionByName(linked(again.select("node", F.col("hub").alias("leader")).distinct(), "again")), "near-all")
-    roots = _settle(crowd, top, stage(components(links), "near-roots"), nodes, docs, k, percent, class_of)
+    again = crowd.withColumn("salt", _salted("node")).join(_to_each(top), ["leader", "class", "salt"]).where("root <> hub_root").where(fit("size", "hub_size") & once)
+    roots = _joined(roots, linked(again.select("node", F.col("hub").alias("leader")).distinct(), "again"))
+    roots = _settle(crowd.drop("root"), top, roots, nodes, docs, k, percent, class_of)
     named = roots.join(least.select("node", "doc_id", "th"), "node")
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")
     of = stage(named.join(named.groupBy("root").agg(F.min(order).alias("x")), "root").select("node", F.col("x.doc_id").alias("component_id"), F.col("x.th").alias("component_th")), "near-components")
