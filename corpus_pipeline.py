@@ -15,7 +15,7 @@ from signalloom.llm import decontaminate, line_dedup, near_dedup, packing, quali
 from signalloom.staging import small_batches, stage
 
 #: Workers of the last stage have run the others before it, so their memo of pieces is smaller.
-MEMO_PIECES = 200_000
+MEMO_PIECES = 60_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
