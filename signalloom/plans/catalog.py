@@ -84,7 +84,7 @@ def forward_returns(spark, d):
   from long_events group by horizon
 ) select m.*, a.pearson, a.spearman from m join a using (horizon)""")
 def event_metrics(spark, d):
-    """FIL-6, AGG-12/13/15/19/20, PRJ-10/11; flagship."""
+    """FIL-6, AGG-12/13, PRJ-11; flagship."""
     rows = metrics.long_returns(signals.with_ladder(views.events(spark, d)), views.HORIZONS)
     ic = metrics.association(rows.where(metrics.usable()), "signal_weighted", "ret", "horizon").drop("n")
     return rounded(metrics.horizon_metrics(rows, "horizon").join(ic, "horizon"))
@@ -348,7 +348,7 @@ def book_evaluation(spark, d):
 
 @query("""select research_split, count(*) as n, round(sum(signal_weighted * future_return_5d) / sum(signal_weighted * signal_weighted), 8) as slope from ladder where tradable and future_return_5d is not null and (next_split_entry_date is null or exit_date_5d < next_split_entry_date) group by 1""")
 def edge_slope(spark, d):
-    """AGG-16, JOI-8, FIL-10."""
+    """AGG-16, FIL-10."""
     rows = signals.with_ladder(views.events(spark, d)).where(F.col("tradable") & splits.unpurged(5)).dropna(subset=["future_return_5d"])
     return rounded(rows.groupBy("research_split").agg(F.count("*").alias("n"), metrics.origin_slope("signal_weighted", "future_return_5d").alias("slope")))
 
@@ -482,7 +482,7 @@ def regime(spark, d):
   count(case when label <> 'neutral' and label2 <> 'neutral' then 1 end) as directional_n, round(avg(case when label <> 'neutral' and label2 <> 'neutral' then (label = label2)::int end), 8) as directional_agreement, round({_pearson('score', 'score2')}, 8) as score_correlation,
   count(case when tradable and tradable2 then 1 end) as both_tradable, count(case when tradable and not tradable2 then 1 end) as first_only, count(case when not tradable and tradable2 then 1 end) as second_only, round(avg(confidence - relevance), 8) as mean_difference from j group by 1""")
 def rater_agreement(spark, d):
-    """AGG-31/32, JOI-1/2/15."""
+    """AGG-31, JOI-1."""
     j = contracts.one_to_one(views.events(spark, d), views.second_rater(spark, d), "article_id")
     share = lambda ok: F.avg(ok.cast("double"))
     directional = (F.col("label") != "neutral") & (F.col("label2") != "neutral")

@@ -100,14 +100,14 @@ def seeded_sample(spark, d):
   from (select cast(o_orderkey as varchar) as article_id, ((o_orderkey * 37) % 201 - 100) / 100.0 as score, case when (o_orderkey * 37) % 201 - 100 > 25 then 'bullish' when (o_orderkey * 37) % 201 - 100 < -25 then 'bearish' else 'neutral' end as label, case when (o_orderkey * 37) % 201 - 100 > 25 then 'bullish' when (o_orderkey * 37) % 201 - 100 < -25 then 'bearish' else 'neutral' end as label2,
   o_orderkey % 5 = 0 as abstain, o_orderkey % 5 <> 0 as tradable, case when o_orderpriority = '5-LOW' then '5-LOW' else o_orderpriority end as event_type, ((o_orderkey * 29) % 101) / 100.0 as relevance, ((o_orderkey * 41) % 101) / 100.0 as materiality from orders)) select article_id, array_to_string(x, ',') as violations from v""", base=False)
 def contract_violations(spark, d):
-    """VAL-2/3/4/6."""
+    """VAL-2."""
     rows = views.articles(spark, d).withColumn("event_type", F.when(F.col("event_type") == "5-LOW", "other").otherwise(F.col("event_type")))
     return rows.select("article_id", F.array_join(contracts.violations(contracts.assessment_rules() | contracts.sparse_rules()), ",").alias("violations"))
 
 
 @query("select count(*) as n, count(distinct ticker || cast(date as varchar)) as distinct_keys, 0::bigint as null_keys, count(case when not (open > 0 and high > 0 and low > 0 and close > 0 and adjusted_close > 0 and volume >= 0 and high >= low) then 1 end) as violating from prices")
 def table_contract(spark, d):
-    """VAL-1/7/10, AGG-37."""
+    """VAL-1/7, AGG-37."""
     rows = views.prices(spark, d).withColumn("key", F.concat("ticker", F.col("date").cast("string"))).withColumn("violations", contracts.violations(contracts.price_rules()))
     return contracts.table_contract(rows, "key")
 
@@ -123,7 +123,7 @@ _REQUESTS = """with r as (select cast(conv_id as varchar) || '-' || cast(turn as
 
 @query(_REQUESTS + " select cache_key, min(article_id) as article_id, count(*) as waiting from r where cache_key not in (select cache_key from c) group by 1", base=False)
 def cache_misses(spark, d):
-    """JOI-14, JOI-7, SCA-19, MIS-1/2/4."""
+    """JOI-14, JOI-7, SCA-19."""
     requests, cache = _requests(spark, d)
     return cascade.split_cache(requests, cache)[1]
 
@@ -138,19 +138,19 @@ def _ledger(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_LEDGER + " select article_id, outcome, from_cache, round(cost::double, 10) as run_cost_usd from o", base=False)
 def request_ledger(spark, d):
-    """MIS-3, SRC-10, SCA-30."""
+    """MIS-3."""
     return _ledger(spark, d).select("article_id", "outcome", "from_cache", F.round("run_cost_usd", 10).alias("run_cost_usd"))
 
 
 @query(_LEDGER + " select role, count(*) as requests, count(case when outcome = 'cache_hit' then 1 end) as hits, count(case when outcome = 'api_failure' then 1 end) as failures, sum(tokens)::bigint as tokens, round(sum(cost)::double, 8) as run_cost_usd, count(distinct cache_key) as distinct_keys from o group by 1", base=False)
 def usage_ledger(spark, d):
-    """AGG-35/36, GOV-7."""
+    """AGG-35."""
     return rounded(cascade.usage_totals(_ledger(spark, d), "role"))
 
 
 @query("""select article_id, array_to_string(case when label = 'neutral' and materiality < 0.3 then [] else list_filter([case when confidence < 0.6 then 'confidence_below_threshold' end, case when materiality >= 0.75 then 'high_materiality' end, case when not abstain and materiality > 0 and relevance >= 0.6 and materiality >= 0.3 and k % 11 = 0 then 'contradictory_article_evidence' end], lambda x: x is not null) end, ',') as reasons from articles""")
 def escalations(spark, d):
-    """SCA-17, SCA-16."""
+    """SCA-17."""
     return views.articles(spark, d).withColumn("contradictory", F.col("k") % 11 == 0).select("article_id", F.array_join(cascade.escalation_reasons(), ",").alias("reasons"))
 
 
@@ -165,7 +165,7 @@ def priority_cap(spark, d):
 select research_split, n >= 100 as enough, s5 > 0 and s21 > 0 as positive, coverage >= 0.25 as covered, n >= 100 and s5 > 0 and s21 > 0 and coverage >= 0.25 as passed, array_to_string(list_filter([case when n < 100 then 'enough' end, case when not (s5 > 0 and s21 > 0) then 'positive' end, case when coverage < 0.25 then 'covered' end], lambda x: x is not null), ',') as failed,
   case when not (s5 > 0 and s21 > 0) then 'STOP' when abst > 0.5 or other > 0.5 then 'REVISE' else 'PROCEED' end as evidence, case when n >= 100 and s5 > 0 and s21 > 0 and coverage >= 0.25 then case when s5 > 0.75 then 'PASS: expand to 25,000' else 'PASS: expand to 10,000' end when s5 <= 0 and s21 <= 0 then 'FAIL' else 'INCONCLUSIVE' end as scale from m""")
 def gate_decisions(spark, d):
-    """DEC-1/2/3, AGG-42/43."""
+    """AGG-42: gates of each split in small."""
     signed = lambda h: F.avg(F.signum("score") * F.col(f"future_return_{h}d"))
     m = views.events(spark, d).groupBy("research_split").agg(F.count("*").alias("n"), signed(5).alias("s5"), signed(21).alias("s21"), F.avg(F.col("tradable").cast("double")).alias("coverage"), F.avg((F.col("event_type") == "5-LOW").cast("double")).alias("other"), F.avg(F.col("abstain").cast("double")).alias("abst"))
     positive = (F.col("s5") > 0) & (F.col("s21") > 0)
@@ -175,7 +175,7 @@ def gate_decisions(spark, d):
 
 @query("""with b as (select event_type, avg(value) as v, count(*) as n from events group by 1), s as (select event_type, least(1.0, greatest(0.0, (v - 10.0) / 90.0)) as predictive, least(1.0, n / 2500.0) as runtime from b), t as (select *, 0.6 * predictive + 0.4 * runtime as total from s) select event_type, round(predictive::double, 8) as predictive, round(runtime::double, 8) as runtime, round(total::double, 8) as total, event_type = (select arg_max(event_type, total) from t) as chosen from t""", base=False)
 def weighted_selection(spark, d):
-    """SEL-11, SEL-4, DEC-4."""
+    """SEL-4."""
     b = views.table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
     t = b.select("event_type", decisions.bounded(F.col("v"), 10.0, 100.0).alias("predictive"), F.least(F.lit(1.0), F.col("n") / 2500.0).alias("runtime")).withColumn("total", 0.6 * F.col("predictive") + 0.4 * F.col("runtime"))
     best = t.agg(F.max_by("event_type", "total").alias("_best"))
@@ -184,7 +184,7 @@ def weighted_selection(spark, d):
 
 @query("""with a as (select o_custkey as id from orders where o_orderstatus = 'F'), b as (select o_custkey as id from orders where o_orderpriority = '1-URGENT'), u as (select id from a union all select id from b), i as (select id from a intersect select id from b), x as (select id from a except select id from b) select 'union' as op, count(*) as n, count(distinct id) as distinct_n, sum(id)::bigint as total from u union all select 'intersect', count(*), count(distinct id), sum(id)::bigint from i union all select 'except', count(*), count(distinct id), sum(id)::bigint from x""", base=False)
 def set_ops(spark, d):
-    """SET-1/2/3/6/7, JOI-16."""
+    """SET-3/6/7."""
     orders = views.table(spark, d, "orders")
     a, b = (orders.where(c).select(F.col("o_custkey").alias("id")) for c in ("o_orderstatus = 'F'", "o_orderpriority = '1-URGENT'"))
     made = {"union": a.unionByName(b), "intersect": a.intersect(b), "except": a.subtract(b)}
@@ -205,7 +205,7 @@ def dataset_hash(spark, d):
 
 @query("""with q as (select unnest(generate_series(date_trunc('quarter', date '2022-02-15'), date '2023-11-20', interval 3 months)) as s) select cast(greatest(s, date '2022-02-15') as date) as window_start, cast(least(s + interval 3 months - interval 1 day, date '2023-11-20') as date) as window_end from q""", base=False, text="window_start window_end")
 def quarter_windows(spark, d):
-    """SCA-24/25."""
+    """SCA-24."""
     start, end = F.lit("2022-02-15").cast("date"), F.lit("2023-11-20").cast("date")
     q = spark.range(1).select(F.explode(F.sequence(F.trunc(start, "quarter"), end, F.expr("interval 3 months"))).alias("s"))
     return q.select(F.greatest("s", start).alias("window_start"), F.least(F.date_sub(F.add_months("s", 3), 1), end).alias("window_end"))
@@ -213,7 +213,7 @@ def quarter_windows(spark, d):
 
 @query("""select event_type, count(*) as n, count(case when json_extract_string(props, '$.k') is not null then 1 end) as with_key, min(length(props)) as shortest, max(length(props)) as longest from events group by 1""", base=False)
 def json_fields(spark, d):
-    """SCA-28, SRC-8."""
+    """SCA-28."""
     rows = views.table(spark, d, "events")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_key"), F.min(F.length("props")).cast("long").alias("shortest"), F.max(F.length("props")).cast("long").alias("longest"))
 
