@@ -1,14 +1,20 @@
-"""Specification search: every combination of signal, aggregation and thresholds, in one grouped pass."""
+"""Specification search: every combination of signal, aggregation and thresholds, from one row an event."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import product
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import correlation_p
+from ..staging import stage
 from . import splits
 from .metrics import benjamini_hochberg, correlation
 
@@ -29,46 +35,188 @@ class Grid:
     least_coverage: float = 0.25
 
 
-def _cells(grid: Grid) -> Column:
-    """The threshold cells that a row meets, as (ci, ri, mi)."""
-    held = lambda name, cuts: F.array(*(F.when(F.col(name) >= c, F.lit(i)) for i, c in enumerate(cuts)))
-    met = lambda name, cuts: F.filter(held(name, cuts), lambda x: x.isNotNull())
-    pairs = F.flatten(F.transform(met("confidence", grid.confidence), lambda c: F.transform(met("relevance", grid.relevance), lambda r: F.struct(c.alias("ci"), r.alias("ri")))))
-    return F.flatten(F.transform(pairs, lambda p: F.transform(met("materiality", grid.materiality), lambda m: F.struct(p["ci"].alias("ci"), p["ri"].alias("ri"), m.alias("mi")))))
+#: Rows of a series that one task holds (under 100 bytes each); the ranks of splits with a longer one are windows, which spill.
+HELD = 6_000_000
 
 
-def _spec_id(grid: Grid, signal: Column, aggregation: Column) -> Column:
-    """Place in the product of signals, aggregations, confidence, relevance and materiality."""
-    at = (signal * len(grid.aggregations) + aggregation) * len(grid.confidence) + F.col("ci")
-    return ((at * len(grid.relevance) + F.col("ri")) * len(grid.materiality) + F.col("mi")).cast("long")
+def _cells(grid: Grid) -> list[tuple[int, int, int]]:
+    """Places of the thresholds (ci, ri, mi), the last running fastest."""
+    return list(product(range(len(grid.confidence)), range(len(grid.relevance)), range(len(grid.materiality))))
 
 
-def associations(events: DataFrame, grid: Grid) -> DataFrame:
-    """(spec_id, research_split, horizon, n, ic, p, signed_return) of every combination that any row meets.
+def _mask(grid: Grid, cells: Sequence[tuple[int, int, int]]) -> Column:
+    """Bit i is set where a row meets the thresholds of cell i."""
+    out = F.lit(0).cast("long")
+    for i, (c, r, m) in enumerate(cells):
+        met = (F.col("confidence") >= grid.confidence[c]) & (F.col("relevance") >= grid.relevance[r]) & (F.col("materiality") >= grid.materiality[m])
+        out = out.bitwiseOR(F.when(met, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+
+
+def _company_days(table: pa.Table, signals: int, cells: int) -> pa.Table:
+    """Items of whole company-days, which stand together, each in order of article_id; see ``items``."""
+    n, keys = len(table), [table[c].combine_chunks() for c in ("research_split", "ticker", "entry_date")]
+    new = np.append(True, np.zeros(n - 1, bool))
+    for k in keys:
+        x, y = k[1:], k[:-1]
+        new[1:] |= pc.if_else(pc.and_(x.is_null(), y.is_null()), False, pc.fill_null(pc.not_equal(x, y), True)).to_numpy(zero_copy_only=False)
+    group = np.cumsum(new) - 1
+    alone = np.bincount(group)[group] == 1
+    mask = table["mask"].to_numpy()
+    xs = [table[f"x{s}"].to_numpy() for s in range(signals)]
+    given = [table[f"x{s}"].is_valid().to_numpy() for s in range(signals)]
+    size = [np.where(g, np.where(np.isnan(x), np.inf, np.abs(x)), -1.0) for x, g in zip(xs, given, strict=True)]
+    strong, found = [np.where(alone, mask, 0) for _ in xs], []
+    shared = np.flatnonzero(~alone)
+    for c in range(cells):
+        rows = shared[(mask[shared] >> c) & 1 == 1]
+        if not len(rows):
+            continue
+        start = _runs(group[rows])
+        at = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(rows))))
+        means = {}
+        for s in range(signals):
+            a = size[s][rows]
+            hit = np.flatnonzero(a == np.maximum.reduceat(a, start)[at])
+            strong[s][rows[hit[_runs(at[hit])]]] |= 1 << c
+            with np.errstate(invalid="ignore", divide="ignore"):
+                count = np.add.reduceat(given[s][rows].astype("int64"), start)
+                # One after the other, as reduceat doesn't add: equal sums must tie.
+                means[f"x{s}"] = np.bincount(at, np.where(given[s][rows], xs[s][rows], 0.0)) / count
+            means[f"given{s}"] = count > 0
+        found.append(pd.DataFrame({"first": rows[start], **means, "mask": 1 << c}))
+    own = table.drop_columns(["ticker", "entry_date", "mask"])
+    out = own.append_column("event", pa.array(mask))
+    for s in range(signals):
+        out = out.append_column(f"strongest{s}", pa.array(strong[s]))
+    out = out.append_column("mean", pa.array(np.where(alone, mask, 0)))
+    if not found:
+        return out
+    # Cells that the same articles meet have the same means: they are one item.
+    by = [c for c in found[0].columns if c != "mask"]
+    means = pd.concat(found).groupby(by, dropna=False, sort=False, as_index=False)["mask"].sum()
+    more = own.take(pa.array(means["first"].to_numpy()))
+    for s in range(signals):
+        more = more.set_column(more.column_names.index(f"x{s}"), f"x{s}", pa.array(means[f"x{s}"].to_numpy(), mask=~means[f"given{s}"].to_numpy()))
+    none = pa.array(np.zeros(len(means), "int64"))
+    for name in ("event", *(f"strongest{s}" for s in range(signals))):
+        more = more.append_column(name, none)
+    return pa.concat_tables([out, more.append_column("mean", pa.array(means["mask"].to_numpy()))])
+
+
+def items(events: DataFrame, grid: Grid, cells: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """One row an event, and one for each set of articles of a company-day that meet the same thresholds together.
 
-    Rows stand once for each threshold cell they meet and each signal; the
-    three aggregations are made from that in one shuffle by company-day.
+    research_split, y of each horizon (null where purged), x of each signal, and
+    the cells in which the row counts, as bits: ``event``, ``strongest`` of each
+    signal, ``mean``. One shuffle by company-day; an event never stands once a
+    combination.
     """
-    keep = ["article_id", "ticker", "entry_date", "research_split", "next_split_entry_date", *(f"{c}_{h}d" for h in HORIZONS for c in ("exit_date", "future_return"))]
+    signals, ys = len(grid.signals), [f"y{h}" for h in HORIZONS]
     rows = events.where("tradable and not abstain and research_split <> 'holdout'")
-    rows = rows.select(*keep, F.explode(_cells(grid)).alias("cell"), *grid.signals).select(*keep, "cell.*", F.posexplode(F.array(*grid.signals)).alias("signal", "x"))
-    day = Window.partitionBy("ci", "ri", "mi", "signal", "research_split", "ticker", "entry_date")
-    strongest = F.row_number().over(day.orderBy(F.desc_nulls_last(F.abs("x")), "article_id")) == 1
-    first = F.row_number().over(day.orderBy("article_id")) == 1
-    rows = rows.withColumns({"strongest": strongest, "first": first, "mean": F.avg("x").over(day)})
-    which = {"event_level": (F.lit(True), F.col("x")), "strongest_company_day": (F.col("strongest"), F.col("x")), "company_day_aggregate": (F.col("first"), F.col("mean"))}
-    made = F.filter(F.array(*(F.when(which[a][0], F.struct(F.lit(i).alias("aggregation"), which[a][1].alias("x"))) for i, a in enumerate(grid.aggregations))), lambda v: v.isNotNull())
-    rows = rows.select("research_split", "ci", "ri", "mi", "signal", *(F.when(splits.unpurged(h), F.col(f"future_return_{h}d")).alias(f"y{h}") for h in HORIZONS), F.explode(made).alias("made"))
-    long = rows.select("research_split", _spec_id(grid, F.col("signal"), F.col("made.aggregation")).alias("spec_id"), F.col("made.x").alias("x"), F.expr(f"stack({len(HORIZONS)}, {', '.join(f'{h}, y{h}' for h in HORIZONS)}) as (horizon, y)")).where("x is not null and y is not null")
-    key = ("spec_id", "research_split", "horizon")
-
-    def rank(c: str) -> Column:
-        w = Window.partitionBy(*key).orderBy(c)
-        return (F.rank().over(w) + F.count("*").over(w)) / 2.0  # the count reaches to the last of equal values
-
-    ranked = long.withColumns({"rx": rank("x")}).withColumns({"ry": rank("y")})
-    found = ranked.groupBy(*key).agg(F.count("*").alias("n"), correlation(F.col("rx"), F.col("ry")).alias("ic"), F.avg(F.signum("x") * F.col("y")).alias("signed_return"))
-    return found.withColumns({"p": correlation_p("ic", "n"), "signed_return": F.when(F.col("ic").isNotNull(), F.col("signed_return"))})
+    rows = rows.select("research_split", "ticker", "entry_date", "article_id", *(F.when(splits.unpurged(h), F.col(f"future_return_{h}d")).cast("double").alias(f"y{h}") for h in HORIZONS), *(F.col(c).cast("double").alias(f"x{s}") for s, c in enumerate(grid.signals)), _mask(grid, cells).alias("mask")).where("mask <> 0")
+    day = ("research_split", "ticker", "entry_date")
+    placed = rows.repartition(*day).sortWithinPartitions(*day, "article_id").drop("article_id")
+    masks = ["event", *(f"strongest{s}" for s in range(signals)), "mean"]
+    schema = ", ".join(["research_split string", *(f"{y} double" for y in ys), *(f"x{s} double" for s in range(signals)), *(f"{m} long" for m in masks)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, least = [], 100_000
+
+        def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from _company_days(table.combine_chunks(), signals, len(cells)).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < least:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            last, n = table.slice(len(table) - 1).to_pylist()[0], len(table)
+            # The last company-day may go on in the next batch.
+            same = np.ones(n, bool)
+            for k in day:
+                same &= (table[k].is_null() if last[k] is None else pc.fill_null(pc.equal(table[k], pa.scalar(last[k], table[k].type)), False)).to_numpy()
+            cut = int(np.flatnonzero(same)[0])
+            if cut:
+                yield from whole(table.slice(0, cut))
+            held, least = table.slice(cut).to_batches(), max(100_000, 2 * (n - cut))
+        if sum(map(len, held)):
+            yield from whole(pa.Table.from_batches(held))
+
+    return placed.mapInArrow(run, schema)
+
+
+def _correlations(x: np.ndarray, y: np.ndarray, mask: np.ndarray, cells: int) -> list[tuple]:
+    """(cell, n, ic, signed return) of each cell that any row counts in; average ranks of ties within the cell."""
+    own, places = np.sign(x) * y, [np.unique(v, return_inverse=True)[1].astype("int32") for v in (x, y)]
+    out = []
+    for c in range(cells):
+        at = np.flatnonzero((mask >> c) & 1)
+        n, ranks = len(at), []
+        if not n:
+            continue
+        for p in places:
+            count = np.bincount(p[at])
+            ranks.append((np.cumsum(count) - (count - 1) / 2 - (n + 1) / 2)[p[at]])
+        a, b = ranks
+        spread = np.sqrt(a @ a) * np.sqrt(b @ b)
+        out.append((c, n, float(np.clip(a @ b / spread, -1, 1)) if n >= 3 and spread > 0 else None, float(own[at].mean())))
+    return out
+
+
+def associations(events: DataFrame, grid: Grid, held: int = HELD) -> DataFrame:
+    """(spec_id, research_split, horizon, n, ic, p, signed_return) of every combination that any row meets.
+
+    A series is a signal, an aggregation, a split and a horizon. One task sorts
+    a series once and reads the ranks within every threshold cell off it; where a
+    series of a split may be longer than ``held``, its ranks are windows over exploded cells.
+    """
+    out, every = None, _cells(grid)
+    for base in range(0, len(every), 62):  # a mask is one long
+        part = _part(events, grid, every[base : base + 62], base, held)
+        out = part if out is None else out.unionByName(part)
+    return out.withColumns({"p": correlation_p("ic", "n"), "signed_return": F.when(F.col("ic").isNotNull(), F.col("signed_return"))})
+
+
+def _part(events: DataFrame, grid: Grid, cells: Sequence[tuple[int, int, int]], base: int, held: int) -> DataFrame:
+    rows, signals, total = stage(items(events, grid, cells), "items"), len(grid.signals), len(_cells(grid))
+    longest = F.greatest(F.count(F.when(F.col("event") != 0, 1)), F.count(F.when(F.col("mean") != 0, 1)))
+    size = dict(map(tuple, rows.groupBy("research_split").agg(longest).collect()))
+    names = sorted(size)
+    named = {"event_level": ["event"] * signals, "strongest_company_day": [f"strongest{s}" for s in range(signals)], "company_day_aggregate": ["mean"] * signals}
+    series = [(s, a, h) for s in range(signals) for a in range(len(grid.aggregations)) for h in HORIZONS]
+    split = F.coalesce(*(F.when(F.col("research_split") == name, i) for i, name in enumerate(names)), F.lit(0))
+    made = [F.struct((split * len(series) + i).alias("series"), F.col(f"x{s}").alias("x"), F.col(f"y{h}").alias("y"), F.col(named[grid.aggregations[a]][s]).alias("mask")) for i, (s, a, h) in enumerate(series)]
+
+    def spread(these: list[str]) -> DataFrame:
+        return rows.where(F.col("research_split").isin(these)).select(F.inline(F.array(*made))).where("mask <> 0 and x is not null and y is not null")
+
+    def run(table: pa.Table) -> pa.Table:
+        found = _correlations(*(table[c].to_numpy() for c in ("x", "y", "mask")), len(cells))
+        columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+        return pa.table({"series": pa.array([table["series"][0].as_py()] * len(found), "int32"), **{k: pa.array(v, t) for k, v, t in zip(("cell", "n", "ic", "signed_return"), columns, ("int32", "int64", "float64", "float64"), strict=True)}})
+
+    def windowed(df: DataFrame) -> DataFrame:
+        long = df.select("series", "x", "y", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(cells) - 1)), lambda i: F.getbit(F.col("mask"), i) == 1)).alias("cell"))
+
+        def rank(c: str) -> Column:
+            w = Window.partitionBy("series", "cell").orderBy(c)
+            return (F.rank().over(w) + F.count("*").over(w)) / 2.0  # the count reaches to the last of equal values
+
+        ranked = long.withColumns({"rx": rank("x")}).withColumns({"ry": rank("y")})
+        return ranked.groupBy("series", "cell").agg(F.count("*").alias("n"), correlation(F.col("rx"), F.col("ry")).alias("ic"), F.avg(F.signum("x") * F.col("y")).alias("signed_return"))
+
+    found = spread([k for k in names if size[k] <= held]).groupBy("series").applyInArrow(run, "series int, cell int, n long, ic double, signed_return double")
+    if large := [k for k in names if size[k] > held]:
+        found = found.unionByName(windowed(spread(large)))
+    at = F.floor(F.col("series") % len(series) / len(HORIZONS))  # signal and aggregation
+    place = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    return found.select((at * total + base + F.col("cell")).cast("long").alias("spec_id"), place(names or [""], F.floor(F.col("series") / len(series))).alias("research_split"), place(HORIZONS, F.col("series") % len(HORIZONS)).alias("horizon"), "n", "ic", "signed_return")
 
 
 def search(events: DataFrame, grid: Grid = Grid()) -> DataFrame:  # noqa: B008

@@ -181,3 +181,52 @@ def test_landing_zone(spark, tmp_path):
     assert landing.landed(spark, root).count() == 1
     rows = spark.createDataFrame([("A", json.dumps(x)) for x in json.loads(body) * 2], "ticker string, body string")
     assert [r.title for r in landing.paged_articles(rows).collect()] == ["T"]
+
+
+def test_specifications_from_one_row_an_event(spark):
+    """Against every combination taken by itself, with ties, nulls and crowded company-days; an event isn't repeated a combination."""
+    import pandas as pd
+
+    from signalloom.operators import specification
+
+    rng, day = random.Random(3), dt.date(2024, 1, 1)
+    rows = []
+    for i in range(240):
+        entry = day + dt.timedelta(days=rng.randrange(12))
+        x = lambda: rng.choice([None, -0.5, -0.25, 0.0, 0.25, 0.5, rng.random()])
+        rows.append((f"{i:03}", rng.choice("ABCD"), entry, rng.choice(["development", "validation", "holdout"]), None if i % 3 else day + dt.timedelta(days=20), rng.random() < 0.9, rng.random() < 0.1, *(rng.choice([0.0, 0.5, 0.7, 0.9]) for _ in range(3)), entry + dt.timedelta(days=5), entry + dt.timedelta(days=21), rng.choice([None, 0.1, -0.1, rng.random()]), rng.choice([0.0, rng.random()]), x(), x()))
+    names = "article_id ticker entry_date research_split next_split_entry_date tradable abstain confidence relevance materiality exit_date_5d exit_date_21d future_return_5d future_return_21d one two".split()
+    kinds = "string string date string date boolean boolean double double double date date double double double double".split()
+    events = spark.createDataFrame(rows, ", ".join(map(" ".join, zip(names, kinds, strict=True))))
+    grid = specification.Grid(signals=("one", "two"))
+    want, left = {}, [dict(zip(names, r, strict=True)) for r in rows]
+    left = [r for r in left if r["tradable"] and not r["abstain"] and r["research_split"] != "holdout"]
+    spec = -1
+    for s in grid.signals:
+        for a in grid.aggregations:
+            for c in grid.confidence:
+                for q in grid.relevance:
+                    for m in grid.materiality:
+                        spec += 1
+                        met, days = [r for r in left if r["confidence"] >= c and r["relevance"] >= q and r["materiality"] >= m], {}
+                        for r in met:
+                            days.setdefault((r["research_split"], r["ticker"], r["entry_date"]), []).append(r)
+                        if a == "event_level":
+                            made = [(r, r[s]) for r in met]
+                        elif a == "strongest_company_day":
+                            made = [(r, r[s]) for g in days.values() for r in [min(g, key=lambda r: (r[s] is None, -abs(r[s] or 0), r["article_id"]))]]
+                        else:
+                            made = [(min(g, key=lambda r: r["article_id"]), pd.Series([r[s] for r in g], dtype=float).mean()) for g in days.values()]
+                        for split in ("development", "validation"):
+                            for h in (5, 21):
+                                pairs = pd.DataFrame([(x, r[f"future_return_{h}d"]) for r, x in made if r["research_split"] == split and (r["next_split_entry_date"] is None or r[f"exit_date_{h}d"] < r["next_split_entry_date"])], columns=["x", "y"], dtype=float).dropna().round({"x": 12})
+                                if len(pairs):
+                                    ic = pairs.x.rank().corr(pairs.y.rank()) if len(pairs) >= 3 and pairs.x.nunique() > 1 and pairs.y.nunique() > 1 else None
+                                    want[spec, split, h] = (len(pairs), ic)
+    for held in (specification.HELD, 0):
+        got = {(r.spec_id, r.research_split, r.horizon): (r.n, r.ic) for r in specification.associations(events, grid, held).collect()}
+        assert got.keys() == want.keys()
+        for k, (n, ic) in want.items():
+            assert got[k][0] == n and (got[k][1] is None if ic is None else abs(got[k][1] - ic) < 5e-3), (k, got[k], want[k])
+    made = specification.items(events, grid, specification._cells(grid))
+    assert made.where("event <> 0").count() == len(left) and made.count() < 3 * len(left)
