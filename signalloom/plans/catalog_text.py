@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import align, cascade, contracts, costs, screen, sequential
+from ..staging import small_batches, stage
 from . import decisions, views
 from .catalog import query, r8, rounded
 
@@ -228,9 +229,11 @@ def hash_prefix_sample(spark, d):
 
 
 def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    words = views.stories(spark, d).select("article_id", "ts", tx.tokens(F.col("title")).alias("title_words"), tx.tokens(F.col("body")).alias("w"))
-    held = words.select("article_id", "ts", "title_words", F.slice("w", 1, 250).alias("body_words"), F.explode(F.array(tx.shingle_hashes(F.col("w")))).alias("hashes"))
-    return held.select("article_id", "ts", "title_words", "body_words", tx.simhash(F.col("hashes")).alias("fingerprint"))
+    """Written once: cells, rare words and decisions all read it."""
+    made = views.stories(spark, d).select("article_id", "ts", tx.story_prints(F.col("title"), F.col("body")).alias("p"))
+    words = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    small_batches(spark)
+    return stage(made.select("article_id", "ts", words("p.title").alias("title_words"), words("p.body").alias("body_words"), "p.fingerprint"), "stories")
 
 
 @query()

@@ -288,3 +288,41 @@ def test_t_distribution():
 
     assert math.isclose(incomplete_beta(2, 3, 0.5), 0.6875, rel_tol=1e-12) and math.isclose(incomplete_beta(1, 1, 0.3), 0.3, rel_tol=1e-12)
     assert math.isclose(t_two_sided(1.0, 1), 0.5, rel_tol=1e-10) and math.isclose(t_two_sided(2.0, 2), 1 - 2 / math.sqrt(6), rel_tol=1e-10)
+
+
+@pytest.mark.parametrize("crowd", [1, 256])
+def test_near_duplicates_of_crowds(spark, crowd):
+    """Copies, edits and near fingerprints under few titles, against all pairs; copies meet as one cell, and no pair twice."""
+    import random
+
+    rng, rows = random.Random(7), []
+    for i in range(300):
+        if i % 4 and rows:
+            _, ts, f, head, body = rows[rng.randrange(len(rows))]
+            change = rng.randrange(4)
+            head = list(head) + ["x"] * (change == 1)
+            body = [w if change != 2 or rng.random() < 0.95 else f"n{rng.randrange(99)}" for w in body]
+            for b in rng.sample(range(64), rng.randrange(7)) if change == 3 else ():
+                f ^= 1 << b
+        else:
+            f, head, body = rng.getrandbits(64), [rng.choice(["a", "b"]), "c", "d", "e"][: rng.choice([0, 4, 4])], [f"w{rng.randrange(60)}" for _ in range(rng.choice([0, 3, 40]))]
+        rows.append((f"{i}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(24 * 50)), f, head, body))
+    df = spark.createDataFrame([(i, ts, f - (1 << 64) * (f >> 63), head, body) for i, ts, f, head, body in rows], "article_id string, ts timestamp_ntz, fingerprint long, title_words array<string>, body_words array<string>")
+
+    def alike(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+    want = set()
+    for k, (i, ti, fi, hi, bi) in enumerate(rows):
+        for j, tj, fj, hj, bj in rows[:k]:
+            x = fi ^ fj
+            if abs(ti - tj) <= dt.timedelta(days=14) and (hi[:3] == hj[:3] or any(not x >> 16 * k & 0xFFFF for k in range(4))) and (x.bit_count() <= 5 or alike(hi, hj) >= 0.7 and alike(bi, bj) >= 0.8):
+                want.add(tuple(sorted((i, j))))
+    members, links = screen.near_duplicate_cells(df, crowd=crowd)
+    cell, linked = {r.article_id: r.cell for r in members.collect()}, {(r.a, r.b) for r in links.collect()}
+    ts = {r[0]: r[1] for r in rows}
+    made = {(a, b) for a in cell for b in cell if a < b and abs(ts[a] - ts[b]) <= dt.timedelta(days=14) and (cell[a] == cell[b] or (cell[a], cell[b]) in linked or (cell[b], cell[a]) in linked)}
+    assert made == want and len(cell) == 300 and len(set(cell.values())) < 300
+    if crowd > 1:
+        got = [(r.a, r.b) for r in screen.near_duplicate_pairs(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
