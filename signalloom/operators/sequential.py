@@ -7,11 +7,13 @@ what can be decided without the state is decided in columns before.
 from __future__ import annotations
 
 import heapq
+from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from .costs import BPS, Scenario
 from .graph import components
 
@@ -140,26 +142,38 @@ def rebalance(targets: DataFrame, *, participation: float, multiple: float, scen
     return targets.groupBy("ticker").applyInPandas(run, "ticker string, date date, target double, filled double, position double, remainder double, reason string")
 
 
-def leader_clusters(articles: DataFrame, edges: DataFrame) -> DataFrame:
+def leader_clusters(articles: DataFrame, edges: DataFrame, days: int | None = None) -> DataFrame:
     """First-come clusters: an article joins the smallest cluster id among representatives it matches, else becomes one.
 
-    ``edges``: (article_id, other), matches between articles. Articles of one
-    connected component are walked together, components apart; cluster ids are hashes of their founder.
+    ``edges``: (article_id, other), matches between articles or, if these have a
+    ``cell`` (the id of one of its articles) and its size ``n``, between cells; articles of
+    one cell match. Those more than ``days`` apart don't. Articles of one
+    connected component are walked together, components apart; cluster ids are
+    hashes of their founder. A cell's matches stand once, at its first article.
     """
-    both = edges.select("article_id", "other").union(edges.select(F.col("other"), F.col("article_id"))).distinct()
-    roots = components(edges.select(F.col("article_id").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("article_id"), F.col("root").alias("component"))
-    labels = articles.select("article_id").join(roots, "article_id", "left").select("article_id", F.coalesce("component", "article_id").alias("component"))
-    known = both.groupBy("article_id").agg(F.collect_list("other").alias("others"))
-    rows = articles.select("article_id", "ts").join(labels, "article_id").join(known, "article_id", "left").withColumn("founder_id", F.sha2(F.col("article_id"), 256).substr(1, 20))
+    if "cell" not in articles.columns:
+        articles = articles.select("article_id", "ts", F.col("article_id").alias("cell"), F.lit(1).alias("n"))
+    edges = stage(edges.select("article_id", "other"), "matches")
+    both = edges.union(edges.select(F.col("other"), F.col("article_id"))).distinct()
+    roots = components(edges.select(F.col("article_id").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("cell"), F.col("root").alias("component"))
+    known = both.groupBy(F.col("article_id").alias("own")).agg(F.collect_list("other").alias("others"))
+    rows = articles.select("article_id", "ts", "cell", "n").join(roots, "cell", "left").withColumns({"component": F.coalesce("component", "cell"), "own": F.when(F.col("article_id") == F.col("cell"), F.col("cell"))}).join(known, "own", "left").drop("own")
+    span = None if days is None else pd.Timedelta(days=days)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        founded, out = {}, []
+        beside = {r.cell: r.others for r in group[group.others.notna()].itertuples(index=False)}
+        founded: dict[str, list] = {}
+        out = []
         for row in group.sort_values(["ts", "article_id"]).itertuples(index=False):
-            mine = sorted(founded[o] for o in (row.others if row.others is not None else ()) if o in founded)
-            cluster = mine[0] if mine else row.founder_id
+            mine = [k for c in (row.cell, *beside.get(row.cell, ())) for ts, k in founded.get(c, ()) if span is None or row.ts - ts <= span]
+            cluster = min(mine) if mine else sha256(row.article_id.encode()).hexdigest()[:20]
             if not mine:
-                founded[row.article_id] = cluster
+                founded.setdefault(row.cell, []).append((row.ts, cluster))
             out.append((row.article_id, cluster, not mine))
         return pd.DataFrame(out, columns=["article_id", "story_cluster_id", "representative"])
 
-    return rows.groupBy("component").applyInPandas(run, "article_id string, story_cluster_id string, representative boolean")
+    # An article without a match or a copy is its own cluster; it needs no walk.
+    alone = (F.col("n") == 1) & F.col("others").isNull()
+    plain = rows.where(alone).select("article_id", F.sha2("article_id", 256).substr(1, 20).alias("story_cluster_id"), F.lit(True).alias("representative"))
+    walked = rows.where(~alone).drop("n").groupBy("component").applyInPandas(run, "article_id string, story_cluster_id string, representative boolean")
+    return plain.unionByName(walked)

@@ -245,9 +245,8 @@ def near_duplicate_stories(spark, d):
 @query()
 def story_clusters(spark, d):
     """STA-5."""
-    rows = _fingerprints(spark, d)
-    pairs = screen.near_duplicate_pairs(rows, bands=4, bits=16)
-    return sequential.leader_clusters(rows.select("article_id", "ts"), pairs.select(F.col("a").alias("article_id"), F.col("b").alias("other")))
+    members, links = screen.near_duplicate_cells(_fingerprints(spark, d), bands=4, bits=16)
+    return sequential.leader_clusters(members, links.select(F.col("a").alias("article_id"), F.col("b").alias("other")), days=14)
 
 
 @query("""with recursive c as (select 'S' || lpad(cast(s_suppkey as varchar), 5, '0') as ticker, cast(o_orderkey as varchar) as article_id, o_orderpriority as bucket, strftime(o_orderdate + to_seconds((o_orderkey * 7919) % 86400), '%Y-%m') as month, sha256('5:' || o_orderkey) as hash from orders join supplier on s_suppkey = o_orderkey % (select count(*) from supplier)

@@ -326,3 +326,24 @@ def test_near_duplicates_of_crowds(spark, crowd):
     if crowd > 1:
         got = [(r.a, r.b) for r in screen.near_duplicate_pairs(df).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_leader_clusters_of_cells(spark):
+    """Copies stand in cells whose matches stand once; the walk equals one over all matches between articles in time."""
+    import random
+
+    rng, day = random.Random(5), dt.datetime(2024, 1, 1)
+    cell = {f"{i}": f"{rng.randrange(i // 3 * 3, i + 1)}" if i % 5 else f"{i}" for i in range(60)}
+    cell = {i: c if cell[c] == c else i for i, c in cell.items()}
+    ts = {i: day + dt.timedelta(days=rng.randrange(60)) for i in cell}
+    heads = sorted(set(cell.values()))
+    links = {tuple(sorted(rng.sample(heads, 2))) for _ in range(30)}
+    size = {c: sum(x == c for x in cell.values()) for c in heads}
+    members = spark.createDataFrame([(i, ts[i], c, size[c]) for i, c in cell.items()], "article_id string, ts timestamp_ntz, cell string, n long")
+    edges = spark.createDataFrame(sorted(links), "article_id string, other string")
+    founded, want = {}, {}
+    for i in sorted(cell, key=lambda i: (ts[i], i)):
+        mine = [k for o, k in founded.items() if ts[i] - ts[o] <= dt.timedelta(days=14) and (cell[o] == cell[i] or tuple(sorted((cell[o], cell[i]))) in links)]
+        want[i] = min(mine) if mine else founded.setdefault(i, hashlib.sha256(i.encode()).hexdigest()[:20])
+    got = sequential.leader_clusters(members, edges, days=14).collect()
+    assert {r.article_id: r.story_cluster_id for r in got} == want and {r.article_id for r in got if r.representative} == set(founded) and len(got) == 60
